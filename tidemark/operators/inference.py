@@ -68,12 +68,9 @@ def block_bootstrap(
         .withColumn("_n", F.size("_s"))
         .filter(F.col("_n") >= 2)
     )
-    offsets = F.sequence(F.lit(0), F.lit(size - 1))
     blocks = F.transform(
         F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda start: F.aggregate(
-            offsets, F.lit(0.0), lambda acc, o: acc + F.element_at("_s", ((start + o) % F.col("_n")) + 1)["ic"]
-        ),
+        lambda start: sum(F.element_at("_s", (start + o) % F.col("_n") + 1)["ic"] for o in range(size)),
     )
     draws = (
         series.select(group, "_n", blocks.alias("_blocks"))

@@ -81,12 +81,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "universe": (
         ("sold",),
-        """SELECT CAST(s_suppkey AS VARCHAR) AS ticker, n_name AS exchange, s_name AS name, segment,
-                  'sub' || (s_suppkey % 3) AS subsegment, round(revenue / MAX(revenue) OVER (PARTITION BY s_suppkey), 4) AS exposure,
-                  abs(s_acctbal) * 1000000.0::DOUBLE AS mcap, r_name AS region,
+        """SELECT * FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, n_name AS exchange, s_name AS name, segment,
+                  'sub' || (s_suppkey % 3) AS subsegment, floor(revenue * 10000 / MAX(revenue) OVER (PARTITION BY s_suppkey)) / 10000 AS exposure,
+                  CAST(abs(CAST(s_acctbal AS DECIMAL(18,2))) * 1000000 AS DOUBLE) AS mcap, r_name AS region,
                   s_suppkey * 100 + CAST(regexp_extract(segment, '([0-9]+)$', 1) AS INTEGER) AS row_no
            FROM sold JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-                JOIN region ON n_regionkey = r_regionkey""",
+                JOIN region ON n_regionkey = r_regionkey)
+           WHERE exposure >= 0.35::DOUBLE""",
     ),
     "sold": (
         (),
@@ -95,9 +96,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "prices": (
         (),
-        """SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
-                  round(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)
-                        / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 4) AS close
+        """SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
+                  floor(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) * 10000
+                        / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)) / 10000 AS close
            FROM lineitem GROUP BY ALL""",
     ),
     "ledger": (
@@ -129,7 +130,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                   CASE WHEN turn % 2 = 0 THEN 'long' ELSE 'short' END AS side
            FROM conversations WHERE role = 'user'""",
     ),
-    "asof": (
+    "grid": (
         (),
         "SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS as_of",
     ),
@@ -141,8 +142,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
            UNION ALL SELECT segment, 'demand_signal', (seg_no * 71) % 100 / 100.0::DOUBLE FROM segdim""",
     ),
     "visible": (
-        ("signals", "asof"),
-        """SELECT a.as_of, s.* FROM signals s JOIN asof a
+        ("signals", "grid"),
+        """SELECT a.as_of, s.* FROM signals s JOIN grid a
              ON coalesce(s.released_at, s.ingested_at) <= a.as_of AND s.observed_at >= a.as_of - 1825
             AND s.observed_at <= a.as_of + CASE WHEN s.signal_name = 'planned_capacity_mw' THEN 1095 ELSE 0 END""",
     ),
@@ -162,7 +163,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "newest": (
         ("deduped",),
-        """SELECT as_of, segment, signal_name, geography, max(observed_at) AS at, arg_max(value_num, observed_at) AS v, COUNT(*) AS n
+        """SELECT as_of, segment, signal_name, geography, max(observed_at) AS seen_at, arg_max(value_num, observed_at) AS v, COUNT(*) AS n
            FROM deduped GROUP BY ALL""",
     ),
     "zscores": (
@@ -192,7 +193,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT p.as_of, p.segment, AVG(least(p.v / c.v, 1)) AS raw
            FROM newest p JOIN newest c ON p.as_of = c.as_of AND p.segment = c.segment AND p.geography = c.geography
            WHERE p.signal_name = 'iso_peak_load_mw' AND c.signal_name = 'iso_capacity_mw' AND c.v > 0
-             AND abs(date_diff('day', p.at, c.at)) <= 400
+             AND abs(date_diff('day', p.seen_at, c.seen_at)) <= 400
            GROUP BY ALL""",
     ),
     "power": (
@@ -221,22 +222,22 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("universe",),
         """SELECT segment, SUM(w * w) / power(SUM(w), 2) AS hhi
            FROM (SELECT segment, region, SUM(exposure * mcap) AS w FROM universe WHERE exposure > 0 AND mcap > 0
-                 GROUP BY ALL QUALIFY w / SUM(w) OVER (PARTITION BY segment) >= 0.05) GROUP BY ALL""",
+                 GROUP BY segment, region QUALIFY SUM(exposure * mcap) / SUM(SUM(exposure * mcap)) OVER (PARTITION BY segment) >= 0.05) GROUP BY ALL""",
     ),
     "live": (
-        ("cand", "priority", "segdim", "hhi", "asof"),
+        ("cand", "priority", "segdim", "hhi", "grid"),
         """SELECT as_of, segment, sub_score, source_key, raw FROM cand JOIN segdim USING (segment) JOIN priority USING (sub_score, profile, source_key)
            WHERE raw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY as_of, segment, sub_score ORDER BY priority) = 1
-           UNION ALL SELECT as_of, segment, 'geo_concentration', 'hhi', hhi FROM hhi, asof""",
+           UNION ALL SELECT as_of, segment, 'geo_concentration', 'hhi', hhi FROM hhi, grid""",
     ),
     "rawsub": (
-        ("live", "seed", "segdim", "asof"),
+        ("live", "seed", "segdim", "grid"),
         """SELECT as_of, segment, sub_score, seed_value,
                   CASE WHEN use_live THEN raw ELSE seed_value END AS raw,
                   CASE WHEN use_live THEN source_key WHEN seed_value IS NOT NULL THEN 'seed' ELSE 'imputed' END AS source_key
            FROM (SELECT a.as_of, d.segment, n.sub_score, s.seed_value, l.raw, l.source_key,
                         l.raw IS NOT NULL AND NOT (n.sub_score = 'geo_concentration' AND abs(l.raw - s.seed_value) > CAST(0.3 AS DOUBLE)) AS use_live
-                 FROM segdim d CROSS JOIN asof a
+                 FROM segdim d CROSS JOIN grid a
                  CROSS JOIN (VALUES ('lead_time_growth'), ('capacity_tightness'), ('geo_concentration'), ('regulatory_friction'), ('demand_signal')) n(sub_score)
                  LEFT JOIN live l ON l.as_of = a.as_of AND l.segment = d.segment AND l.sub_score = n.sub_score
                  LEFT JOIN seed s ON s.segment = d.segment AND s.sub_score = n.sub_score)""",

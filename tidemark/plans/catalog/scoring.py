@@ -253,7 +253,7 @@ def pick_source(spark, sf_dir):
     check(
         f"""SELECT as_of, segment, geography, {rr('p', 'left_v')}, {rr('c', 'right_v')} FROM (
               SELECT as_of, segment, geography, max(v) FILTER (signal_name = 'iso_peak_load_mw') AS p, max(v) FILTER (signal_name = 'iso_capacity_mw') AS c,
-                     max(at) FILTER (signal_name = 'iso_peak_load_mw') AS pa, max(at) FILTER (signal_name = 'iso_capacity_mw') AS ca
+                     max(seen_at) FILTER (signal_name = 'iso_peak_load_mw') AS pa, max(seen_at) FILTER (signal_name = 'iso_capacity_mw') AS ca
               FROM newest WHERE signal_name LIKE 'iso_%' GROUP BY ALL) WHERE c > 0 AND abs(date_diff('day', pa, ca)) <= 400""",
         "newest",
     ),
@@ -294,8 +294,8 @@ def forward_over_operating(spark, sf_dir):
         """SELECT segment, round(CASE WHEN hi = lo THEN sign(last - lo) ELSE (last - mean) / std END, 6) + 0.0 AS z FROM (
              SELECT segment, COUNT(*) AS n, MAX(v) FILTER (rn = 1) AS last, AVG(v) FILTER (rn > 1) AS mean, stddev_pop(v) FILTER (rn > 1) AS std,
                     MIN(v) FILTER (rn > 1) AS lo, MAX(v) FILTER (rn > 1) AS hi
-             FROM (SELECT segment, observed_at AS m, SUM(value_num) AS v, row_number() OVER (PARTITION BY segment ORDER BY observed_at DESC) AS rn
-                   FROM signals WHERE signal_name IN ('shortage_mentions', 'capacity_expansion_mentions') GROUP BY ALL)
+             FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY m DESC) AS rn FROM (SELECT segment, observed_at AS m, SUM(value_num) AS v
+                   FROM signals WHERE signal_name IN ('shortage_mentions', 'capacity_expansion_mentions') GROUP BY ALL))
              WHERE rn <= 12 GROUP BY ALL) WHERE n >= 6""",
         "signals",
     ),
@@ -326,7 +326,7 @@ def quarterly_totals(spark, sf_dir):
     check(
         """SELECT segment, k, round((cur - prior) / prior, 6) + 0.0 AS ratio FROM (
              SELECT segment, k, SUM(v) FILTER (rn <= 4) AS cur, SUM(v) FILTER (rn > k AND rn <= k + 4) AS prior
-             FROM (SELECT segment, quarter, CAST(SUM(v) AS DOUBLE) AS v, row_number() OVER (PARTITION BY segment ORDER BY quarter DESC) AS rn FROM ledger GROUP BY ALL),
+             FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY quarter DESC) AS rn FROM (SELECT segment, quarter, CAST(SUM(v) AS DOUBLE) AS v FROM ledger GROUP BY ALL)),
                   (VALUES (1), (4)) ks(k) GROUP BY ALL)""",
         "ledger",
     ),
@@ -384,7 +384,8 @@ def hhi_exposure(spark, sf_dir):
     "a5_hhi_counts",
     check(
         """SELECT segment, round(SUM(w * w) / power(SUM(w), 2), 6) + 0.0 AS hhi
-           FROM (SELECT segment, region, CAST(COUNT(*) AS DOUBLE) AS w FROM universe GROUP BY ALL QUALIFY w / SUM(w) OVER (PARTITION BY segment) >= 0.05)
+           FROM (SELECT segment, region, CAST(COUNT(*) AS DOUBLE) AS w FROM universe GROUP BY segment, region
+                 QUALIFY COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY segment) >= 0.05)
            GROUP BY ALL""",
         "universe",
     ),

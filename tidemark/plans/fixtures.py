@@ -175,7 +175,8 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, exchange, name, segment, subsegment, exposure, mcap, region, row_no).
 
-    Exposure is the supplier's revenue in the brand against its best brand.
+    Exposure is the supplier's revenue in the brand against its best brand; brands below
+    35 % are not listed, so that tickers differ in the segments they belong to.
     """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("segment"))
     sold = (
@@ -196,21 +197,22 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_name").alias("name"),
             "segment",
             F.concat(F.lit("sub"), (F.col("l_suppkey") % 3).cast("string")).alias("subsegment"),
-            F.round(F.col("revenue") / F.col("best"), 4).alias("exposure"),
-            (F.abs("s_acctbal") * 1000000.0).alias("mcap"),
+            (F.floor(F.col("revenue") * 10000.0 / F.col("best")) / 10000.0).alias("exposure"),
+            (F.abs(money("s_acctbal")) * 1000000).cast("double").alias("mcap"),
             "region",
             (F.col("l_suppkey") * 100 + seg_no(F.col("segment"))).alias("row_no"),
         )
+        .filter(F.col("exposure") >= 0.35)
     )
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, date, close): mean unit price of a supplier's lines of a day."""
+    """(ticker, date, close): mean unit price of a supplier's lines, in weekly bars."""
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date"))
+        .groupBy("l_suppkey", F.trunc("l_shipdate", "week").alias("date"))
         .agg(F.sum(money("l_extendedprice")).cast("double").alias("r"), F.sum(money("l_quantity")).cast("double").alias("q"))
-        .select(F.col("l_suppkey").cast("string").alias("ticker"), "date", F.round(F.col("r") / F.col("q"), 4).alias("close"))
+        .select(F.col("l_suppkey").cast("string").alias("ticker"), "date", (F.floor(F.col("r") * 10000.0 / F.col("q")) / 10000.0).alias("close"))
     )
 
 
