@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import BOOTSTRAP_SEED, BOOTSTRAPS, FDR_ALPHA
 from tidemark.operators.ranks import average_ranks, cumulative_counts
+from tidemark.session import cut_lineage
 
 
 def spearman_by(points: DataFrame, group: list[str], x: str, y: str, min_n: int = 4) -> DataFrame:
@@ -101,7 +102,7 @@ def benjamini_hochberg(df: DataFrame, p_col: str, alpha: float = FDR_ALPHA) -> D
     sliced, so no task sees all hypotheses. Null counts as 1.
     """
     whole = df.withColumn("_p", F.coalesce(F.col(p_col), F.lit(1.0)).cast("double")).withColumn("_g", F.lit(0))
-    ranked = cumulative_counts(whole, ["_g"], "_p")
+    ranked = cut_lineage(cumulative_counts(whole, ["_g"], "_p"))
     m = ranked.agg(F.max("upto").alias("_m"))
     bar = (
         ranked.join(F.broadcast(m), F.lit(True))
@@ -127,7 +128,7 @@ def ic_report(points: DataFrame, forward: int, step: int, group: str = "segment"
     shape = both.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), ((F.min("b") == F.max("b")) & (F.first("grp") != "ALL")).alias("constant")
     )
-    ics = spearman_by(both, ["grp", "t"], "b", "ret")
+    ics = cut_lineage(spearman_by(both, ["grp", "t"], "b", "ret"))
     center = mean_ic(ics, ["grp"])
     spread = block_bootstrap(ics, "grp", forward, step, reps)
     rows = shape.join(center, "grp", "left").join(spread, "grp", "left")
@@ -140,6 +141,7 @@ def ic_report(points: DataFrame, forward: int, step: int, group: str = "segment"
         "n_dates",
         "constant",
     )
+    rows = cut_lineage(rows)
     family = benjamini_hochberg(rows.filter(F.col("grp") != "ALL"), "p")
     return family.unionByName(rows.filter(F.col("grp") == "ALL").withColumn("rejected", F.lit(False)))
 

@@ -2,8 +2,8 @@
 
 The views give every operator input with the domain's shape: segments are part brands,
 tickers are suppliers, regions come from the supplier's nation, signals are monthly
-measures of shipped lines. Money and quantities are summed as decimals so that results
-do not depend on the order of rows.
+measures of shipped lines. Money and quantities are summed exactly (as hundredths
+or decimals), so that results do not depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ def money(col: str) -> Column:
     return F.col(col).cast("decimal(18,2)")
 
 
+def cents(col: str) -> Column:
+    """Hundredths as a long: exact in any order, and summed by the hash aggregate in place."""
+    return F.round(F.col(col) * 100).cast("bigint")
+
+
 def seg_no(segment: Column) -> Column:
     return F.regexp_extract(segment, r"(\d+)$", 1).cast("int")
 
@@ -76,9 +81,9 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     flag = lambda cond: F.sum(cond.cast("long"))
     return line.groupBy("l_partkey", "l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(
-        F.sum(money("l_quantity")).alias("units"),
-        F.sum(money("l_extendedprice")).alias("revenue"),
-        F.sum(money("l_discount")).alias("disc"),
+        F.sum(cents("l_quantity")).alias("units"),
+        F.sum(cents("l_extendedprice")).alias("revenue"),
+        F.sum(cents("l_discount")).alias("disc"),
         F.count(F.lit(1)).alias("n_lines"),
         flag(F.col("l_quantity") >= 46).alias("big"),
         flag(F.col("l_returnflag") == "R").alias("ret"),
@@ -87,6 +92,13 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEASURES = ("units", "revenue", "disc", "n_lines", "big", "ret", "opened")
+HUNDREDTHS = ("units", "revenue", "disc")
+
+
+def _whole(measure: str) -> Column:
+    """A summed measure in whole units."""
+    total = F.sum(measure)
+    return (total / 100.0 if measure in HUNDREDTHS else total.cast("double")).alias(measure)
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +119,7 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         cube(spark, sf_dir)
         .groupBy("segment", "month")
-        .agg(*[F.sum(m).cast("double").alias(m) for m in MEASURES])
+        .agg(*[_whole(m) for m in MEASURES])
     )
 
 
@@ -128,7 +140,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     One pass: national months, regional months and regional years come from one grouping
     over the shipped lines, and each group then emits its signals.
     """
-    sums = [F.sum(m).cast("double").alias(m) for m in MEASURES]
+    sums = [_whole(m) for m in MEASURES]
     grouped = cube(spark, sf_dir).withColumn("year", F.trunc("month", "year"))
     c = F.col
     levels = grouped.groupingSets(
@@ -182,10 +194,10 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey", "l_suppkey")
-        .agg(F.sum(money("l_extendedprice")).alias("revenue"))
+        .agg(F.sum(cents("l_extendedprice")).alias("revenue"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_suppkey", "segment")
-        .agg(F.sum("revenue").cast("double").alias("revenue"))
+        .agg((F.sum("revenue") / 100.0).alias("revenue"))
     )
     best = sold.groupBy("l_suppkey").agg(F.max("revenue").alias("best"))
     return (
@@ -211,7 +223,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", F.trunc("l_shipdate", "week").alias("date"))
-        .agg(F.sum(money("l_extendedprice")).cast("double").alias("r"), F.sum(money("l_quantity")).cast("double").alias("q"))
+        .agg((F.sum(cents("l_extendedprice")) / 100.0).alias("r"), (F.sum(cents("l_quantity")) / 100.0).alias("q"))
         .select(F.col("l_suppkey").cast("string").alias("ticker"), "date", (F.floor(F.col("r") * 10000.0 / F.col("q")) / 10000.0).alias("close"))
     )
 
