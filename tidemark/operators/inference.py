@@ -126,7 +126,7 @@ def ic_report(points: DataFrame, forward: int, step: int, group: str = "segment"
     pooled = per_group.withColumn("grp", F.lit("ALL"))
     both = per_group.unionByName(pooled)
     shape = both.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), ((F.min("b") == F.max("b")) & (F.first("grp") != "ALL")).alias("constant")
+        F.count(F.lit(1)).alias("n"), ((F.min("b") == F.max("b")) & (F.col("grp") != "ALL")).alias("constant")
     )
     ics = cut_lineage(spearman_by(both, ["grp", "t"], "b", "ret"))
     center = mean_ic(ics, ["grp"])
