@@ -77,3 +77,20 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 def test_no_cartesian_products(spark):
     for name in ("flagship_monthly_regimes", "j4_eval_points", "w15_top_tickers", "f3_visible_asof_grid"):
         assert "CartesianProduct" not in plan_of(entry_module.queries()[name](spark, SF)), name
+
+
+def test_results_hold_when_nothing_can_be_broadcast(spark, duck):
+    """The plans a much larger input would get: sort-merge joins throughout, same rows."""
+    from tidemark.plans import store
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    store._PATHS.clear()
+    try:
+        for name in ("flagship_monthly_regimes", "j4_eval_points", "w15_top_tickers", "g4_company_graph"):
+            test_query_matches_check_sql(spark, duck, name)
+        assert "SortMergeJoin" in plan_of(entry_module.queries()["j4_eval_points"](spark, SF))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import PEAK_CAPACITY_GAP_DAYS, SOURCE_PRIORITY
+from tidemark.session import literal_frame
 
 BY = ["segment"]
 
@@ -148,7 +149,7 @@ def source_priority(spark: SparkSession, table: dict = SOURCE_PRIORITY) -> DataF
         for profile, sources in profiles.items()
         for rank, source in enumerate(sources)
     ]
-    return spark.createDataFrame(rows, "sub_score string, profile string, source_key string, priority int")
+    return literal_frame(spark, rows, "sub_score string, profile string, source_key string, priority int")
 
 
 def pick_source(candidates: DataFrame, by: list[str]) -> DataFrame:

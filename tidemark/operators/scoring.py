@@ -19,17 +19,18 @@ from tidemark.constants import (
 )
 from tidemark.functions.bands import band_diverges, input_confidence, map_to_band, winsor_band
 from tidemark.functions.regimes import classify, fast_resolve
+from tidemark.session import literal_frame
 
 
 def bands_frame(spark: SparkSession, bands: list[tuple] = BANDS) -> DataFrame:
     """A fixed table of a few rows, safe to broadcast."""
-    return spark.createDataFrame(bands, "sub_score string, source_key string, band_min double, band_max double")
+    return literal_frame(spark, bands, "sub_score string, source_key string, band_min double, band_max double")
 
 
 def weights_frame(spark: SparkSession, weights: dict = WEIGHTS) -> DataFrame:
     """(horizon, sub_score, w), a fixed table of a few rows."""
     rows = [(h, name, w) for h, per_name in weights.items() for name, w in per_name.items()]
-    return spark.createDataFrame(rows, "horizon string, sub_score string, w double")
+    return literal_frame(spark, rows, "horizon string, sub_score string, w double")
 
 
 def with_seed(grid: DataFrame, picked: DataFrame, seed: DataFrame, hhi_gap: float = HHI_SEED_GAP) -> DataFrame:

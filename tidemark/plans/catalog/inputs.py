@@ -15,7 +15,7 @@ from tidemark.plans import fixtures as V
 from tidemark.plans import store
 from tidemark.plans.catalog.common import big, r6
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import literal_frame, scratch_path
 from tidemark.sources import filings as FL
 from tidemark.sources import grid as GR
 from tidemark.sources import pages as PG
@@ -203,7 +203,7 @@ def _grid_name(col: str):
         WHERE grid IN ('ERCO', 'CISO', 'PJM', 'NYIS') GROUP BY ALL""",
 )
 def fan_out_by_bridge(spark, sf_dir):
-    bridge = spark.createDataFrame([(r, s) for r, ss in REGION_SEGMENTS.items() for s in ss], "region string, segment string")
+    bridge = literal_frame(spark, [(r, s) for r, ss in REGION_SEGMENTS.items() for s in ss], "region string, segment string")
     agg = _peaks(spark, sf_dir).withColumn("region", _grid_name("region"))
     fanned = GR.fan_out_by_bridge(agg, bridge, "region", _ALLOWED)
     return fanned.groupBy("region", "segment").agg(F.count(F.lit(1)).alias("n"), F.max("peak").alias("peak"))
@@ -223,7 +223,7 @@ def _state_totals(spark, sf_dir):
 
 
 def _bridge(spark):
-    return spark.createDataFrame([(r, s) for r, ss in REGION_STATES.items() for s in ss], "region string, state string")
+    return literal_frame(spark, [(r, s) for r, ss in REGION_STATES.items() for s in ss], "region string, state string")
 
 
 @query(

@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.constants import PROFILES
 
@@ -35,8 +36,15 @@ SIGNAL_SPECS = [
 ]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read for the schema only once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def money(col: str) -> Column:
@@ -45,7 +53,7 @@ def money(col: str) -> Column:
 
 def cents(col: str) -> Column:
     """Hundredths as a long: exact in any order, and summed by the hash aggregate in place."""
-    return F.round(F.col(col) * 100).cast("bigint")
+    return F.floor(F.col(col) * 100 + 0.5)
 
 
 def seg_no(segment: Column) -> Column:
@@ -76,21 +84,6 @@ def supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines reduced to (part, supplier, month) before any join, so no hot part is shuffled whole."""
-    line = table(spark, sf_dir, "lineitem")
-    flag = lambda cond: F.sum(cond.cast("long"))
-    return line.groupBy("l_partkey", "l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(
-        F.sum(cents("l_quantity")).alias("units"),
-        F.sum(cents("l_extendedprice")).alias("revenue"),
-        F.sum(cents("l_discount")).alias("disc"),
-        F.count(F.lit(1)).alias("n_lines"),
-        flag(F.col("l_quantity") >= 46).alias("big"),
-        flag(F.col("l_returnflag") == "R").alias("ret"),
-        flag(F.col("l_linestatus") == "O").alias("opened"),
-    )
-
-
 MEASURES = ("units", "revenue", "disc", "n_lines", "big", "ret", "opened")
 HUNDREDTHS = ("units", "revenue", "disc")
 
@@ -102,15 +95,29 @@ def _whole(measure: str) -> Column:
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(segment, region, month) with all measures."""
+    """(segment, region, month) with all measures.
+
+    Lines meet their part and supplier first. While those fit a broadcast the lines are
+    never shuffled; beyond that Spark sort-merges and splits a hot part or supplier by
+    itself. Either way partial sums per (segment, region, month) form before the shuffle.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("segment"))
     geo = supplier_geo(spark, sf_dir).select("s_suppkey", "region")
+    flag = lambda cond: F.sum(cond.cast("long"))
     return (
-        shipped(spark, sf_dir)
+        table(spark, sf_dir, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(geo, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("segment", "region", "month")
-        .agg(*[F.sum(m).alias(m) for m in MEASURES])
+        .groupBy("segment", "region", F.trunc("l_shipdate", "month").alias("month"))
+        .agg(
+            F.sum(cents("l_quantity")).alias("units"),
+            F.sum(cents("l_extendedprice")).alias("revenue"),
+            F.sum(cents("l_discount")).alias("disc"),
+            F.count(F.lit(1)).alias("n_lines"),
+            flag(F.col("l_quantity") >= 46).alias("big"),
+            flag(F.col("l_returnflag") == "R").alias("ret"),
+            flag(F.col("l_linestatus") == "O").alias("opened"),
+        )
     )
 
 
@@ -123,17 +130,17 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _spec(name: str, value: str, lag: int, source: str, shift: int = 0, silent: bool = False) -> Column:
-    return F.struct(
-        F.lit(name).alias("name"),
-        F.expr(value).cast("double").alias("v"),
-        F.lit(lag).alias("lag"),
-        F.lit(source).alias("source"),
-        F.lit(shift).alias("shift"),
-        F.lit(silent).alias("may_be_silent"),
+def _spec(name: str, value: str, lag: int, source: str, shift: int = 0, silent: bool = False) -> str:
+    return (
+        f"named_struct('name', '{name}', 'v', CAST({value} AS DOUBLE), 'lag', {lag}, 'source', '{source}', "
+        f"'shift', {shift}, 'may_be_silent', {str(silent).lower()})"
     )
 
 
+def _specs(*items: str) -> Column:
+    return F.expr("array(" + ", ".join(items) + ")")
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with three clocks, including re-emitted plans and grid pairs per region.
 
@@ -147,13 +154,13 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         [[c("segment"), c("month")], [c("segment"), c("region"), c("month")], [c("segment"), c("region"), c("year")]],
         "segment", "region", "month", "year",
     ).agg(*sums)
-    national = F.array(
+    national = _specs(
         *[_spec(n, v, lag, src, silent=True) for n, v, lag, src in SIGNAL_SPECS],
         _spec("planned_capacity_mw", "units / 4D", 1, "eia_860m", shift=12),
         _spec("planned_capacity_mw", "units / 4D * 1.1D", 3, "eia_860m", shift=12),
     )
-    peak = F.array(_spec("iso_peak_load_mw", "units", 1, "grid"))
-    capacity = F.array(_spec("iso_capacity_mw", "units / 8D", 3, "grid"))
+    peak = _specs(_spec("iso_peak_load_mw", "units", 1, "grid"))
+    capacity = _specs(_spec("iso_capacity_mw", "units / 8D", 3, "grid"))
     emitted = F.when(c("region").isNull(), national).when(c("year").isNull(), peak).otherwise(capacity)
     base = F.coalesce("month", "year")
     no = seg_no(c("segment"))
@@ -193,11 +200,9 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("segment"))
     sold = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_partkey", "l_suppkey")
-        .agg(F.sum(cents("l_extendedprice")).alias("revenue"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_suppkey", "segment")
-        .agg((F.sum("revenue") / 100.0).alias("revenue"))
+        .agg((F.sum(cents("l_extendedprice")) / 100.0).alias("revenue"))
     )
     best = sold.groupBy("l_suppkey").agg(F.max("revenue").alias("best"))
     return (

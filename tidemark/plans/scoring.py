@@ -48,10 +48,8 @@ def _point() -> Column:
 
 
 def _depth() -> Column:
-    depth = F.lit(None).cast("int")
-    for name, n in DEPTHS.items():
-        depth = F.when(F.col("series") == name, n).otherwise(depth)
-    return depth
+    cases = " ".join(f"WHEN '{name}' THEN {n}" for name, n in DEPTHS.items())
+    return F.expr(f"CASE series {cases} END")
 
 
 def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -155,13 +153,12 @@ def extracted(points: DataFrame) -> DataFrame:
 
 def candidates(found: DataFrame, segments: DataFrame) -> DataFrame:
     """Extractor values as (segment, as_of, profile, sub_score, source_key, raw)."""
-    feeds = F.create_map(
-        *[x for k, (s, src) in FEEDS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("s"), F.lit(src).alias("k")))]
-    )
-    return (
-        found.withColumn("feed", F.try_element_at(feeds, F.col("family")))
-        .join(segments.select("segment", "profile"), "segment")
-        .select("segment", "as_of", "profile", F.col("feed.s").alias("sub_score"), F.col("feed.k").alias("source_key"), "raw")
+    def feed(part: int) -> Column:
+        cases = " ".join(f"WHEN '{family}' THEN '{fed[part]}'" for family, fed in FEEDS.items())
+        return F.expr(f"CASE family {cases} END")
+
+    return found.join(segments.select("segment", "profile"), "segment").select(
+        "segment", "as_of", "profile", feed(0).alias("sub_score"), feed(1).alias("source_key"), "raw"
     )
 
 

@@ -30,7 +30,7 @@ def stored(
     if key in _PATHS:
         try:
             return spark.read.parquet(_PATHS[key])
-        except AnalysisException:
+        except AnalysisException:  # the shared folder was cleared: build again
             del _PATHS[key]
     path = scratch_path(spark, name)
     writer = build().write.mode("overwrite")

@@ -49,3 +49,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, for tables handed from one job to the next."""
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table planned as a local relation: no job, no Python worker."""
+    fields = [part.strip().split(" ", 1) for part in schema.split(",")]
+    names = [name for name, _ in fields]
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS v({', '.join(names)})")
