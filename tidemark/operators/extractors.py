@@ -155,13 +155,21 @@ def source_priority(spark: SparkSession, table: dict = SOURCE_PRIORITY) -> DataF
 def pick_source(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Per sub-score the non-null candidate of the best priority.
 
-    ``candidates`` has (by, profile, sub_score, source_key, raw).
+    ``candidates`` has (by, profile, sub_score, source_key, raw), one row per source. Only
+    numbers are aggregated, in place; the source's name is looked up again by its rank.
     """
     order = F.broadcast(source_priority(candidates.sparkSession))
-    return (
+    ranks = range(max(len(s) for profiles in SOURCE_PRIORITY.values() for s in profiles.values()))
+    best = (
         candidates.filter(F.col("raw").isNotNull())
         .join(order, ["sub_score", "profile", "source_key"])
         .groupBy(*by, "profile", "sub_score")
-        .agg(F.min_by(F.struct("raw", "source_key"), "priority").alias("best"))
-        .select(*by, "profile", "sub_score", "best.raw", "best.source_key")
+        .agg(
+            F.min("priority").alias("priority"),
+            *[F.max(F.when(F.col("priority") == k, F.col("raw"))).alias(f"_raw{k}") for k in ranks],
+        )
+    )
+    raw = F.coalesce(*[F.col(f"_raw{k}") for k in ranks])
+    return best.join(order, ["sub_score", "profile", "priority"]).select(
+        *by, "profile", "sub_score", raw.alias("raw"), "source_key"
     )

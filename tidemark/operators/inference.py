@@ -19,18 +19,20 @@ def spearman_by(points: DataFrame, group: list[str], x: str, y: str, min_n: int
     is ranked by many tasks; the correlation itself is a mergeable aggregate.
     """
     pairs = points.select(*group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(pairs, group, x, "_rx"), group, y, "_ry")
-    usable = (
-        (F.count(F.lit(1)) >= min_n) & (F.min("_rx") != F.max("_rx")) & (F.min("_ry") != F.max("_ry"))
+    shape = pairs.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.count(F.lit(1)) >= min_n) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))).alias("_usable"),
     )
+    # A segment's score is one value per date, so most groups have nothing to rank.
+    live = pairs.join(shape.filter("_usable").select(*group), group, "left_semi")
+    ranked = average_ranks(average_ranks(live, group, x, "_rx"), group, y, "_ry")
     n = F.count(F.lit(1)).cast("double")
     sx, sy = F.sum("_rx"), F.sum("_ry")
     cov = n * F.sum(F.col("_rx") * F.col("_ry")) - sx * sy
     vx = n * F.sum(F.col("_rx") * F.col("_rx")) - sx * sx
     vy = n * F.sum(F.col("_ry") * F.col("_ry")) - sy * sy
-    return ranked.groupBy(*group).agg(
-        F.when(usable, cov / F.sqrt(vx) / F.sqrt(vy)).alias("ic"), F.count(F.lit(1)).alias("n")
-    )
+    ics = ranked.groupBy(*group).agg((cov / F.sqrt(vx) / F.sqrt(vy)).alias("ic"))
+    return shape.join(ics, group, "left").select(*group, "ic", "n")
 
 
 def mean_ic(date_ics: DataFrame, group: list[str], min_dates: int = 2) -> DataFrame:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def value_slice(x: Column) -> Column:
-    """Monotone bucket of a number, about 4 % wide, independent of the data."""
-    return (F.signum(x) * F.floor(F.log(1.0 + F.abs(x) * 1e6) * 23.0)).cast("int")
+    """Monotone bucket of a number, about 4 % wide, independent of the data.
+
+    Infinities share the outermost bucket and NaN sorts with the largest values.
+    """
+    width = F.floor(F.least(F.log(1.0 + F.abs(x) * 1e6), F.lit(750.0)) * 23.0).cast("int")
+    return F.when(x < 0, -width).otherwise(width)
 
 
 def cumulative_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:

@@ -276,7 +276,10 @@ def planned_rows(spark, sf_dir):
         F.col("o_orderstatus").alias("energy_source"),
         F.col("o_orderpriority").alias("status"),
     )
-    df = SE.planned_rows(rows, 2001, 4)
+    path = scratch_path(spark, "inventory_csv")
+    title = rows.limit(1).select(*[F.lit("Entity ID" if c == "entity_id" else c).alias(c) for c in rows.columns])
+    title.unionByName(rows).write.csv(path)
+    df = SE.planned_rows(SE.read_planned(spark, path), 2001, 4)
     return df.select("signal_name", "geography", "value_num", "observed_at", "source_id", "subsegment")
 
 

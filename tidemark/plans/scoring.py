@@ -60,7 +60,9 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
     (segment, as_of), which serves every later aggregation without another shuffle.
     """
     rows = T.dedupe_intervals(T.with_visibility(signals.filter(F.col("value_num").isNotNull())))
-    rows = rows.withColumn("series", _series())
+    # Rows that appear after the grid or left before it can neither count nor displace any.
+    in_grid = (F.col("visible_from") <= F.lit(end)) & (F.col("visible_until") > F.lit(start))
+    rows = rows.filter(in_grid).withColumn("series", _series())
     key = ["segment", "series", "geography", "point", "depth"]
     merged = (
         rows.withColumn("point", _point())

@@ -161,12 +161,16 @@ def planned_rows(rows: DataFrame, release_year: int, release_month: int) -> Data
     )
 
 
-def read_planned(spark, path: str, header_rows: int = 2) -> DataFrame:
-    """The inventory tab landed as CSV, below its title rows, every column as text."""
+def read_planned(spark, path: str) -> DataFrame:
+    """The inventory tab landed as CSV, every column as text.
+
+    Title and header rows above the data, in whichever split they fall, have no numeric
+    entity id and are left out.
+    """
     names = "entity_id plant_id generator_id state capacity year month prime_mover energy_source status".split()
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).option("header", "false").csv(path)
-    return rows.filter(F.col("entity_id").rlike(r"^\s*\d+\s*$")) if header_rows else rows
+    return rows.filter(F.col("entity_id").rlike(r"^\s*\d+\s*$"))
 
 
 def released_signals(signals: DataFrame, lag_months: int) -> DataFrame:
