@@ -103,7 +103,7 @@ def test_ranks_match_brute_force_with_a_hot_value(spark):
     rng = random.Random(11)
     values = [rng.choice([0.0, 0.0, 0.0, -3.5, 1e-9, 2e6, rng.uniform(-1, 1)]) for _ in range(300)]
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, x double")
-    got = {r.i: r.rk for r in K.average_ranks(df, ["g"], "x", "rk").collect()}
+    got = {r.i: r.rk for r in K.average_ranks(df, ["g"], x="rk").collect()}
     assert [got[i] for i in range(300)] == average_rank(values)
 
 

@@ -25,7 +25,7 @@ def spearman_by(points: DataFrame, group: list[str], x: str, y: str, min_n: int
     )
     # A segment's score is one value per date, so most groups have nothing to rank.
     live = pairs.join(shape.filter("_usable").select(*group), group, "left_semi")
-    ranked = average_ranks(average_ranks(live, group, x, "_rx"), group, y, "_ry")
+    ranked = average_ranks(live, group, **{x: "_rx", y: "_ry"})
     n = F.count(F.lit(1)).cast("double")
     sx, sy = F.sum("_rx"), F.sum("_ry")
     cov = n * F.sum(F.col("_rx") * F.col("_ry")) - sx * sy

@@ -42,9 +42,20 @@ def cumulative_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
     )
 
 
-def average_ranks(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
-    """Add the average rank of x within its group, ties sharing the mean."""
-    ranks = cumulative_counts(df, by, x).select(
+def rank_table(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
+    """(by, x, name): the average rank of each distinct value, ties sharing the mean."""
+    return cumulative_counts(df, by, x).select(
         *by, x, (F.col("upto") - (F.col("n") - 1) / 2.0).cast("double").alias(name)
     )
-    return df.join(ranks, [*by, x])
+
+
+def average_ranks(df: DataFrame, by: list[str], **names: str) -> DataFrame:
+    """Add average ranks within the group: ``average_ranks(df, by, x="rank_of_x")``.
+
+    Every rank table is taken from ``df`` itself, so asking for two ranks does not run the
+    join of the first one again.
+    """
+    out = df
+    for x, name in names.items():
+        out = out.join(rank_table(df, by, x, name), [*by, x])
+    return out
