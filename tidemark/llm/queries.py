@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import minhash, mixing, simhash
+from tidemark.llm import minhash, mixing, simhash, suffix_arrays, suffix_trees
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,13 @@ def _documents(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": _documents(simhash.op1_query),
+    "op2_suffix_tree_dedup": _documents(suffix_trees.remove_repeats),
     "op3_minhash_fingerprints": _documents(minhash.op3_query),
     "op4_mix_sources": _documents(mixing.op4_query),
+    "op8_suffix_array_dedup": _documents(suffix_arrays.remove_repeats),
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_tree_dedup": suffix_trees.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
 }
