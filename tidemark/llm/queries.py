@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files
+from tidemark.llm import decontaminate, minhash, mixing, private_data, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_tree_dedup": _documents(suffix_trees.remove_repeats),
     "op3_minhash_fingerprints": _documents(minhash.op3_query),
     "op4_mix_sources": _documents(mixing.op4_query),
+    "op5_private_data": _documents(private_data.find_private),
     "op6_quality_classifier": lambda spark, sf_dir: quality.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_secret_scan": _documents(secrets.scan_secrets),
     "op8_suffix_array_dedup": _documents(suffix_arrays.remove_repeats),
