@@ -1,8 +1,57 @@
-"""The corpus pipeline; stages are filled in below."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+back as the next stage's documents. All but the last keep the columns of ``documents``. A stage sees
+all its predecessor kept; repeated rows that mixing emits are tokenized as often as they come.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontaminate, mixing, quality, simhash, token_files
+from tidemark.llm.common import stored, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from ``labels`` of documents that are here."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of each source as often as its target weight says."""
+    return mixing.mix_sources(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mixed corpus, read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    return token_files.op10_query(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("mix_sources", mix),
+    ("token_files", tokens),
+]
+
+#: Training, fingerprints and tokenizing are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
