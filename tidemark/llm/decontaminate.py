@@ -191,8 +191,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = list(_found(benchmark))
     if len(blocks) > 1:
         bad = judge(docs, benchmark).filter("contaminated").select("id", "th").distinct()
-        rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64("text")})
-        return rows.join(bad, (rows._id == bad.id) & (rows._th == bad.th), "left_anti").select(*docs.columns)
+        rows = docs.withColumns({"__key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__key_th": F.xxhash64("text")})
+        return rows.join(bad, (rows["__key_id"] == bad.id) & (rows["__key_th"] == bad.th), "left_anti").select(*docs.columns)
     names, tests = blocks[0]
 
     def scan(batches):

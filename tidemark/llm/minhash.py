@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hasher, keyed, lanes, mix, raw, slices, word_table, words
+from tidemark.llm.common import LAST_ID, Hasher, keyed, lanes, mix, raw, slices, word_table, words
 
 SLOTS, WIDTH, BANDS, ROWS = 128, 5, 25, 5
 SIMILAR = 0.8
@@ -121,7 +121,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     ids = keyed(docs).select("id")
     n = 4 * lanes(spark)
     bounds = sorted(set(ids.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
-    bounds = [int(b) for b in bounds]
+    bounds = sorted({min(int(b), LAST_ID) for b in bounds})
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
     firsts = sorted((r["part"], r["first"]) for r in ids.groupBy(part.alias("part")).agg(F.min("id").alias("first")).collect())
     rows = keyed(docs).withColumn("part", part)

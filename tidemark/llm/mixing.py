@@ -76,7 +76,7 @@ def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """``doc_id, source, size, source_size, target, copies`` of every row. Texts are read once."""
     sized = stored(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    joined = sized.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(goal.withColumnRenamed("source", "__mix_source"), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return joined.withColumn("copies", (F.floor(rate) + F.when(_unit(seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
 
@@ -85,10 +85,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """The mixed corpus: every document as often as its rate says, in its own columns."""
     goal = stored(rates(docs, weights, most, seed).select("source", "source_size", "target").distinct(), "goals")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = goal.select(F.col("source").alias("_source"), rate.alias("_rate"))
-    joined = docs.join(goal, docs["source"].eqNullSafe(goal["_source"]))
-    copies = F.floor("_rate") + F.when(_unit(seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copies", copies.cast("int")).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    goal = goal.select(F.col("source").alias("__mix_source"), rate.alias("__mix_rate"))
+    joined = docs.join(goal, docs["source"].eqNullSafe(goal["__mix_source"]))
+    copies = F.floor("__mix_rate") + F.when(_unit(seed) < F.col("__mix_rate") - F.floor("__mix_rate"), 1).otherwise(0)
+    return joined.withColumn("__mix_copies", copies.cast("int")).filter("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
 
 
 def op4_query(docs: DataFrame) -> DataFrame:

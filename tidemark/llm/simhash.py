@@ -201,9 +201,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("id", "root").agg(F.min("th").alias("th")).select("id", "th")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64("text")})
-    joined = rows.join(kept, (rows._id == kept.id) & (rows._th == kept.th), "left_semi")
-    return joined.dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    rows = docs.withColumns({"__key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__key_th": F.xxhash64("text")})
+    joined = rows.join(kept, (rows["__key_id"] == kept.id) & (rows["__key_th"] == kept.th), "left_semi")
+    return joined.dropDuplicates(["__key_id", "__key_th"]).select(*docs.columns)
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
