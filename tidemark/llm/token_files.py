@@ -33,7 +33,9 @@ ESCAPE = 15
 BLOCK = 120
 END_ID = 1
 #: Words whose ids a task remembers at most; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Words tokenized at once; the library holds far more than the ids of each.
+CHUNK_WORDS = 2_000
 
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +157,7 @@ class Tokens:
         split = [t.split() for t in texts]
         new = list({w for ws in split for w in ws if w not in self.known})
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            ids = [e.ids for at in range(0, len(new), CHUNK_WORDS) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + CHUNK_WORDS]], add_special_tokens=False)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             sizes = np.array([len(i) for i in ids], np.int64)
             self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], np.uint32)])
