@@ -16,15 +16,18 @@ an empty table writes no rows; other columns are not read.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, lanes, slices
+from tidemark.llm.common import SPACES, keyed, lanes, raw, slices
 from tidemark.session import literal_frame, scratch_path
 
 #: Fixed values of the coding: ids per word and bits per id, by selector; the escape selector.
@@ -32,10 +35,12 @@ PACKINGS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10,
 ESCAPE = 15
 BLOCK = 120
 END_ID = 1
-#: Words whose ids a task remembers at most; then it starts anew.
-CACHE_WORDS = 200_000
+#: ASCII marks that may close a word; none of them occurs in the vocabulary's special strings next to a space.
+MARKS = b".,;:!?%$#&*"
+#: Words in a generation of what a worker remembers.
+CACHE_WORDS = 450_000
 #: Words tokenized at once; the library holds far more than the ids of each.
-CHUNK_WORDS = 2_000
+CHUNK_WORDS, PLAIN_WORDS = 2_000, 20
 
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,9 +55,14 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     place = np.arange(BLOCK)
     there = place < length[:, None]
     wide[:, :BLOCK][there] = ids
-    bits = np.zeros(wide.shape, np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        bits = np.where(wide >> np.uint64(b) > 0, np.uint8(b + 1), np.where(bits > 0, bits, np.uint8(1)))
+    small = np.zeros(1 << 16, np.uint8)
+    for b in range(16):
+        small[1 << b :] = b + 1
+    bits = small[np.minimum(wide, np.uint64((1 << 16) - 1)).astype(np.uint16)]
+    large = np.nonzero(wide >> np.uint64(16))
+    if len(large[0]):
+        values = wide[large]
+        bits[large] = sum((values >> np.uint64(b) > 0).astype(np.uint8) for b in range(64))
     choice = np.full((n, BLOCK), ESCAPE, np.uint8)
     for selector in range(14, 0, -1):
         count, size = PACKINGS[selector]
@@ -137,43 +147,120 @@ def decode(words: np.ndarray, per_doc: np.ndarray, offsets: np.ndarray, counts:
     return out
 
 
+def loosened(flat: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Texts with a space before marks that close a word, so that far fewer different words remain.
+
+    Letters and a run of marks are always separate units of the vocabulary's rules; only marks that
+    reach up to white space or the text's end are set apart.
+    """
+    n = len(flat)
+    mark, letter, space = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    mark[list(MARKS)] = letter[128:] = letter[65:91] = letter[97:123] = space[list(SPACES)] = True
+    is_mark = mark[flat]
+    cut = np.flatnonzero(letter[flat[:-1]] & is_mark[1:]) + 1 if n > 1 else np.zeros(0, np.int64)
+    row_end = offs[np.searchsorted(offs, cut, side="right")]
+    begins = np.isin(cut, offs)
+    other = np.append(np.flatnonzero(~is_mark), n)
+    after = other[np.searchsorted(other, cut)]
+    closing = ~begins & ((after >= row_end) | space[flat[np.minimum(after, max(n - 1, 0))]])
+    cut = cut[closing]
+    wide = np.insert(flat, cut, 32).tobytes()
+    offs = (offs + np.searchsorted(cut, offs, side="left")).tolist()
+    return [wide[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
+
+def worker_state() -> dict:
+    """What this worker process keeps from task to task."""
+    return vars(sys.modules.setdefault("tidemark_worker_state", types.ModuleType("tidemark_worker_state")))
+
+
+class Memory:
+    """Words and their ids: a dictionary of places in flat arrays."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(self.starts)[places]
+        ends = np.cumsum(size)
+        at = np.repeat(self.starts[places] - ends + size, size) + np.arange(int(size.sum()))
+        return self.flat[at], size
+
+
 class Tokens:
-    """Ids of texts, by words that are looked up once."""
+    """Ids of texts, by words that are looked up once; words of the last two generations are remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        closes = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.closes[closes] = True
+        self.young, self.old = Memory(), Memory()
+
+    @classmethod
+    def kept(cls, path: str) -> "Tokens":
+        state = worker_state()
+        if path not in state:
+            state[path] = cls(path)
+        return state[path]
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Words of letters are one unit each: encoded together, a unit's last id closes it."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return None
+        return ids, np.diff(np.concatenate([[0], ends]))
+
+    def learn(self, new: list[bytes]) -> None:
+        past = [w for w in new if w in self.old.known]
+        if past:
+            self.young.add(past, *self.old.ids(np.array([self.old.known[w] for w in past])))
+            new = [w for w in new if w not in self.old.known]
+        texts = [w.decode() for w in new]
+        letters = [t.isalpha() and (t.isascii() or t.lower().isalpha()) for t in texts]
+        words, parts = [], []
+        for plain in (True, False):
+            mine = [i for i, x in enumerate(letters) if x == plain]
+            for at in range(0, len(mine), CHUNK_WORDS if not plain else PLAIN_WORDS):
+                part = mine[at : at + (CHUNK_WORDS if not plain else PLAIN_WORDS)]
+                found = self._plain([texts[i] for i in part]) if plain else None
+                if found is None:
+                    ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+                    found = np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
+                words += [new[i] for i in part]
+                parts.append(found)
+        if words:
+            self.young.add(words, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and their counts."""
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
+        if len(self.young.known) > CACHE_WORDS:
+            self.old, self.young = self.young, Memory()
         split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if new:
-            ids = [e.ids for at in range(0, len(new), CHUNK_WORDS) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + CHUNK_WORDS]], add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            sizes = np.array([len(i) for i in ids], np.int64)
-            self.flat = np.concatenate([self.flat, np.array([x for i in ids for x in i], np.uint32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        known = self.known
-        word = np.array([known[w] for ws in split for w in ws], np.int64)
-        size = np.diff(self.starts)[word]
+        n = sum(map(len, split))
+        word = np.fromiter(map(self.young.known.get, chain.from_iterable(split), repeat(-1)), np.int64, n)
+        missing = np.flatnonzero(word < 0)
+        if len(missing):
+            every = list(chain.from_iterable(split))
+            lost = [every[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(lost)))
+            word[missing] = [self.young.known[w] for w in lost]
         per_text = np.array([len(ws) for ws in split], np.int64)
+        ids, size = self.young.ids(word)
         edges = np.concatenate([[0], np.cumsum(per_text)])
         upto = np.concatenate([[0], np.cumsum(size)])
         counts = upto[edges[1:]] - upto[edges[:-1]] + 1
         out = np.full(int(counts.sum()), END_ID, np.uint32)
-        text = np.repeat(np.arange(len(texts)), per_text)
-        if len(word):
-            source = np.repeat(self.starts[word] - upto[:-1], size) + np.arange(upto[-1])
-            out[np.arange(upto[-1]) + np.repeat(text, size)] = self.flat[source]
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts - 1)] = ids
         return out, counts
 
 
@@ -188,10 +275,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, shard, total = Tokens(vocabulary), TaskContext.get().partitionId(), 0
+        tokens, shard, total = Tokens.kept(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            ids, counts = tokens(texts)
+            ids, counts = tokens(loosened(*raw(batch.column("text"))))
             words, per_doc, offsets, blocks = encode(ids.astype(np.uint64), counts)
             at = total + np.cumsum(counts) - counts
             total += int(counts.sum())
