@@ -48,6 +48,12 @@ def test_reach_counts_in_a_cycle(spark):
     assert got == {"a": 2, "b": 2, "c": 2, "x": 1, "t1": 1}
 
 
+def test_reach_counts_follow_long_chains(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(45)]
+    got = {r.node: r.n for r in G.reach_counts(edges(spark, pairs), spark.createDataFrame([("n45",)], "node string")).collect()}
+    assert got == {f"n{i}": 1 for i in range(45)}
+
+
 def test_typed_edges(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "id string")
     rows = [("a", "b", None, None), ("b", "a", "copper", "suppliesCommodity"), ("a", "b", "gas", "dependsOnCommodity"), ("a", "b", None, "dependsOnCommodity"), ("a", "zz", None, "supplies")]

@@ -179,6 +179,16 @@ def test_ledger_aliases_and_comments(spark):
     assert sorted((r.segment, r.ticker, r.quarter, r.value) for r in got) == [(s, "T", "2024-Q1", 1.5) for s in "abc"]
 
 
+def test_ledger_alias_chains_and_rings(spark):
+    entries = '"x0": {"entries": [{"ticker": "T", "quarter": "2024-Q1", "ai_capex_usd_b": 1.5}]}'
+    chain = ", ".join(f'"x{i}": {{"entries_ref": "x{i - 1}"}}' for i in range(1, 12))
+    got = UN.read_ledger(spark.createDataFrame([("{" + entries + ", " + chain + "}",)], "value string")).collect()
+    assert {r.segment for r in got} == {f"x{i}" for i in range(12)} and len(got) == 12
+    ring = '{"a": {"entries_ref": "b"}, "b": {"entries_ref": "c"}, "c": {"entries_ref": "a"}}'
+    with pytest.raises(ValueError, match="ring"):
+        UN.read_ledger(spark.createDataFrame([(ring,)], "value string"))
+
+
 def history(spark, days):
     return spark.createDataFrame([("s", "near", "fixed", d, float(i)) for i, d in enumerate(days)], "segment string, horizon string, mode string, as_of date, b double")
 
@@ -190,7 +200,38 @@ def test_publish_twice_leaves_no_duplicates(spark):
     TB.publish_scores(history(spark, days[-1:]).withColumn("b", F.lit(99.0)), history(spark, days[-1:]), root)
     rows = spark.read.parquet(f"{root}/score_history").collect()
     assert len(rows) == 4 and {r.b for r in rows if r.as_of == days[-1]} == {99.0}
-    assert [(r.as_of, r.b) for r in spark.read.parquet(f"{root}/scores").collect()] == [(days[-1], 99.0)]
+    assert [(r.as_of, r.b) for r in TB.read_scores(spark, root).collect()] == [(days[-1], 99.0)]
+
+
+def test_daily_publishing_keeps_the_month_and_the_other_mode(spark):
+    root = scratch_path(spark, "daily")
+    for d in (1, 2, 3, 2):
+        TB.publish_scores(history(spark, [D(2024, 5, d)]), history(spark, [D(2024, 5, d)]), root)
+    other = history(spark, [D(2024, 5, 2)]).withColumn("mode", F.lit("rolling"))
+    TB.publish_scores(other, other, root)
+    rows = spark.read.parquet(f"{root}/score_history").select("mode", "as_of").collect()
+    assert sorted((r.mode, r.as_of.day) for r in rows) == [("fixed", 1), ("fixed", 2), ("fixed", 3), ("rolling", 2)]
+    assert sorted((r.mode, r.as_of.day) for r in TB.read_scores(spark, root).collect()) == [("fixed", 3), ("rolling", 2)]
+    assert len(TB.children(spark, f"{root}/scores")) == 2
+
+
+def test_expired_months_and_days_are_deleted(spark):
+    path = scratch_path(spark, "expired")
+    days = [D(2024, 1, 10), D(2024, 2, 5), D(2024, 2, 20), D(2024, 3, 1)]
+    TB.overwrite_months(history(spark, days), path, "as_of")
+    TB.delete_expired(spark, path, D(2024, 3, 15), days=30)
+    assert sorted(r.as_of for r in spark.read.parquet(path).collect()) == days[2:]
+    assert TB.children(spark, path) == ["computed_month=2024-02-01", "computed_month=2024-03-01"]
+    assert "PartitionFilters: [isnotnull(computed_month" in TB.prune(spark.read.parquet(path), D(2024, 3, 15), 30)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_ledger_keeps_the_latest_run_of_a_source(spark):
+    fields = "source string, last_ingested_at timestamp, status string, rows_written long, detail string"
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    ledger = spark.createDataFrame([("a", at(1), "OK", 3, ""), ("b", at(1), "OK", 1, "")], fields)
+    runs = spark.createDataFrame([("a", at(2), "FAILED", 0, "x"), ("a", at(3), "OK", 7, "y"), ("c", at(2), "OK", 2, "")], fields)
+    got = {r.source: (r.status, r.rows_written, r.detail) for r in TB.record_run(ledger, runs).collect()}
+    assert got == {"a": ("OK", 7, "y"), "b": ("OK", 1, ""), "c": ("OK", 2, "")}
 
 
 def test_append_keeps_revisions_and_prune(spark):

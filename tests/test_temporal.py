@@ -78,6 +78,19 @@ def test_dedupe_intervals_match_per_date_dedupe(spark):
     assert len(got) == len(want) and sure <= set(got)
 
 
+def test_an_older_copy_counts_again_when_the_newer_left_the_window(spark):
+    """A plan whose period slips back: the newer copy leaves the window first."""
+    rows = [
+        row("planned_capacity_mw", 10, D(2000, 6, 1), D(2000, 1, 1), D(2000, 1, 1), "eia_860m", "p"),
+        row("planned_capacity_mw", 20, D(1999, 1, 1), D(2000, 3, 1), D(2000, 3, 1), "eia_860m", "p"),
+        row("planned_capacity_mw", 30, D(1999, 1, 1), D(2000, 3, 1), D(2000, 3, 1), "eia_860m", "p"),
+    ]
+    df = T.dedupe_intervals(T.with_visibility(spark.createDataFrame(rows, SCHEMA)))
+    got = {(r.as_of, r.value_num) for r in T.explode_as_of(df, D(2000, 1, 1), D(2005, 12, 1)).collect()}
+    at = lambda y, m: [v for a, v in got if a == D(y, m, 1)]
+    assert at(2000, 2) == [10.0] and at(2001, 1) == [30.0] and at(2004, 6) == [10.0] and at(2005, 3) == [10.0] and at(2005, 8) == []
+
+
 def test_unreleased_and_future_rows_stay_hidden(spark):
     rows = [
         row("x", 1, D(2020, 1, 1), D(2020, 4, 1), D(2020, 1, 5)),

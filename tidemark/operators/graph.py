@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-PER_CUT = 3
-
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """U4: one row per (src, dst, commodity); no commodity equals an empty one."""
@@ -21,36 +19,37 @@ def reach(edges: DataFrame, start: DataFrame, direction: str, max_depth: int) ->
     """G1: (start, node, depth) for nodes within ``max_depth`` hops, least depth, cycle safe.
 
     ``start`` is (start); all starts advance together. Each round joins the frontier to
-    the edges and drops what was visited; the visited table is written to shared storage
-    every few rounds so that neither the plan nor a recomputation grows with depth.
+    the edges and drops what was visited. The frontier is written to shared storage every
+    round, so a round reads what the last one wrote and plans do not grow with depth.
     """
     src, dst = ("src", "dst") if direction == "downstream" else ("dst", "src")
     hops = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    visited = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    frontier = visited
+    hops = cut_lineage(hops) if max_depth > 1 else hops
+    frontier = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
+    visited = frontier
     for depth in range(1, max_depth + 1):
-        step = (
+        fresh = (
             frontier.join(hops, "node")
             .select("start", F.col("next").alias("node"))
             .distinct()
             .join(visited.select("start", "node"), ["start", "node"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        visited = visited.unionByName(step)
-        frontier = step
-        if depth % PER_CUT == 0 and depth < max_depth:
-            visited = cut_lineage(visited)
-            frontier = visited.filter(F.col("depth") == depth)
-            if frontier.isEmpty():
+        if depth < max_depth:
+            fresh = cut_lineage(fresh)
+            if fresh.isEmpty():
                 break
+        visited = visited.unionByName(fresh)
+        frontier = fresh
     return visited.filter(F.col("depth") > 0)
 
 
-def reach_counts(edges: DataFrame, targets: DataFrame, max_rounds: int = 30) -> DataFrame:
+def reach_counts(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Per node, how many other target nodes it supplies directly or through others.
 
     Walks backwards from the targets only (semi-naive), so the working set is the pairs
-    that reach a target, never all pairs of nodes.
+    that reach a target, never all pairs of nodes. Rounds end when no pair is new, however
+    long the chains are.
     """
     back = edges.select(F.col("dst").alias("mid"), F.col("src").alias("node")).distinct()
     pairs = cut_lineage(
@@ -60,7 +59,7 @@ def reach_counts(edges: DataFrame, targets: DataFrame, max_rounds: int = 30) ->
         .distinct()
     )
     frontier = pairs
-    for _ in range(max_rounds):
+    while True:
         fresh = cut_lineage(
             frontier.select(F.col("node").alias("mid"), "target")
             .join(back, "mid")

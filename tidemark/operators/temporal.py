@@ -86,23 +86,34 @@ def dedupe_intervals(
     idempotent_sources: tuple[str, ...] = IDEMPOTENT_SOURCES,
     key: tuple[str, ...] = ("segment", "signal_name", "source_id"),
 ) -> DataFrame:
-    """W6 over all as-of dates: a copy counts until a later-ingested copy is visible.
+    """W6 over all as-of dates: at each date the last ingested of the visible copies counts.
 
-    Copies of one key that become visible at the same month are reduced first by a
-    mergeable aggregate, so the window sees at most one row per key and month
-    however many re-emissions there are.
+    Copies of one key with the same months of visibility are reduced first by a mergeable
+    aggregate, so a key holds at most one row per pair of months however many re-emissions
+    there are. Its calendar is then cut at every start and end, and each piece goes to the
+    newest copy that covers it: a copy counts again once a newer one has left the window.
+    Equal arrival times fall to the later period, then to the larger row.
     """
     repeated = F.col("source").isin(*idempotent_sources)
-    payload = [c for c in rows.columns if c not in key and c not in ("visible_from",)]
-    newest = (
-        rows.filter(repeated)
-        .groupBy(*key, "visible_from")
-        .agg(F.max_by(F.struct(*payload), F.col("ingested_at")).alias("row"))
-        .select(*key, "visible_from", "row.*")
+    payload = [c for c in rows.columns if c not in (*key, "visible_from", "visible_until", "ingested_at", "observed_at")]
+    ranked = F.struct("ingested_at", "observed_at", *payload)
+    copies = (
+        rows.filter(repeated & (F.col("visible_from") < F.col("visible_until")))
+        .groupBy(*key, "visible_from", "visible_until")
+        .agg(F.max(ranked).alias("row"))
+        .groupBy(*key)
+        .agg(F.collect_list(F.struct("row", "visible_from", "visible_until")).alias("copies"))
     )
-    later = Window.partitionBy(*key).orderBy("ingested_at", "visible_from").rowsBetween(1, Window.unboundedFollowing)
-    replaced = F.min("visible_from").over(later)
-    newest = newest.withColumn("visible_until", F.least("visible_until", replaced))
+    ends = F.concat(F.transform("copies", lambda c: c["visible_from"]), F.transform("copies", lambda c: c["visible_until"]))
+    cut = copies.select(*key, "copies", F.array_sort(F.array_distinct(ends)).alias("cuts"))
+
+    def piece(start: Column, i: Column) -> Column:
+        end = F.element_at("cuts", (i + 2).cast("int"))
+        alive = F.filter("copies", lambda c: (c["visible_from"] <= start) & (c["visible_until"] >= end))
+        return F.struct(F.array_max(F.transform(alive, lambda c: c["row"])).alias("row"), start.alias("visible_from"), end.alias("visible_until"))
+
+    pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), piece)
+    newest = cut.select(*key, F.explode(pieces).alias("p")).filter(F.col("p.row").isNotNull()).select(*key, "p.row.*", "p.visible_from", "p.visible_until")
     kept = rows.filter(~repeated).unionByName(newest.select(*rows.columns))
     return kept.filter(F.col("visible_from") < F.col("visible_until"))
 
@@ -121,10 +132,10 @@ def dedupe_signals(
     key = ["segment", "signal_name", "source_id"]
     repeated = F.col("source").isin(*idempotent_sources)
     if order == "ingested":
-        rank = F.struct("ingested_at", "observed_at")
+        rank = F.struct("ingested_at", "observed_at", "value_num")
     else:
         inside = F.lit(0) if as_of is None else (F.col("observed_at") <= F.lit(as_of)).cast("int")
-        rank = F.struct(inside.alias("inside"), "observed_at", "ingested_at")
+        rank = F.struct(inside.alias("inside"), "observed_at", "ingested_at", "value_num")
     payload = [c for c in signals.columns if c not in key]
     newest = (
         signals.filter(repeated)

@@ -556,25 +556,29 @@ def append_signals(spark, sf_dir):
 @query(
     "s24_publish_scores",
     check(
-        """SELECT 'scores' AS tab, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT as_of) AS BIGINT) AS n_dates FROM hist WHERE as_of = DATE '2001-12-01'
-           UNION ALL SELECT 'score_history', CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT as_of) AS BIGINT) FROM hist
-           UNION ALL SELECT 'sub_score_history', CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT as_of) AS BIGINT) FROM subs WHERE mode = 'fixed'""",
+        """SELECT 'scores' AS tab, mode, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT as_of) AS BIGINT) AS n_dates
+           FROM (SELECT mode, as_of + 2 AS as_of FROM hist WHERE as_of = DATE '2001-12-01') GROUP BY mode
+           UNION ALL SELECT 'score_history', mode, CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT as_of) AS BIGINT)
+           FROM (SELECT mode, as_of + d AS as_of FROM hist, (SELECT unnest([0, 1, 2]) AS d) WHERE d = 0 OR as_of = DATE '2001-12-01') GROUP BY mode
+           UNION ALL SELECT 'sub_score_history', mode, CAST(COUNT(*) AS BIGINT), CAST(COUNT(DISTINCT as_of) AS BIGINT)
+           FROM (SELECT mode, as_of + d AS as_of FROM subs, (SELECT unnest([0, 1, 2]) AS d) WHERE mode = 'fixed' AND (d = 0 OR as_of = DATE '2001-12-01')) GROUP BY mode""",
         "hist",
         "subs",
     ),
 )
 def publish_scores(spark, sf_dir):
-    """Published twice, the second time for one month only: reruns leave no duplicates."""
+    """One mode at a time, then two more days of the last month, then one of them again: all dates and modes once."""
     root = scratch_path(spark, "published")
     history, subs = store.score_history(spark, sf_dir), store.subscores(spark, sf_dir)
-    TB.publish_scores(history, subs, root)
+    for mode in ("fixed", "rolling"):
+        TB.publish_scores(history.filter(F.col("mode") == mode), subs.filter(F.col("mode") == mode), root)
     last = F.col("as_of") == F.lit(V.GRID_END)
-    TB.publish_scores(history.filter(last), subs.filter(last), root)
-    parts = [
-        spark.read.parquet(f"{root}/{tab}").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("as_of").alias("n_dates")).withColumn("tab", F.lit(tab))
-        for tab in ("scores", "score_history", "sub_score_history")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("tab", "n", "n_dates")
+    for days in (1, 2, 1):
+        later = lambda df: df.filter(last).withColumn("as_of", F.date_add("as_of", days))  # noqa: B023, E731
+        TB.publish_scores(later(history), later(subs), root)
+    tables = {"scores": TB.read_scores(spark, root), **{t: spark.read.parquet(f"{root}/{t}") for t in ("score_history", "sub_score_history")}}
+    parts = [df.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("as_of").alias("n_dates")).withColumn("tab", F.lit(tab)) for tab, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("tab", "mode", "n", "n_dates")
 
 
 @query(
@@ -595,22 +599,19 @@ def upsert_snapshots(spark, sf_dir):
 @query(
     "s27_read_ledger",
     check(
-        """SELECT s AS segment, ticker, quarter, CAST(v AS DOUBLE) AS value FROM (SELECT *, unnest([segment, 'alias of ' || segment, 'second alias of ' || segment]) AS s FROM ledger)""",
+        """SELECT s AS segment, ticker, quarter, CAST(v AS DOUBLE) AS value
+           FROM (SELECT *, unnest([segment] || list_transform(range(1, 7), k -> 'alias ' || k || ' of ' || segment)) AS s FROM ledger)""",
         "ledger",
     ),
 )
 def read_ledger(spark, sf_dir):
-    """Ledger documents, one per segment: its entries, an alias, an alias of the alias, a comment."""
+    """Ledger documents, one per segment: its entries, a comment, and a chain of six aliases."""
     entry = F.struct("ticker", "quarter", F.col("v").cast("double").alias("ai_capex_usd_b"))
     per = V.ledger(spark, sf_dir).groupBy("segment").agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("body"))
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    alias = F.concat(F.lit("alias of "), F.col("segment"))
-    second = F.concat(F.lit("second alias of "), F.col("segment"))
-    doc = F.concat(
-        F.lit("{"), quoted(F.lit("_comment")), F.lit(': "hand kept", '), quoted(F.col("segment")), F.lit(": "), F.col("body"), F.lit(", "),
-        quoted(alias), F.lit(': {"entries_ref": '), quoted(F.col("segment")), F.lit("}, "),
-        quoted(second), F.lit(': {"entries_ref": '), quoted(alias), F.lit("}}"),
-    )
+    quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    name = lambda k: F.concat(F.lit(f"alias {k} of " if k else ""), F.col("segment"))
+    aliases = [x for k in range(1, 7) for x in (F.lit(", "), quoted(name(k)), F.lit(': {"entries_ref": '), quoted(name(k - 1)), F.lit("}"))]
+    doc = F.concat(F.lit('{"_comment": "hand kept", '), quoted(F.col("segment")), F.lit(": "), F.col("body"), *aliases, F.lit("}"))
     return UN.read_ledger(per.select(doc.alias("value")))
 
 

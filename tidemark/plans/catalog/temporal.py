@@ -319,7 +319,11 @@ def publication_lag(spark, sf_dir):
     ),
 )
 def prune_history(spark, sf_dir):
-    from tidemark.sources.tables import prune
-
-    kept = prune(store.score_history(spark, sf_dir), V.GRID_END, days=1000)
-    return kept.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.min("as_of").alias("first_at"))
+    """Written by month, pruned in place, read again."""
+    from tidemark.session import scratch_path
+    from tidemark.sources import tables
+
+    path = scratch_path(spark, "pruned")
+    tables.overwrite_months(store.score_history(spark, sf_dir), path, "as_of")
+    tables.delete_expired(spark, path, V.GRID_END, days=1000)
+    return spark.read.parquet(path).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.min("as_of").alias("first_at"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import PEAK_CAPACITY_GAP_DAYS
+from tidemark.constants import LOOKAHEAD_DAYS, LOOKAHEAD_SIGNALS, PEAK_CAPACITY_GAP_DAYS, SIGNAL_LOOKBACK_DAYS
 from tidemark.functions.grids import month_starts
 from tidemark.operators import extractors as X
 from tidemark.operators import scoring as S
@@ -59,7 +59,7 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
     where a point matters, and only then is the grid exploded. The result is laid out by
     (segment, as_of), which serves every later aggregation without another shuffle.
     """
-    rows = T.dedupe_intervals(T.with_visibility(signals.filter(F.col("value_num").isNotNull())))
+    rows = T.dedupe_intervals(T.with_visibility(in_reach(signals, start, end)))
     # Rows that appear after the grid or left before it can neither count nor displace any.
     in_grid = (F.col("visible_from") <= F.lit(end)) & (F.col("visible_until") > F.lit(start))
     rows = rows.filter(in_grid).withColumn("series", _series())
@@ -72,7 +72,7 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
         .agg(
             F.sum("value_num").alias("total"),
             F.max("value_num").alias("top"),
-            F.max_by("value_num", "ingested_at").alias("newest"),
+            F.max_by("value_num", F.struct("ingested_at", "value_num")).alias("newest"),
             F.max("ingested_at").alias("ingested_at"),
         )
     )
@@ -80,6 +80,16 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
     return T.explode_as_of(relevant.drop("depth"), start, end).repartition("segment", "as_of")
 
 
+def in_reach(signals: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Rows that can be visible at some date of [start, end], by bounds on stored columns that reach the scan."""
+    low, high = start - dt.timedelta(days=SIGNAL_LOOKBACK_DAYS), end + dt.timedelta(days=LOOKAHEAD_DAYS)
+    rows = signals.filter(F.col("value_num").isNotNull() & (F.col("observed_at") >= F.lit(low)) & (F.col("observed_at") <= F.lit(high)))
+    if "observed_month" in signals.columns:
+        month = F.col("observed_month")
+        rows = rows.filter((month >= F.lit(low.replace(day=1))) & (month <= F.lit(high))).drop("observed_month")
+    return rows.filter((F.col("observed_at") <= F.lit(end)) | F.col("signal_name").isin(*LOOKAHEAD_SIGNALS)).filter(T.available_at() <= F.lit(end))
+
+
 # Series family -> (sub-score, source key) it can feed.
 FEEDS = {
     "grid": ("capacity_tightness", "iso_capacity_ratio"),
@@ -106,7 +116,7 @@ def extracted(points: DataFrame) -> DataFrame:
     """
     series, rn = F.col("series"), F.col("rn")
     cells = points.groupBy("segment", "as_of", "series", "geography", "point").agg(
-        F.sum("total").alias("total"), F.max("top").alias("top"), F.max_by("newest", "ingested_at").alias("newest")
+        F.sum("total").alias("total"), F.max("top").alias("top"), F.max_by("newest", F.struct("ingested_at", "newest")).alias("newest")
     )
     newest_first = Window.partitionBy("segment", "as_of", "series", "geography").orderBy(F.col("point").desc())
     value = F.when(series.isin(*SUMMED, PLANNED), F.col("total")).when(series == OPERATING, F.col("top")).otherwise(F.col("newest"))

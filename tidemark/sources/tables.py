@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.constants import RETENTION_DAYS
+from tidemark.session import cut_lineage
 
 
 def append_signals(signals: DataFrame, path: str, now: dt.datetime | None = None) -> None:
@@ -23,8 +24,35 @@ def append_signals(signals: DataFrame, path: str, now: dt.datetime | None = None
     )
 
 
+SCORE_KEYS = ("segment", "horizon", "mode", "as_of")
+SUB_SCORE_KEYS = ("segment", "sub_score", "mode", "as_of")
+
+
+def _paths(spark: SparkSession, path: str):
+    """The file system of ``path`` and its path class, for listings and deletes on the driver."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _paths(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``."""
+    fs, at = _paths(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _paths(spark, path)
+    fs.delete(at, True)
+
+
 def overwrite_months(df: DataFrame, path: str, ts: str, month: str = "computed_month") -> None:
-    """Replace only the months present in ``df``; a rerun of a date leaves no duplicates."""
+    """Replace only the months present in ``df``, whole."""
     (
         df.withColumn(month, F.trunc(ts, "month"))
         .hint("rebalance", month)
@@ -35,17 +63,46 @@ def overwrite_months(df: DataFrame, path: str, ts: str, month: str = "computed_m
     )
 
 
+def merge_months(df: DataFrame, path: str, keys: tuple[str, ...], ts: str = "as_of", month: str = "computed_month") -> None:
+    """Keyed merge into a table by month: keys of ``df`` win, all others of its months stay.
+
+    Only the months that ``df`` touches are read and rewritten, so a daily run costs a month.
+    """
+    spark = df.sparkSession
+    if exists(spark, path):
+        months = [r[0] for r in df.select(F.trunc(ts, "month")).distinct().collect()]
+        stored = spark.read.parquet(path)
+        old = stored.filter(F.col(month).isin(months)).drop(month)
+        # the merged rows are written aside first: the months read are the ones replaced
+        df = cut_lineage(upsert(old, df, [k for k in keys if k in df.columns]))
+    overwrite_months(df, path, ts, month)
+
+
 def publish_scores(history: DataFrame, sub_history: DataFrame, root: str) -> None:
-    """Both histories by month, then the snapshot of the newest row per key.
+    """Both histories merged by key, then the snapshot of the newest row per key.
 
-    The snapshot is derived from the written history and is written last, so a reader
-    never sees scores whose history is missing.
+    The snapshot comes from the former one and the new rows, never from the whole history. It is
+    written last and as a new version beside the former, so readers always find a whole one.
     """
     spark = history.sparkSession
-    overwrite_months(history, f"{root}/score_history", "as_of")
-    overwrite_months(sub_history, f"{root}/sub_score_history", "as_of")
-    written = spark.read.parquet(f"{root}/score_history").drop("computed_month")
-    latest_scores(written).write.mode("overwrite").parquet(f"{root}/scores")
+    merge_months(history, f"{root}/score_history", SCORE_KEYS)
+    merge_months(sub_history, f"{root}/sub_score_history", SUB_SCORE_KEYS)
+    versions = children(spark, f"{root}/scores")
+    rows = history
+    if versions:
+        former = read_scores(spark, root)
+        rerun = former.join(history.select(*SCORE_KEYS).distinct(), list(SCORE_KEYS), "left_anti")
+        rows = rerun.unionByName(history)
+    number = int(versions[-1].split("=")[1]) + 1 if versions else 0
+    latest_scores(rows).write.parquet(f"{root}/scores/version={number:08d}")
+    for old in versions[:-1]:
+        remove(spark, f"{root}/scores/{old}")
+
+
+def read_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The newest whole snapshot."""
+    whole = [v for v in children(spark, f"{root}/scores") if exists(spark, f"{root}/scores/{v}/_SUCCESS")]
+    return spark.read.parquet(f"{root}/scores/{whole[-1]}")
 
 
 def latest_scores(history: DataFrame) -> DataFrame:
@@ -57,9 +114,34 @@ def latest_scores(history: DataFrame) -> DataFrame:
     )
 
 
-def prune(history: DataFrame, now: dt.date, days: int = RETENTION_DAYS, ts: str = "as_of") -> DataFrame:
-    """Rows inside the retention window; the bound is pushed to the partitions."""
-    return history.filter(F.col(ts) >= F.lit(now - dt.timedelta(days=days)))
+def prune(history: DataFrame, now: dt.date, days: int = RETENTION_DAYS, ts: str = "as_of", month: str = "computed_month") -> DataFrame:
+    """S25 as a reader sees it: rows inside the retention window; the month bound reaches the partitions."""
+    first = now - dt.timedelta(days=days)
+    kept = history.filter(F.col(ts) >= F.lit(first))
+    return kept.filter(F.col(month) >= F.lit(first.replace(day=1))) if month in history.columns else kept
+
+
+def delete_expired(spark: SparkSession, path: str, now: dt.date, days: int = RETENTION_DAYS, ts: str = "as_of", month: str = "computed_month") -> None:
+    """Delete what left the retention window: whole months as folders, the first kept month by rewriting it."""
+    first = now - dt.timedelta(days=days)
+    edge = first.replace(day=1)
+    for name in children(spark, path):
+        at = name.removeprefix(f"{month}=")
+        if at != name and at < edge.isoformat():
+            remove(spark, f"{path}/{name}")
+    if exists(spark, f"{path}/{month}={edge.isoformat()}") and first > edge:
+        rows = spark.read.parquet(path).filter(F.col(month) == F.lit(edge)).drop(month)
+        kept = cut_lineage(rows.filter(F.col(ts) >= F.lit(first)))
+        if kept.isEmpty():
+            remove(spark, f"{path}/{month}={edge.isoformat()}")
+        else:
+            overwrite_months(kept, path, ts, month)
+
+
+def record_run(ledger: DataFrame, runs: DataFrame) -> DataFrame:
+    """J13, writing side: one row per source, the latest run wins with its status, rows written and detail."""
+    newest = runs.groupBy("source").agg(F.max(F.struct("last_ingested_at", "status", "rows_written", "detail")).alias("r")).select("source", "r.*")
+    return upsert(ledger, newest, ["source"])
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

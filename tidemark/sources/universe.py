@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.coerce import plain_number
+from tidemark.session import cut_lineage
 
 COLUMNS = (
     "ticker exchange name segment subsegment exposure_pct market_cap_bucket mcap_usd currency_hedge notes row_no"
@@ -56,7 +57,9 @@ def read_ledger(files: DataFrame, json_col: str = "value") -> DataFrame:
     """(segment, ticker, quarter, value) from ledger JSON text, one document per row.
 
     Keys starting with ``_`` are comments. An alias takes the entries of the segment it
-    names; aliases of aliases are followed for a few hops.
+    names, over any number of hops: each round every pending alias jumps to what its target
+    names, so the reach doubles. An alias of something unknown has no rows; a ring of aliases
+    is an error.
     """
     # Comment values are not objects, so entries are read key by key.
     specs = files.select(F.explode(F.from_json(json_col, "map<string, string>")).alias("segment", "body")).filter(
@@ -64,16 +67,22 @@ def read_ledger(files: DataFrame, json_col: str = "value") -> DataFrame:
     )
     body = F.from_json("body", f"struct<entries: array<{LEDGER_ENTRY}>, entries_ref: string>")
     specs = specs.select("segment", body.alias("b")).select("segment", "b.entries", "b.entries_ref")
+    specs = cut_lineage(specs)
     own = specs.filter(F.col("entries").isNotNull()).select(F.col("segment").alias("owner"), "entries")
-    alias = specs.filter(F.col("entries").isNull() & F.col("entries_ref").isNotNull()).select("segment", "entries_ref")
+    alias = F.col("entries").isNull() & F.col("entries_ref").isNotNull()
+    names = cut_lineage(specs.filter(alias).select("segment", "entries_ref").distinct())
+    for _ in range(max(names.count(), 1).bit_length() + 1):
+        if names.join(names.select(F.col("segment").alias("entries_ref")), "entries_ref", "left_semi").isEmpty():
+            break
+        further = names.select(F.col("segment").alias("entries_ref"), F.col("entries_ref").alias("further"))
+        hop = names.join(further, "entries_ref", "left")
+        names = cut_lineage(hop.select("segment", F.coalesce("further", "entries_ref").alias("entries_ref")).distinct())
+    else:
+        raise ValueError("ledger aliases form a ring")
     owners = own.select("owner")
-    resolved = own.select(F.col("owner").alias("segment"), "owner")
-    for _ in range(3):
-        hit = alias.join(owners, alias["entries_ref"] == owners["owner"]).select("segment", "owner")
-        resolved = resolved.unionByName(hit)
-        pending = alias.join(hit.select("segment"), "segment", "left_anti")
-        nxt = alias.select(F.col("segment").alias("entries_ref"), F.col("entries_ref").alias("further"))
-        alias = pending.join(nxt, "entries_ref").select("segment", F.col("further").alias("entries_ref"))
+    resolved = owners.select(F.col("owner").alias("segment"), "owner").unionByName(
+        names.join(owners, names["entries_ref"] == owners["owner"]).select("segment", "owner")
+    )
     return (
         resolved.join(own, "owner")
         .select("segment", F.explode("entries").alias("e"))
