@@ -201,10 +201,12 @@ def with_regime(history: DataFrame) -> DataFrame:
     return out.withColumn("fast_resolve", fast_resolve(F.col("regime"), F.col("b_prime")))
 
 
+def confidence_at(age: Column) -> Column:
+    """Confidence by days of history."""
+    return F.when(age < 90, "low").when(age < 180, "medium").otherwise("high")
+
+
 def age_confidence(history: DataFrame, by: list[str] = ["segment", "horizon", "mode"]) -> DataFrame:  # noqa: B006
     """Confidence from the days since a segment was first scored."""
     first = F.min("as_of").over(Window.partitionBy(*by))
-    age = F.datediff("as_of", "first_at")
-    return history.withColumn("first_at", first).withColumn(
-        "confidence", F.when(age < 90, "low").when(age < 180, "medium").otherwise("high")
-    )
+    return history.withColumn("first_at", first).withColumn("confidence", confidence_at(F.datediff("as_of", "first_at")))

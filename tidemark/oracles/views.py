@@ -393,3 +393,10 @@ def check(body: str, *names: str) -> str:
     """A full statement: the views a body needs, then the body."""
     views = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in _order(names, []))
     return f"WITH RECURSIVE {views}\n{body}" if views else body
+
+
+def check_on(day: str, body: str, *names: str) -> str:
+    """``check`` with one more as-of date, later ones left out: what a run on that day must find."""
+    grid = f"SELECT as_of FROM ({VIEWS['grid'][1]}) WHERE as_of < DATE '{day}' UNION ALL SELECT DATE '{day}'"
+    views = ",\n".join(f"{n} AS MATERIALIZED ({grid if n == 'grid' else VIEWS[n][1]})" for n in _order(names, []))
+    return f"WITH RECURSIVE {views}\n{body}"

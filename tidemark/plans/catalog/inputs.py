@@ -600,7 +600,7 @@ def upsert_snapshots(spark, sf_dir):
     "s27_read_ledger",
     check(
         """SELECT s AS segment, ticker, quarter, CAST(v AS DOUBLE) AS value
-           FROM (SELECT *, unnest([segment] || list_transform(range(1, 7), k -> 'alias ' || k || ' of ' || segment)) AS s FROM ledger)""",
+           FROM (SELECT *, unnest([segment] || list_transform(range(1, 7), lambda k: 'alias ' || k || ' of ' || segment)) AS s FROM ledger)""",
         "ledger",
     ),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import regimes
@@ -9,12 +11,13 @@ from tidemark.functions.bands import map_to_band
 from tidemark.operators import extractors as X
 from tidemark.operators import geo as G
 from tidemark.operators import scoring as S
-from tidemark.oracles.views import check
+from tidemark.oracles.views import check, check_on
 from tidemark.plans import fixtures as V
 from tidemark.plans import scoring as C
 from tidemark.plans import store
 from tidemark.plans.catalog.common import big, r6
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 
 
@@ -56,6 +59,29 @@ def flagship_monthly_regimes(spark, sf_dir):
     )
 
 
+@query(
+    "recompute_mid_month",
+    check_on(
+        "2001-06-17",
+        f"""SELECT segment, horizon, mode, as_of, {rr('b')}, {rr('base')}, {rr('b_prime')}, {rr('completeness')}, first_at, confidence, regime
+            FROM hist WHERE as_of = DATE '2001-06-17'""",
+        "hist",
+    ),
+)
+def recompute_mid_month(spark, sf_dir):
+    """A daily run: one day against the stored sub-score and score histories, both modes."""
+    day = dt.date(2001, 6, 17)
+    raw = cut_lineage(
+        C.raw_subscores_on(
+            store.signals(spark, sf_dir), V.segments(spark, sf_dir), V.seed(spark, sf_dir), G.exposure_hhi(store.universe(spark, sf_dir)), day
+        )
+    )
+    parts = [C.recompute(raw, store.raw_subscores(spark, sf_dir), store.score_history(spark, sf_dir), day, mode) for mode in ("fixed", "rolling")]
+    return parts[0].unionByName(parts[1]).select(
+        *_HIST, r6("b"), r6("base"), r6("b_prime"), r6("completeness"), "first_at", "confidence", "regime"
+    )
+
+
 @query(
     "j6_with_seed",
     check(f"SELECT as_of, segment, sub_score, source_key, {rr('raw')}, {rr('seed_value')} FROM rawsub", "rawsub"),

@@ -7,7 +7,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.constants import LOOKAHEAD_DAYS, LOOKAHEAD_SIGNALS, PEAK_CAPACITY_GAP_DAYS, SIGNAL_LOOKBACK_DAYS
+from tidemark.constants import (
+    LOOKAHEAD_DAYS,
+    LOOKAHEAD_SIGNALS,
+    MOMENTUM_DAYS,
+    PEAK_CAPACITY_GAP_DAYS,
+    ROLLING_DAYS,
+    SIGNAL_LOOKBACK_DAYS,
+)
 from tidemark.functions.grids import month_starts
 from tidemark.operators import extractors as X
 from tidemark.operators import scoring as S
@@ -90,6 +97,23 @@ def in_reach(signals: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     return rows.filter((F.col("observed_at") <= F.lit(end)) | F.col("signal_name").isin(*LOOKAHEAD_SIGNALS)).filter(T.available_at() <= F.lit(end))
 
 
+def points_on(signals: DataFrame, as_of: dt.date) -> DataFrame:
+    """``visible_points`` of one date, any day of a month: the gate is a plain filter, nothing is exploded."""
+    rows = T.dedupe_signals(in_reach(signals, as_of, as_of)).withColumn("series", _series())
+    merged = (
+        rows.withColumn("point", _point())
+        .withColumn("geography", F.coalesce("geography", F.lit("")))
+        .groupBy("segment", "series", "geography", "point")
+        .agg(
+            F.sum("value_num").alias("total"),
+            F.max("value_num").alias("top"),
+            F.max_by("value_num", F.struct("ingested_at", "value_num")).alias("newest"),
+            F.max("ingested_at").alias("ingested_at"),
+        )
+    )
+    return merged.withColumn("as_of", F.lit(as_of)).repartition("segment", "as_of")
+
+
 # Series family -> (sub-score, source key) it can feed.
 FEEDS = {
     "grid": ("capacity_tightness", "iso_capacity_ratio"),
@@ -177,10 +201,18 @@ def candidates(found: DataFrame, segments: DataFrame) -> DataFrame:
 def raw_subscores(
     signals: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame, start: dt.date, end: dt.date
 ) -> DataFrame:
-    """(segment, as_of, sub_score, raw, source_key, seed_value) for the whole grid."""
-    found = extracted(visible_points(signals, start, end))
+    """(segment, as_of, sub_score, raw, source_key, seed_value) for every month start of [start, end]."""
+    return _raw(extracted(visible_points(signals, start, end)), segments, seed, hhi, month_starts(start, end))
+
+
+def raw_subscores_on(signals: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame, as_of: dt.date) -> DataFrame:
+    """``raw_subscores`` of one date, on whatever day it falls."""
+    return _raw(extracted(points_on(signals, as_of)), segments, seed, hhi, F.array(F.lit(as_of)))
+
+
+def _raw(found: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame, grid: Column) -> DataFrame:
     picked = X.pick_source(candidates(found, segments), ["segment", "as_of"]).drop("profile")
-    dates = segments.select("segment").withColumn("as_of", F.explode(month_starts(start, end)))
+    dates = segments.select("segment").withColumn("as_of", F.explode(grid))
     geo = dates.join(hhi, "segment").select(
         "segment", "as_of", F.lit("geo_concentration").alias("sub_score"), F.col("hhi").alias("raw"), F.lit("hhi").alias("source_key")
     )
@@ -201,3 +233,24 @@ def score_history(subscores: DataFrame) -> DataFrame:
     """(segment, horizon, mode, as_of) with B, momentum, regime and confidence."""
     scored = S.weighted_score(subscores, ["segment", "as_of", "mode"])
     return S.age_confidence(S.with_regime(S.momentum(scored)))
+
+
+def recompute(
+    raw: DataFrame, raw_history: DataFrame, score_rows: DataFrame, as_of: dt.date, mode: str
+) -> DataFrame:
+    """A day's scores against stored history, as a daily job needs them.
+
+    ``raw`` are the day's raw sub-scores; of ``raw_history`` only the band's years are read, of
+    ``score_rows`` the momentum window and each key's first date. Rows of the day itself, from an
+    earlier run, count for nothing.
+    """
+    day, key = F.lit(as_of), ["segment", "horizon", "mode"]
+    past = raw_history.filter((F.col("as_of") < day) & (F.col("as_of") >= F.lit(as_of - dt.timedelta(days=ROLLING_DAYS))))
+    rows = past.unionByName(raw) if mode == "rolling" else raw
+    today = S.weighted_score(normalized(rows, mode).filter(F.col("as_of") == day), ["segment", "as_of", "mode"])
+    before = T.mode_filter(score_rows, mode).filter(F.col("as_of") < day)
+    recent = before.filter(F.col("as_of") >= F.lit(as_of - dt.timedelta(days=MOMENTUM_DAYS))).select(*today.columns)
+    scored = S.with_regime(S.momentum(recent.unionByName(today)).filter(F.col("as_of") == day))
+    known = before.groupBy(*key).agg(F.min("as_of").alias("known_since"))
+    aged = scored.join(known, key, "left").withColumn("first_at", F.coalesce("known_since", "as_of")).drop("known_since")
+    return aged.withColumn("confidence", S.confidence_at(F.datediff("as_of", "first_at")))
