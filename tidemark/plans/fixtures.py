@@ -313,7 +313,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("o_orderkey", "c_nationkey")
     )
     sells = (
-        line.select("l_orderkey", "l_partkey").distinct()
+        line.select("l_orderkey", "l_partkey")
         .join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .select("l_orderkey", "p_brand").distinct()
         .join(buyer, F.col("l_orderkey") == F.col("o_orderkey"))
