@@ -158,3 +158,17 @@ def test_stream_clusters_across_batches(spark):
         intake.append_to(stream, out, f"{out}_c").awaitTermination()
     got = [(r.ticker, r.day, r.n) for r in spark.read.parquet(out).collect()]
     assert got == [("T", D(2024, 1, 3), 3)]
+
+
+def test_a_revision_back_to_an_earlier_value_stays(spark):
+    from tidemark.session import scratch_path
+    from tidemark.streaming import intake
+
+    schema = "source string, source_id string, segment string, signal_name string, observed_at date, released_at timestamp, ingested_at timestamp, value_num double"
+    at = lambda d: dt.datetime(2024, 1, d)
+    rows = [("s", "1", "a", "n", dt.date(2023, 12, 1), at(d), at(d), v) for d, v in ((3, 1.0), (1, 1.0), (2, 2.0), (2, 2.0))]
+    path = scratch_path(spark, "revised")
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/in")
+    stream = intake.drop_repeats(intake.read_files(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema))
+    intake.append_to(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    assert sorted((r.released_at.day, r.value_num) for r in spark.read.parquet(f"{path}/out").collect()) == [(1, 1.0), (2, 2.0), (3, 1.0)]
