@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_path
 
 #: Texts are worked on in slices of about this many bytes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1
 #: ASCII white space; everything else belongs to a word.
 SPACES = b" \t\n\v\f\r"
