@@ -8,7 +8,8 @@ of the blocks, so all blocks of a file batch decode at once.
 Files are Parquet, one row per document in ascending doc_id order (then text hash; null doc_ids
 last) over ordered shards: ``doc_id, n, at`` (ids before it in its shard), ``shard``, ``offsets``
 (unsigned 32-bit per block), ``words`` (little-endian). Texts are tokenized word by word with a
-cache: the vocabulary's rules never join across white space, so this equals encoding the text.
+memory by 64-bit hash: the vocabulary's rules never join across white space, so this equals encoding the
+text.
 
 Rows: a null or empty text has only the end id; repeated rows are written as often as they come;
 an empty table writes no rows; other columns are not read.
@@ -16,18 +17,20 @@ an empty table writes no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, keyed, lanes, raw, slices
+from tidemark.llm.common import SPACES, Hasher, keyed, lanes, raw, slices, word_table
+from tidemark.llm.common import words as words_of
 from tidemark.session import literal_frame, scratch_path
 
 #: Fixed values of the coding: ids per word and bits per id, by selector; the escape selector.
@@ -37,10 +40,12 @@ BLOCK = 120
 END_ID = 1
 #: ASCII marks that may close a word; none of them occurs in the vocabulary's special strings next to a space.
 MARKS = b".,;:!?%$#&*"
-#: Words in a generation of what a worker remembers.
-CACHE_WORDS = 450_000
+#: Words that a worker remembers at most, about 35 MB; then it starts anew.
+CACHE_WORDS = 1_000_000
 #: Words tokenized at once; the library holds far more than the ids of each.
-CHUNK_WORDS, PLAIN_WORDS = 2_000, 20
+CHUNK_WORDS = 2_000
+#: Composed Latin letters whose lower case is one letter.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
 
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +152,14 @@ def decode(words: np.ndarray, per_doc: np.ndarray, offsets: np.ndarray, counts:
     return out
 
 
-def loosened(flat: np.ndarray, offs: np.ndarray) -> list[bytes]:
+def byte_letters() -> dict[int, int]:
+    """The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+def loosened(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts with a space before marks that close a word, so that far fewer different words remain.
 
     Letters and a run of marks are always separate units of the vocabulary's rules; only marks that
@@ -164,9 +176,7 @@ def loosened(flat: np.ndarray, offs: np.ndarray) -> list[bytes]:
     after = other[np.searchsorted(other, cut)]
     closing = ~begins & ((after >= row_end) | space[flat[np.minimum(after, max(n - 1, 0))]])
     cut = cut[closing]
-    wide = np.insert(flat, cut, 32).tobytes()
-    offs = (offs + np.searchsorted(cut, offs, side="left")).tolist()
-    return [wide[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    return np.insert(flat, cut, 32), offs + np.searchsorted(cut, offs, side="left")
 
 
 def worker_state() -> dict:
@@ -175,35 +185,47 @@ def worker_state() -> dict:
 
 
 class Memory:
-    """Words and their ids: a dictionary of places in flat arrays."""
+    """Words, by 64-bit hash, and their ids in flat arrays: about 35 bytes a word."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of words, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.places[at], -1).astype(np.int64)
+
+    def add(self, h: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New words by ascending hash."""
+        at = np.searchsorted(self.keys, h)
+        new = np.arange(len(self.keys), len(self.keys) + len(h), dtype=np.int32)
+        self.keys, self.places = np.insert(self.keys, at, h), np.insert(self.places, at, new)
+        self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
 
     def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(self.starts)[places]
+        first = self.starts[places]
+        size = self.starts[places + 1] - first
         ends = np.cumsum(size)
-        at = np.repeat(self.starts[places] - ends + size, size) + np.arange(int(size.sum()))
-        return self.flat[at], size
+        return self.flat[np.repeat(first - ends + size, size) + np.arange(int(size.sum()))], size
 
 
 class Tokens:
-    """Ids of texts, by words that are looked up once; words of the last two generations are remembered."""
+    """Ids of texts, by words that are looked up once and remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        closes = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
-        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.closes[closes] = True
-        self.young, self.old = Memory(), Memory()
+        self.model, self.byte_letters = self.tokenizer.model, byte_letters()
+        probes = [*map(chr, range(0x41, 0x180)), "Straße", "naïve", "thing", "ŒUVRE", "Łódź"]
+        probes = [p for p in probes if LATIN.fullmatch(p)]
+        # words of Latin letters need no other rule than lower case and the byte alphabet, if this vocabulary is of that kind
+        self.direct = all(self._latin(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
+        self.memory, self.hasher, self.inside = Memory(), Hasher(), word_table()
 
     @classmethod
     def kept(cls, path: str) -> "Tokens":
@@ -212,55 +234,42 @@ class Tokens:
             state[path] = cls(path)
         return state[path]
 
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Words of letters are one unit each: encoded together, a unit's last id closes it."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
-            return None
-        return ids, np.diff(np.concatenate([[0], ends]))
-
-    def learn(self, new: list[bytes]) -> None:
-        past = [w for w in new if w in self.old.known]
-        if past:
-            self.young.add(past, *self.old.ids(np.array([self.old.known[w] for w in past])))
-            new = [w for w in new if w not in self.old.known]
-        texts = [w.decode() for w in new]
-        letters = [t.isalpha() and (t.isascii() or t.lower().isalpha()) for t in texts]
-        words, parts = [], []
-        for plain in (True, False):
-            mine = [i for i, x in enumerate(letters) if x == plain]
-            for at in range(0, len(mine), CHUNK_WORDS if not plain else PLAIN_WORDS):
-                part = mine[at : at + (CHUNK_WORDS if not plain else PLAIN_WORDS)]
-                found = self._plain([texts[i] for i in part]) if plain else None
-                if found is None:
-                    ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
-                    found = np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
-                words += [new[i] for i in part]
-                parts.append(found)
-        if words:
-            self.young.add(words, *(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _latin(self, word: str) -> list[int]:
+        """A word of Latin letters, straight through the vocabulary's merges."""
+        return [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.byte_letters))]
+
+    def encoded(self, words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode() for w in words]
+        latin = [self.direct and LATIN.fullmatch(t) is not None for t in texts]
+        ids: list[list[int]] = [self._latin(t) if x else [] for t, x in zip(texts, latin, strict=True)]
+        other = [i for i, x in enumerate(latin) if not x]
+        for at in range(0, len(other), CHUNK_WORDS):
+            part = other[at : at + CHUNK_WORDS]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                ids[i] = e.ids
+        return ids
+
+    def __call__(self, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and their counts."""
-        if len(self.young.known) > CACHE_WORDS:
-            self.old, self.young = self.young, Memory()
-        split = [t.split() for t in texts]
-        n = sum(map(len, split))
-        word = np.fromiter(map(self.young.known.get, chain.from_iterable(split), repeat(-1)), np.int64, n)
-        missing = np.flatnonzero(word < 0)
+        if len(self.memory.keys) > CACHE_WORDS:
+            self.memory = Memory()
+        starts, ends, first = words_of(flat, offs, self.inside)
+        h = self.hasher.spans(flat, starts, ends)
+        place = self.memory.find(h)
+        missing = np.flatnonzero(place < 0)
         if len(missing):
-            every = list(chain.from_iterable(split))
-            lost = [every[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(lost)))
-            word[missing] = [self.young.known[w] for w in lost]
-        per_text = np.array([len(ws) for ws in split], np.int64)
-        ids, size = self.young.ids(word)
-        edges = np.concatenate([[0], np.cumsum(per_text)])
+            new, at = np.unique(h[missing], return_index=True)
+            at = missing[at]
+            text = flat.tobytes()
+            ids = self.encoded([text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.memory.add(new, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+            place[missing] = self.memory.find(h[missing])
+        ids, size = self.memory.ids(place)
         upto = np.concatenate([[0], np.cumsum(size)])
-        counts = upto[edges[1:]] - upto[edges[:-1]] + 1
+        counts = upto[first[1:]] - upto[first[:-1]] + 1
         out = np.full(int(counts.sum()), END_ID, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts - 1)] = ids
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts - 1)] = ids
         return out, counts
 
 
@@ -277,7 +286,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None
 
         tokens, shard, total = Tokens.kept(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids, counts = tokens(loosened(*raw(batch.column("text"))))
+            ids, counts = tokens(*loosened(*raw(batch.column("text"))))
             words, per_doc, offsets, blocks = encode(ids.astype(np.uint64), counts)
             at = total + np.cumsum(counts) - counts
             total += int(counts.sum())
