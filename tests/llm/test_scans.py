@@ -246,6 +246,23 @@ def test_token_files(which, request):
     assert sorted_rows(token_files.op10_query(docs)) == sorted(want, key=repr)
 
 
+def test_token_files_of_marks_behind_other_characters(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ends = ["“hello”", "‘a’", "20°", "5€", "brand™", "l’eau»", "👍", "👍🏽", "wait…", "नमस्ते", "क़", "\u0958", "İ", "e\u0301", "Straße", "naïve", "слово", "語", "한", "\u1112\u1161\u11ab", "ΟΔΟΣ", "x²", "٣", "y\u00a0", "ﬁ", "\u037e", "\u212b", "\ufb1d", "\U00010400", "\U0001d7d8", "—", "a\u200d", "don't", "<|endoftext|>"]
+    texts = [f"{e}{m}{z}" for e in ends for m in [*".,;:!?%$#&*", "...", "?!"] for z in ("", " then", "\n", "\u3000x", "\u0301")]
+    texts += ["é", ".", "”.", "", "é.", "”"]
+    texts.append(" ".join(texts))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = token_files.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    ids, counts = tokens(*token_files.loosened(*raw(pa.array(texts)), tokens.apart))
+    got = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [t for t, g in zip(texts, got, strict=True) if g != [*tokenizer.encode(t, add_special_tokens=False).ids, 1]] == []
+    rows = token_files.op10_query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(np.array(g, "<u4").tobytes()) for i, g in enumerate(got)}
+
+
 def test_token_files_of_nothing_and_their_ids(spark, documents, empty, tmp_path):
     assert token_files.op10_query(empty).count() == 0
     token_files.write_ids(documents.limit(5), f"file://{tmp_path}/ids")

@@ -8,8 +8,8 @@ of the blocks, so all blocks of a file batch decode at once.
 Files are Parquet, one row per document in ascending doc_id order (then text hash; null doc_ids
 last) over ordered shards: ``doc_id, n, at`` (ids before it in its shard), ``shard``, ``offsets``
 (unsigned 32-bit per block), ``words`` (little-endian). Texts are tokenized word by word with a
-memory by 64-bit hash: the vocabulary's rules never join across white space, so this equals encoding the
-text.
+memory by 64-bit hash: the vocabulary's rules never join across white space, and a closing mark is only split
+off behind characters that the rules part from it, so this equals encoding the text.
 
 Rows: a null or empty text has only the end id; repeated rows are written as often as they come;
 an empty table writes no rows; other columns are not read.
@@ -21,7 +21,7 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -159,11 +159,24 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-def loosened(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def last_characters(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The characters that end at ``ends``, their UTF-8 bytes read as one number each."""
+    out = flat[ends - 1].astype(np.int64)
+    more = (out & 0xC0) == 0x80
+    for k in range(1, 4):
+        byte = flat[np.maximum(ends - 1 - k, 0)].astype(np.int64)
+        out |= np.where(more, byte << (8 * k), 0)
+        more &= (byte & 0xC0) == 0x80
+    return out
+
+
+def loosened(flat: np.ndarray, offs: np.ndarray, apart: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Texts with a space before marks that close a word, so that far fewer different words remain.
 
-    Letters and a run of marks are always separate units of the vocabulary's rules; only marks that
-    reach up to white space or the text's end are set apart.
+    ASCII letters and a run of marks are always separate units of the vocabulary's rules; behind any
+    other character a mark is only set apart where ``apart`` says that the rules do so too, as they
+    join a quote, a degree sign or a vowel sign with the mark behind it. Only marks that reach up to
+    white space or the text's end are set apart.
     """
     n = len(flat)
     mark, letter, space = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -176,6 +189,10 @@ def loosened(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = other[np.searchsorted(other, cut)]
     closing = ~begins & ((after >= row_end) | space[flat[np.minimum(after, max(n - 1, 0))]])
     cut = cut[closing]
+    keep = np.ones(len(cut), bool)
+    beyond = flat[cut - 1] >= 128
+    keep[beyond] = apart(last_characters(flat, cut[beyond]))
+    cut = cut[keep]
     return np.insert(flat, cut, 32), offs + np.searchsorted(cut, offs, side="left")
 
 
@@ -226,6 +243,7 @@ class Tokens:
         # words of Latin letters need no other rule than lower case and the byte alphabet, if this vocabulary is of that kind
         self.direct = all(self._latin(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
         self.memory, self.hasher, self.inside = Memory(), Hasher(), word_table()
+        self.ends_unit: dict[int, bool] = {}
 
     @classmethod
     def kept(cls, path: str) -> "Tokens":
@@ -234,6 +252,18 @@ class Tokens:
             state[path] = cls(path)
         return state[path]
 
+    def apart(self, characters: np.ndarray) -> np.ndarray:
+        """Whether the vocabulary's rules part each character from a mark behind it; asked once per character.
+
+        The rules see normalized text, so some letters (U+0130, U+0958) end in a combining mark there.
+        """
+        seen, which = np.unique(characters, return_inverse=True)
+        for c in seen.tolist():
+            if c not in self.ends_unit:
+                text = self.tokenizer.normalizer.normalize_str(c.to_bytes(-(-c.bit_length() // 8), "big").decode() + ".")
+                self.ends_unit[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "."
+        return np.array([self.ends_unit[c] for c in seen.tolist()], bool)[which]
+
     def _latin(self, word: str) -> list[int]:
         """A word of Latin letters, straight through the vocabulary's merges."""
         return [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.byte_letters))]
@@ -286,7 +316,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None) -> None
 
         tokens, shard, total = Tokens.kept(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids, counts = tokens(*loosened(*raw(batch.column("text"))))
+            ids, counts = tokens(*loosened(*raw(batch.column("text")), tokens.apart))
             words, per_doc, offsets, blocks = encode(ids.astype(np.uint64), counts)
             at = total + np.cumsum(counts) - counts
             total += int(counts.sum())
