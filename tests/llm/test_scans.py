@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -162,6 +163,41 @@ def test_longest_match_is_reported(spark):
     assert decontaminate.judge(docs, items).first()["longest"] == 25
 
 
+def located(texts, items):
+    tests = decontaminate.test_suffixes(items)
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    return decontaminate._located(batch, [i for i, _ in items], tests, decontaminate.Hasher(), True)
+
+
+def test_decontamination_of_small_alphabets():
+    rng = np.random.default_rng(3)
+    texts = ["", *(" ".join(rng.choice(["a", "b"], rng.integers(0, 90), p=[0.9, 0.1])) for _ in range(150))]
+    items = [(f"i{k % 17}", " ".join(rng.choice(["a", "b"], rng.integers(0, 45), p=[0.9, 0.1]))) for k in range(20)] + [("i1", "a a b"), ("same", texts[7]), ("", "b b")]
+    for (n, spans, named, longest), text in zip(located(texts, items), texts, strict=True):
+        w, hit, want, most = text.split(), set(), set(), 0
+        for name, t in items:
+            v = t.split()
+            for i in range(len(w)):
+                for j in range(max(len(v) - min(len(v), 13) + 1, 0) if v else 0):
+                    k = 0
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    if k >= min(len(v), 13):
+                        hit.update(range(i, i + k))
+                        want.add(name)
+                        most = max(most, k)
+        assert (n, {x for s, e in spans for x in range(s, e)}, set(named), longest) == (len(w), hit, want, most)
+
+
+def test_decontamination_of_repeats_forms_no_pairs():
+    tracemalloc.start()
+    (n, spans, named, longest), = located(["a " * 200_000], [("x", "a " * 50), ("y", "a " * 40)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n, spans, named, longest) == (200_000, [(0, 200_000)], ["x", "y"], 50)
+    assert peak < 100 << 20
+
+
 def test_quality_gradients_and_held_out_accuracy(spark):
     rng = np.random.default_rng(0)
     x, count, y = rng.normal(size=(9, quality.FEATURES)), np.array([2, 1, 6]), np.array([1.0, 0, 1])
