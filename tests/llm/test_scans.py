@@ -198,6 +198,20 @@ def test_decontamination_of_repeats_forms_no_pairs():
     assert peak < 100 << 20
 
 
+def test_decontamination_holds_one_block_at_a_time(awkward, benchmark, monkeypatch):
+    items = benchmark.selectExpr("item_id", "text").limit(3)
+    whole = sorted_rows(decontaminate.judge(awkward, items))
+    suffixes, store, done = decontaminate.test_suffixes, decontaminate.stored, []
+    monkeypatch.setattr(decontaminate, "test_suffixes", lambda *a: done.append("collected") or suffixes(*a))
+    monkeypatch.setattr(decontaminate, "stored", lambda *a: (store(*a), done.append("stored"))[0])
+    monkeypatch.setattr(decontaminate, "_blocks", lambda b: [b.filter(b.item_id == r["item_id"]).withColumn("item_id", b.item_id.cast("string")) for r in b.collect()])
+    assert sorted_rows(decontaminate.judge(awkward, items)) == whole
+    assert done == ["collected", "stored"] * 3
+    done.clear()
+    decontaminate.remove_contaminated(awkward, items).count()
+    assert done == ["collected", "stored"] * 3
+
+
 def test_quality_gradients_and_held_out_accuracy(spark):
     rng = np.random.default_rng(0)
     x, count, y = rng.normal(size=(9, quality.FEATURES)), np.array([2, 1, 6]), np.array([1.0, 0, 1])

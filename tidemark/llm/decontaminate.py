@@ -6,7 +6,8 @@ benchmark (13 words, or a whole shorter item) is looked up by binary search. The
 found, each once, and the windows are then ordered together word by word to the windows' depth; a
 suffix that ends in a window's class is an occurrence. No pair of a suffix and an item is formed, so
 the work does not grow with repeats on both sides. Documents are never split over shards, so no
-shuffle is needed; the benchmark goes to the tasks in blocks of a checked size.
+shuffle is needed; the benchmark passes through the driver to the tasks in blocks of a checked size,
+one at a time.
 
 Rows: a null text has no words and is clean; a null item text matches nothing; a null item_id
 counts as the empty string, repeated item_ids as one item; repeated documents are judged alike; an
@@ -16,14 +17,13 @@ empty benchmark leaves every document clean; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, Hasher, keyed, raw, slices, word_table, words
+from tidemark.llm.common import LAST_ID, Hasher, keyed, raw, slices, stored, word_table, words
 
 WINDOW, SHARE = 13, 20
 PREFIX, PREFIX_BITS = 3, 14
@@ -178,11 +178,10 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [texts] if n == 1 else [texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _found(benchmark: DataFrame) -> Iterator[tuple[list[str], dict[str, np.ndarray]]]:
-    """Per block: its item names and test suffixes, collected behind the size check above."""
-    for block in _blocks(benchmark):
-        items = sorted((r["item_id"], r["text"]) for r in block.collect())
-        yield [i for i, _ in items], test_suffixes(items)
+def _collected(block: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The item names and test suffixes of one block, collected behind the size check above."""
+    items = sorted((r["item_id"], r["text"]) for r in block.collect())
+    return [i for i, _ in items], test_suffixes(items)
 
 
 def _verdict(n: int, spans: list[tuple[int, int]], items: list[str], longest: int) -> tuple[int, int, str, bool, int]:
@@ -227,7 +226,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
     schema = f"doc_id {kind}, id long, th long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
-    blocks = list(_found(benchmark))
+    blocks = _blocks(benchmark)
 
     def verdicts(batch: pa.RecordBatch, found: list[tuple[int, list, list, int]]) -> pa.RecordBatch:
         told = [(n, *_verdict(n, spans, items, most)) for n, spans, items, most in found]
@@ -235,7 +234,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("th"), *columns], ["doc_id", "id", "th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
 
     if len(blocks) == 1:
-        names, tests = blocks[0]
+        names, tests = _collected(blocks[0])
 
         def scan(batches):
             hasher = Hasher()
@@ -264,7 +263,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFr
             spans, items, most = (batch.column(c).to_pylist() for c in ("spans", "items", "longest"))
             yield verdicts(batch, [(int(n), s or [], i or [], m or 0) for n, s, i, m in zip(np.diff(first), spans, items, most, strict=True)])
 
-    parts = [locate(*b) for b in blocks]
+    # one block at a time is on the driver: its matches are stored before the next is collected
+    parts = [stored(locate(*_collected(b)), "benchmark-matches") for b in blocks]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -274,12 +274,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFr
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean documents, in their own columns and order of partitions."""
-    blocks = list(_found(benchmark))
+    blocks = _blocks(benchmark)
     if len(blocks) > 1:
         bad = judge(docs, benchmark, longest=False).filter("contaminated").select("id", "th").distinct()
         rows = docs.withColumns({"__key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__key_th": F.xxhash64("text")})
         return rows.join(bad, (rows["__key_id"] == bad.id) & (rows["__key_th"] == bad.th), "left_anti").select(*docs.columns)
-    names, tests = blocks[0]
+    names, tests = _collected(blocks[0])
 
     def scan(batches):
         hasher = Hasher()
