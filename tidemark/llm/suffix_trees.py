@@ -1,7 +1,7 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by suffix trees over words, partitioned by anchors.
 
-Suffixes are partitioned by a prefix of variable length: the anchor gram of their window (see
-``repeats``), or where that one is too common the next anchor. Each task holds a bounded group of
+Suffixes are partitioned not by prefixes of variable length but by the anchor gram of their window
+(see ``repeats``), or where that one is too common the next anchor. Each task holds a bounded group of
 them and grows their subtree from the root down: a node is the set of suffixes that share its
 path, every level adds words to the path, and a node with one suffix left is a leaf and is not
 followed. Nodes as deep as the window are the maximal repeats' inner nodes; each knows the smallest
