@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, minhash, mixing, private_data, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files
+from tidemark.llm import decontaminate, fill_middle, minhash, mixing, private_data, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,12 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": _documents(suffix_arrays.remove_repeats),
     "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_token_files": _documents(token_files.op10_query),
+    "op11_fill_middle": _documents(fill_middle.op11_query),
 }
 
 ORACLES: dict[str, str] = {
     "op2_suffix_tree_dedup": suffix_trees.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
