@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import conversations, decontaminate, fill_middle, minhash, mixing, private_data, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files
+from tidemark.llm import conversations, decontaminate, fill_middle, minhash, mixing, private_data, quality, secrets, simhash, suffix_arrays, suffix_trees, token_files, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_token_files": _documents(token_files.op10_query),
     "op11_fill_middle": _documents(fill_middle.op11_query),
+    "op12_toxic_spans": lambda spark, sf_dir: toxicity.op12_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_conversation_repair": lambda spark, sf_dir: conversations.op13_query(table(spark, sf_dir, "conversations")),
 }
 
