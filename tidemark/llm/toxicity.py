@@ -13,7 +13,8 @@ largest marginal and its expected number of toxic words, give its score by logis
 
 Learned from are at most ``DOCUMENTS`` labelled documents of each class outside the held-out fold, and
 at most ``PASSAGES`` passages of 64 words of them, both in the order of a hash; everything is scored on whole
-texts.
+texts. A bound on the hash, from a count, comes before each of these choices, so tasks send about as many rows as
+are wanted, however many tasks there are.
 
 Rows: null and wordless texts have no words and get the score of none; a doc_id labelled twice counts
 with its mean label; unlabelled documents are scored only; without labels of both classes every score is
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Hasher, mix, raw, slices, words
 
 PASSAGE = 64
-DOCUMENTS, PASSAGES = 5_000, 8_000
+DOCUMENTS, PASSAGES = 5_000, 5_000
 #: Hashed features: the number of buckets, and features per word.
 BUCKETS, KINDS = 1 << 18, 5
 HEAD, TAIL = 5, 4
@@ -242,9 +243,20 @@ def _open(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("y"))
 
 
+def _first(rows: DataFrame, most: int, rank: str, *ties: str) -> DataFrame:
+    """Of either class the ``most`` rows of least ``rank``, a number from 0 to 2**63 spread evenly."""
+    counted = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    some = []
+    for y in (True, False):
+        # half as many again and a hundred more than wanted lie below the bound
+        bound = min((1 << 63) - 1, int((1 << 63) * ((1.5 * most + 100) / max(1, counted.get(y, 0)))))
+        some.append(rows.filter((F.col("y") == y) & (F.col(rank) <= bound)).orderBy(rank, *ties).limit(most))
+    return some[0].unionByName(some[1])
+
+
 def _sample(docs: DataFrame, labels: DataFrame, documents: int) -> DataFrame:
-    some = [_open(labels).filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents) for y in (True, False)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    some = _first(_open(labels).withColumn("rank", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)), documents, "rank", "doc_id").drop("rank")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -278,10 +290,7 @@ def _passages(rows: list[tuple]) -> pa.RecordBatch:
 def fit(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS, most: int = PASSAGES) -> Model | None:
     """Learn from labelled documents outside the held-out fold."""
     rows = _sample(docs, labels, documents)
-    found = passages(rows)
-    order = ("rank", "doc", "hashes")
-    some = [found.filter(F.col("y") == y).orderBy(*order).limit(most) for y in (True, False)]
-    got = some[0].unionByName(some[1]).collect()
+    got = _first(passages(rows), most, "rank", "doc", "hashes").collect()
     got.sort(key=lambda r: (r["y"], r["rank"], r["doc"], r["hashes"]))
     if len({r["y"] for r in got}) < 2:
         return None
