@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import grids
 from tidemark.operators import inference as I
@@ -103,8 +104,39 @@ def test_ranks_match_brute_force_with_a_hot_value(spark):
     rng = random.Random(11)
     values = [rng.choice([0.0, 0.0, 0.0, -3.5, 1e-9, 2e6, rng.uniform(-1, 1)]) for _ in range(300)]
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, x double")
-    got = {r.i: r.rk for r in K.average_ranks(df, ["g"], x="rk").collect()}
-    assert [got[i] for i in range(300)] == average_rank(values)
+    for cells in (1, 5, 40):
+        # with ``i`` beside it the hot value is many rows that cross tasks, without it one merged row
+        got = {r.i: r.rk for r in K.average_ranks(df, ["g"], cells, x="rk", i="by_i").collect()}
+        assert [got[i] for i in range(300)] == average_rank(values)
+        merged = {r.x: (r.n, r.rk) for r in K.average_ranks(df, ["g"], cells, x="rk").collect()}
+        assert merged == {v: (values.count(v), r) for v, r in zip(values, average_rank(values))}
+
+
+def test_counts_and_row_numbers_over_many_groups_and_tasks(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), i, rng.choice([None, 1.0, 1.0, rng.uniform(0, 9), float("nan")])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    size = lambda v: (v != v, v if v == v else 0.0)
+    for cells in (1, 7, 60):
+        got = {(r.g, repr(r.x)): (r.n, r.upto) for r in K.cumulative_counts(df, ["g"], "x", cells).collect()}
+        want = {}
+        for g, _, x in rows:
+            if x is not None:
+                mine = [v for k, _, v in rows if k == g and v is not None]
+                want[g, repr(x)] = (sum(size(v) == size(x) for v in mine), sum(size(v) <= size(x) for v in mine))
+        assert got == want
+        numbered = K.row_numbers(df.select("g", "i"), ["g"], [F.col("i").desc()], cells=cells).collect()
+        assert {(r.g, r.i): r["rank"] for r in numbered} == {(g, i): sum(k == g and j >= i for k, j, _ in rows) for g, i, _ in rows}
+        whole = {r.i: r["rank"] for r in K.row_numbers(df.select("i"), [], [F.col("i").asc()], cells=cells).collect()}
+        assert whole == {i: i + 1 for i in range(400)}
+
+
+def test_no_task_of_a_layout_holds_much_more_than_its_share(spark):
+    """A third of the rows share one value, another third one group."""
+    rows = [("hot", 5.0, i) for i in range(3000)] + [("hot", float(i), i) for i in range(3000)] + [(f"g{i % 50}", float(i), i) for i in range(3000)]
+    laid = K._laid_out(spark.createDataFrame(rows, "g string, x double, i int"), ["g"], [F.col("x").asc(), F.col("i").asc()], 16)
+    sizes = [r["count"] for r in laid.withColumn("cell", F.spark_partition_id()).groupBy("cell").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * 9000 / 16
 
 
 def ic_points(spark, rows):

@@ -131,44 +131,95 @@ def land(spark, path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_intake_drops_repeats_across_batches_and_keeps_revisions(spark):
-    schema = "source string, source_id string, segment string, signal_name string, observed_at date, ingested_at timestamp, value_num double"
-    src, out = scratch_path(spark, "in"), scratch_path(spark, "out")
-    mk = lambda v, day: ("f", "1", "s", "n", D(2024, 1, 1), dt.datetime(2024, 1, day), v)
-    land(spark, src, [mk(1.0, 2), mk(1.0, 2)], schema)
-    ddl = spark.read.parquet(src).schema
-    for batch in ([], [mk(1.0, 3), mk(2.0, 3)]):
-        if batch:
-            land(spark, src, batch, schema)
-        intake.append_to(intake.drop_repeats(intake.read_files(spark, src, ddl)), out, f"{out}_c").awaitTermination()
-    assert sorted(r.value_num for r in spark.read.parquet(out).collect()) == [1.0, 2.0]
-
-
-def test_stream_clusters_across_batches(spark):
-    schema = "ticker string, insider long, ts timestamp"
-    src, out = scratch_path(spark, "buys"), scratch_path(spark, "alerts")
-    at = lambda t, i, day: (t, i, dt.datetime(2024, 1, day, 9))
-    batches = [[at("T", 1, 1), at("T", 2, 2), at("U", 1, 1)], [at("T", 2, 3), at("T", 3, 3)], [at("T", 4, 4), at("U", 2, 2)]]
-    land(spark, src, batches[0], schema)
-    ddl = spark.read.parquet(src).schema
-    for i, batch in enumerate(batches):
-        if i:
-            land(spark, src, batch, schema)
-        stream = clusters.stream_clusters(intake.read_files(spark, src, ddl), days=30, k=3)
+def replay(spark, batches, schema, judge, name):
+    """Land and process one batch after another; rows by kind."""
+    src, out = scratch_path(spark, f"{name}_in"), scratch_path(spark, f"{name}_out")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for batch in batches:
+        land(spark, src, batch, schema)
+        stream = judge(intake.read_files(spark, src, spark.read.parquet(src).schema))
         intake.append_to(stream, out, f"{out}_c").awaitTermination()
-    got = [(r.ticker, r.day, r.n) for r in spark.read.parquet(out).collect()]
-    assert got == [("T", D(2024, 1, 3), 3)]
-
-
-def test_a_revision_back_to_an_earlier_value_stays(spark):
-    from tidemark.session import scratch_path
-    from tidemark.streaming import intake
-
-    schema = "source string, source_id string, segment string, signal_name string, observed_at date, released_at timestamp, ingested_at timestamp, value_num double"
-    at = lambda d: dt.datetime(2024, 1, d)
-    rows = [("s", "1", "a", "n", dt.date(2023, 12, 1), at(d), at(d), v) for d, v in ((3, 1.0), (1, 1.0), (2, 2.0), (2, 2.0))]
-    path = scratch_path(spark, "revised")
-    spark.createDataFrame(rows, schema).write.parquet(f"{path}/in")
-    stream = intake.drop_repeats(intake.read_files(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema))
-    intake.append_to(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    assert sorted((r.released_at.day, r.value_num) for r in spark.read.parquet(f"{path}/out").collect()) == [(1, 1.0), (2, 2.0), (3, 1.0)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return {kind: intake.appended(spark, out, stream.schema, kind).collect() for kind in ("alert", "kept", "late")}
+
+
+SIGNAL = "source string, source_id string, segment string, signal_name string, observed_at date, released_at timestamp, ingested_at timestamp, value_num double"
+HOUR = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+BEAT = (None, None, None, None, None, None, HOUR(10_000), None)
+
+
+def signal(hour, value, source_id="1", released=None):
+    return ("f", source_id, "s", "n", D(2024, 1, 1), released, HOUR(hour), value)
+
+
+def splits(rows, rng, n=3):
+    cut = sorted(rng.sample(range(1, len(rows)), min(n - 1, len(rows) - 1)))
+    return [rows[a:b] for a, b in zip([0, *cut], [*cut, len(rows)])]
+
+
+def values_kept(rows):
+    """Brute force: values in intake order, each that differs from the one before."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r[6], r[7] is not None, r[7] or 0.0)):
+        mine = out.setdefault(r[1], [])
+        if not mine or mine[-1] != r[7]:
+            mine.append(r[7])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_stream_intake_keeps_every_change_of_a_value_in_any_order(spark, seed):
+    rng = random.Random(seed)
+    rows = [signal(h, v) for h, v in ((1, 1.0), (2, 2.0), (3, 1.0), (3, 1.0), (4, 1.0))]
+    rows += [signal(rng.randrange(40), rng.choice([None, 1.0, 2.0]), str(k % 3 + 2)) for k in range(40)]
+    rng.shuffle(rows)
+    judge = lambda s: intake.drop_repeats(s, delay="100 hours")
+    got = replay(spark, [*splits(rows, rng), [BEAT]], SIGNAL, judge, "intake")
+    kept = {}
+    for r in sorted(got["kept"], key=lambda r: (r.ingested_at, r.value_num is not None, r.value_num or 0.0)):
+        kept.setdefault(r.source_id, []).append(r.value_num)
+    assert kept == values_kept(rows) and kept["1"] == [1.0, 2.0, 1.0] and not got["late"]
+
+
+def test_stream_intake_keeps_publications_once_and_counts_late_rows(spark):
+    """With publication times 1, 2, 1 are three publications, whatever order they land in; exact repeats go."""
+    first = [signal(3, 1.0, released=HOUR(3)), signal(1, 1.0, released=HOUR(1))]
+    then = [signal(2, 2.0, released=HOUR(2)), signal(2, 2.0, released=HOUR(2)), signal(4, 1.0, released=HOUR(1))]
+    late = [signal(5, 9.0, "2"), signal(5, 9.0, "2", HOUR(5)), signal(31, 5.0)]
+    judge = lambda s: intake.drop_repeats(s, delay="10 hours")
+    got = replay(spark, [first, then, [signal(40, 7.0, "3")], late, [BEAT]], SIGNAL, judge, "published")
+    assert sorted((r.source_id, r.value_num, r.released_at) for r in got["kept"] if r.released_at) == [("1", 1.0, HOUR(1)), ("1", 1.0, HOUR(3)), ("1", 2.0, HOUR(2))]
+    assert sorted((r.source_id, r.value_num) for r in got["kept"] if not r.released_at) == [("1", 5.0), ("3", 7.0)]
+    assert [(r.source_id, r.value_num) for r in got["late"]] == [("2", 9.0), ("2", 9.0)]
+
+
+BUY = "ticker string, insider long, ts timestamp"
+AT = lambda t, i, day: (t, i, dt.datetime(2024, 1, 1, 9) + dt.timedelta(days=day))
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_stream_clusters_equal_the_batch_operator_in_any_order(spark, seed):
+    rng = random.Random(seed)
+    rows = [AT(rng.choice(["hot", "hot", "hot", "a"]), rng.randrange(8), rng.randrange(60)) for _ in range(90)]
+    rows += [AT("x", 1, 10), AT("x", 2, 12), AT("x", 3, 11)]
+    rng.shuffle(rows)
+    judge = lambda s: clusters.stream_clusters(s, days=5, k=3, late_days=70)
+    got = replay(spark, [*splits(rows, rng), [(None, None, AT("", 0, 300)[2])]], BUY, judge, "buys")
+    want = brute_clusters([(t, i, d.date()) for t, i, d in rows], 5, 3)
+    assert {(r.ticker, r.day, r.n) for r in got["alert"]} == want and want and len(got["alert"]) == len(want) and not got["late"]
+
+
+def test_stream_clusters_settle_in_time_order_and_reject_late_rows(spark):
+    """An alert of a settled day stands; a row of a settled day goes to the reject table; one inside the watermark counts."""
+    batches = [[AT("T", 1, 1), AT("T", 2, 3)], [AT("T", 3, 2)], [AT("U", 1, 20)], [AT("T", 4, 4), AT("U", 2, 19)], [AT("U", 3, 21)], [(None, None, AT("", 0, 99)[2])]]
+    got = replay(spark, batches, BUY, lambda s: clusters.stream_clusters(s, days=30, k=3), "settled")
+    assert sorted((r.ticker, r.day, r.n) for r in got["alert"]) == [("T", D(2024, 1, 4), 3), ("U", D(2024, 1, 22), 3)]
+    assert [(r.ticker, r.insider, r["at"].date()) for r in got["late"]] == [("T", "4", D(2024, 1, 5))]
+
+
+def test_covers_and_counts_are_forgotten():
+    assert clusters.settle([5, 8, 40], None, 45, 5) == ([(5, 1, True), (8, 0, True), (13, -1, False), (40, 1, True), (45, -1, False)], [], None)
+    assert clusters.settle([5, 10], None, 5, 5) == ([(5, 1, True)], [10], 5)
+    assert clusters.settle([10], 5, 10, 5) == ([(10, 0, True)], [], 10)
+    assert clusters.alerts_of([(3, 1, True), (1, 1, True), (3, 1, True), (6, -1, False), (6, 1, True)], 0, 3) == ([(3, 3)], 3)

@@ -15,24 +15,19 @@ from tidemark.session import cut_lineage
 def spearman_by(points: DataFrame, group: list[str], x: str, y: str, min_n: int = 4) -> DataFrame:
     """Rank correlation per group; null below ``min_n`` points or without variance.
 
-    Ranks come from sliced cumulative counts, so a date that holds the whole universe
-    is ranked by many tasks; the correlation itself is a mergeable aggregate.
+    Equal pairs are merged, and each variable is laid out once over tasks of equal size, so a
+    date that holds the whole universe, or a value that a third of it shares, is ranked by many
+    tasks; the correlation itself is a mergeable aggregate.
     """
     pairs = points.select(*group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    shape = pairs.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        ((F.count(F.lit(1)) >= min_n) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))).alias("_usable"),
-    )
-    # A segment's score is one value per date, so most groups have nothing to rank.
-    live = pairs.join(shape.filter("_usable").select(*group), group, "left_semi")
-    ranked = average_ranks(live, group, **{x: "_rx", y: "_ry"})
-    n = F.count(F.lit(1)).cast("double")
-    sx, sy = F.sum("_rx"), F.sum("_ry")
-    cov = n * F.sum(F.col("_rx") * F.col("_ry")) - sx * sy
-    vx = n * F.sum(F.col("_rx") * F.col("_rx")) - sx * sx
-    vy = n * F.sum(F.col("_ry") * F.col("_ry")) - sy * sy
-    ics = ranked.groupBy(*group).agg((cov / F.sqrt(vx) / F.sqrt(vy)).alias("ic"))
-    return shape.join(ics, group, "left").select(*group, "ic", "n")
+    ranked = average_ranks(pairs, group, **{x: "_rx", y: "_ry"})
+    n, rx, ry = F.sum("n"), F.col("_rx"), F.col("_ry")
+    sx, sy = F.sum(F.col("n") * rx), F.sum(F.col("n") * ry)
+    cov = n.cast("double") * F.sum(F.col("n") * rx * ry) - sx * sy
+    vx = n.cast("double") * F.sum(F.col("n") * rx * rx) - sx * sx
+    vy = n.cast("double") * F.sum(F.col("n") * ry * ry) - sy * sy
+    usable = (n >= min_n) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
+    return ranked.groupBy(*group).agg(F.when(usable, cov / F.sqrt(vx) / F.sqrt(vy)).alias("ic"), n.alias("n")).select(*group, "ic", "n")
 
 
 def mean_ic(date_ics: DataFrame, group: list[str], min_dates: int = 2) -> DataFrame:
@@ -100,11 +95,12 @@ def block_bootstrap(
 def benjamini_hochberg(df: DataFrame, p_col: str, alpha: float = FDR_ALPHA) -> DataFrame:
     """Reject every p at or below the largest one that passes k * alpha / m.
 
-    k is the count of p-values not above p, which gives ties one verdict. Counts are
-    sliced, so no task sees all hypotheses. Null counts as 1.
+    k is the count of p-values not above p, which gives ties one verdict. Equal p-values
+    are merged and the others counted in tasks of equal size, so no task sees all hypotheses.
+    Null counts as 1.
     """
-    whole = df.withColumn("_p", F.coalesce(F.col(p_col), F.lit(1.0)).cast("double")).withColumn("_g", F.lit(0))
-    ranked = cut_lineage(cumulative_counts(whole, ["_g"], "_p"))
+    whole = df.withColumn("_p", F.coalesce(F.col(p_col), F.lit(1.0)).cast("double"))
+    ranked = cut_lineage(cumulative_counts(whole, [], "_p"))
     m = ranked.agg(F.max("upto").alias("_m"))
     bar = (
         ranked.join(F.broadcast(m), F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.constants import HORIZONS
+from tidemark.operators.ranks import row_numbers
 
 
 def filter_by(df: DataFrame, **eq: object) -> DataFrame:
@@ -65,8 +66,7 @@ def quadrant(scores: DataFrame) -> DataFrame:
         .when(F.col("regime") == "RESOLVING_FROM_LOW", "bot-right")
         .otherwise("bot-mid")
     )
-    order = Window.partitionBy("as_of", "cell").orderBy(F.coalesce("b", F.lit(0.0)).desc(), "segment")
-    return scores.withColumn("cell", cell).withColumn("rank", F.row_number().over(order))
+    return row_numbers(scores.withColumn("cell", cell), ["as_of", "cell"], [F.coalesce("b", F.lit(0.0)).desc(), F.col("segment").asc()])
 
 
 def scoreboard(scores: DataFrame, by: list[str] = ["segment"]) -> DataFrame:  # noqa: B006

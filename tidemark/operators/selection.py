@@ -14,6 +14,7 @@ from tidemark.constants import (
     MIN_MCAP_USD,
     SEGMENT_PROXIMITY,
 )
+from tidemark.operators.ranks import row_numbers
 
 
 def eligible(universe: DataFrame, min_exposure: float = MIN_EXPOSURE, min_mcap: float = MIN_MCAP_USD) -> DataFrame:
@@ -48,7 +49,7 @@ def rank_key() -> Column:
 def screener(scores: DataFrame, side: str, horizon: str, by: list[str] | None = None) -> DataFrame:
     """Ranked candidates of one horizon, with no floor on B.
 
-    ``by`` (for example ``["as_of"]``) ranks every date of a history in one pass.
+    ``by`` (for example ``["as_of"]``) ranks every date of a history in one pass, each date by many tasks.
     """
     rows = scores.filter(F.col("horizon") == horizon)
     if side == "long":
@@ -56,15 +57,15 @@ def screener(scores: DataFrame, side: str, horizon: str, by: list[str] | None =
         order = [
             F.coalesce("b", F.lit(0.0)).desc(),
             F.coalesce("b_prime", F.lit(0.0)).desc(),
-            F.col("segment"),
+            F.col("segment").asc(),
         ]
     else:
         resolving = (F.col("regime") == "RESOLVING") & F.col("b").isNotNull() & F.col("b_prime").isNotNull()
         rows = rows.filter(resolving).withColumn("rank_key", rank_key())
-        order = [F.col("rank_key").desc(), F.col("segment")]
+        order = [F.col("rank_key").desc(), F.col("segment").asc()]
     if by is None:
         return rows.orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return row_numbers(rows, by, order)
 
 
 def top_segments(scores: DataFrame, side: str, by: str = "t") -> DataFrame:

@@ -39,8 +39,7 @@ _HIST = ["segment", "horizon", "mode", "as_of"]
 )
 def flagship_monthly_regimes(spark, sf_dir):
     """Which segments are tight, in which regime, at every month: the chain from raw lines, nothing stored."""
-    from pyspark.sql import Window
-
+    from tidemark.operators.ranks import row_numbers
     from tidemark.operators.selection import long_guard
 
     raw = C.raw_subscores(
@@ -51,11 +50,11 @@ def flagship_monthly_regimes(spark, sf_dir):
         V.GRID_START,
         V.GRID_END,
     )
-    ranked = long_guard(C.score_history(C.normalized(raw, "fixed")))
-    order = Window.partitionBy("as_of", "horizon").orderBy(F.col("b").desc(), F.col("b_prime").desc(), "segment")
+    scores = long_guard(C.score_history(C.normalized(raw, "fixed")))
+    shown = scores.select("as_of", "segment", "horizon", "b", "b_prime", "completeness", "seed_share", "regime")
+    ranked = row_numbers(shown, ["as_of", "horizon"], [F.col("b").desc(), F.col("b_prime").desc(), F.col("segment").asc()])
     return ranked.select(
-        "as_of", "segment", "horizon", r6("b"), r6("b_prime"), r6("completeness"), r6("seed_share"), "regime",
-        big(F.row_number().over(order), "rank"),
+        "as_of", "segment", "horizon", r6("b"), r6("b_prime"), r6("completeness"), r6("seed_share"), "regime", big("rank")
     )
 
 

@@ -1,25 +1,32 @@
-"""Streaming queries: events replayed as a file source until everything landed is processed."""
+"""Streaming queries: events land as files and are replayed until everything is processed and settled."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.oracles.views import check
 from tidemark.plans import fixtures as V
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import lanes, scratch_path
 from tidemark.streaming import clusters, intake
 
 
-def _events(spark, sf_dir):
-    schema = V.table(spark, sf_dir, "events").schema
-    return intake.read_files(spark, sf_dir, schema, glob="events.parquet")
+def _landed(rows: DataFrame, ts: str, name: str) -> str:
+    """``rows`` as landed files in time order, and one heartbeat far enough behind them to settle all."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    rows.repartitionByRange(lanes(spark), ts).write.parquet(path)
+    beat = rows.agg(F.max(ts).alias(ts)).select(*((F.col(ts) + F.expr("INTERVAL 1000 DAYS")).alias(ts) if c == ts else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    beat.write.mode("append").parquet(path)
+    return path
 
 
-def _drain(stream, spark, name: str):
-    path = scratch_path(spark, name)
-    intake.append_to(stream, path, f"{path}_checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def _drain(spark: SparkSession, path: str, schema, judge, name: str, kind: str) -> DataFrame:
+    stream = judge(intake.read_files(spark, path, schema, files_per_batch=1000))
+    out = scratch_path(spark, name)
+    intake.append_to(stream, out, f"{out}_checkpoint").awaitTermination()
+    return intake.appended(spark, out, stream.schema, kind)
 
 
 @query(
@@ -30,7 +37,7 @@ def _drain(stream, spark, name: str):
 )
 def stream_intake(spark, sf_dir):
     """Each event arrives twice, every tenth once more with a revised value."""
-    events = _events(spark, sf_dir)
+    events = V.table(spark, sf_dir, "events")
     copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(1)))
     landed = events.select(
         F.lit("events").alias("source"),
@@ -38,11 +45,12 @@ def stream_intake(spark, sf_dir):
         F.lit("all").alias("segment"),
         F.col("event_type").alias("signal_name"),
         F.col("ts").cast("date").alias("observed_at"),
-        F.col("ts").alias("ingested_at"),
+        F.col("ts").cast("timestamp").alias("ingested_at"),
         F.col("value"),
         F.explode(copies).alias("factor"),
     ).withColumn("value_num", F.col("value") * F.col("factor"))
-    kept = _drain(intake.drop_repeats(landed.drop("value", "factor")), spark, "intake")
+    rows = landed.drop("value", "factor")
+    kept = _drain(spark, _landed(rows, "ingested_at", "landed"), rows.schema, intake.drop_repeats, "intake", "kept")
     return kept.groupBy("signal_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("value_num").cast("decimal(18,2)")).cast("double").alias("total")
     )
@@ -59,9 +67,11 @@ def stream_intake(spark, sf_dir):
     ),
 )
 def stream_clusters(spark, sf_dir):
+    """Alerts on all days; the events land as files, a last heartbeat settles the last days."""
     buys = (
-        _events(spark, sf_dir)
+        V.table(spark, sf_dir, "events")
         .filter(F.col("event_type") == "purchase")
-        .select(F.get_json_object("props", "$.k").alias("ticker"), F.col("user_id").alias("insider"), "ts")
+        .select(F.get_json_object("props", "$.k").alias("ticker"), F.col("user_id").alias("insider"), F.col("ts").cast("timestamp").alias("ts"))
     )
-    return _drain(clusters.stream_clusters(buys, days=5, k=3), spark, "alerts")
+    judge = lambda stream: clusters.stream_clusters(stream, days=5, k=3)
+    return _drain(spark, _landed(buys, "ts", "landed"), buys.schema, judge, "alerts", "alert").select("ticker", "day", "n")

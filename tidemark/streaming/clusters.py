@@ -2,65 +2,156 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.constants import CLUSTER_DAYS, CLUSTER_THRESHOLD
+from tidemark.streaming.clock import DAY_MS, with_clock
 
-ALERTS = "ticker string, day date, n bigint"
-STATE = "insiders array<string>, days array<int>, fired array<int>"
+CHANGES = "ticker string, insider string, at long, day int, delta int, filed boolean"
+ALERTS = "kind string, ticker string, day date, n bigint, insider string, at timestamp"
+CHANGE, ALERT = (Row(*(part.split()[0] for part in ddl.split(", "))) for ddl in (CHANGES, ALERTS))
 
 
-def _alerts(days: int, k: int, keep: int):
-    """Per ticker: recent insider days, and the days that already fired.
+def settled_day(watermark_ms: int) -> int:
+    """The last day (since 1970) whose end the watermark is beyond, as a timer at its end sees it."""
+    return (watermark_ms - 1) // DAY_MS - 1
 
-    Days older than the trailing window plus the lateness allowance are forgotten.
+
+def settle(pending: list[int], last: int | None, upto: int, days: int) -> tuple[list[tuple[int, int, bool]], list[int], int | None]:
+    """Changes (day, delta, filed) of one insider's cover up to a settled day; what stays pending; the cover's last purchase.
+
+    A purchase covers ``days`` days. A cover starts with +1 and ends with -1 unless a purchase extends it.
+    """
+    out = []
+    for day in sorted(d for d in pending if d <= upto):
+        if last is not None and last + days < day:
+            out.append((last + days, -1, False))
+            last = None
+        out.append((day, int(last is None), True))
+        last = day
+    rest = sorted(d for d in pending if d > upto)
+    if last is not None and last + days <= upto:
+        out.append((last + days, -1, False))
+        last = None
+    return out, rest, last
+
+
+class Covers(StatefulProcessor):
+    """Per (ticker, insider): purchase days that are not settled yet, and the last settled one while its cover lasts.
+
+    Nothing is judged when a row arrives. An event-time timer at the end of the earliest pending day, or of
+    the cover, settles whatever the watermark has passed, in day order. With no cover and nothing pending the
+    state is gone.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, str]] = set()
-        fired: set[int] = set()
-        if state.exists:
-            insiders, old_days, old_fired = state.get
-            seen, fired = set(zip(old_days, insiders)), set(old_fired)
-        new = {(int(d), str(i)) for batch in batches for d, i in zip(batch["d"], batch["insider"])}
-        seen |= new
-        rows = []
-        for day in sorted({d for d, _ in new}):
-            now = len({i for d, i in seen if day - days < d <= day})
-            before = len({i for d, i in seen if day - days <= d < day})
-            if now >= k > before and day not in fired:
-                fired.add(day)
-                rows.append((key[0], pd.Timestamp(day, unit="D").date(), now))
-        floor = max(d for d, _ in seen) - days - keep
-        kept = sorted(p for p in seen if p[0] >= floor)
-        state.update(([i for _, i in kept], [d for d, _ in kept], sorted(d for d in fired if d >= floor)))
-        yield pd.DataFrame(rows, columns=["ticker", "day", "n"])
-
-    return step
+    def __init__(self, days: int) -> None:
+        self.days = days
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("cover", "pending array<int>, last int")
+
+    def _keep(self, pending: list[int], last: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not pending and last is None:
+            self.state.clear()
+            return
+        self.state.update((pending, last))
+        first = min([*pending[:1], *([] if last is None else [last + self.days])])
+        self.handle.registerTimer((first + 1) * DAY_MS)
+
+    def _held(self) -> tuple[list[int], int | None]:
+        return (list(self.state.get()[0]), self.state.get()[1]) if self.state.exists() else ([], None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # a timer must lie beyond the watermark to fire, so a day that ends right at it takes no more rows
+        upto = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1
+        pending, last = self._held()
+        days, late = set(pending), []
+        for row in rows:
+            day = row["_at"] // DAY_MS
+            if day <= upto:
+                late.append(CHANGE(key[0], key[1], row["_at"], None, None, None))
+            else:
+                days.add(day)
+        self._keep(sorted(days), last)
+        yield from late
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        pending, last = self._held()
+        out, pending, last = settle(pending, last, settled_day(timerValues.getCurrentWatermarkInMs()), self.days)
+        self._keep(pending, last)
+        for day, delta, filed in out:
+            yield CHANGE(key[0], key[1], None, day, delta, filed)
+
+    def close(self) -> None:
+        pass
+
+
+def alerts_of(changes: list[tuple[int, int, bool]], n: int, k: int) -> tuple[list[tuple[int, int]], int]:
+    """(day, insiders) of the filing days on which the count first reaches ``k``, and the count behind them."""
+    days: dict[int, list] = {}
+    for day, delta, filed in changes:
+        had = days.setdefault(day, [0, False])
+        had[0], had[1] = had[0] + delta, had[1] or filed
+    out = []
+    for day in sorted(days):
+        delta, filed = days[day]
+        if filed and n + delta >= k > n:
+            out.append((day, n + delta))
+        n += delta
+    return out, n
+
+
+class Alerts(StatefulProcessor):
+    """Per ticker: how many insiders are covered. Changes come settled and in batches of ascending days."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        changes = []
+        for row in rows:
+            if row["day"] is None:
+                yield ALERT("late", key[0], None, None, row["insider"], dt.datetime.fromtimestamp(row["at"] / 1000))
+            else:
+                changes.append((row["day"], row["delta"], row["filed"]))
+        if not changes:
+            return
+        had = self.count.get()[0] if self.count.exists() else 0
+        found, n = alerts_of(changes, had, self.k)
+        if n:
+            self.count.update((n,))
+        elif had:
+            self.count.clear()
+        for day, seen in found:
+            yield ALERT("alert", key[0], dt.date(1970, 1, 1) + dt.timedelta(days=day), seen, None, None)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_clusters(
     stream: DataFrame, days: int = CLUSTER_DAYS, k: int = CLUSTER_THRESHOLD, late_days: int = 3, ts: str = "ts"
 ) -> DataFrame:
-    """R2: one alert per (ticker, day) whose distinct insiders first reach ``k``.
+    """R2: (kind, ticker, day, n, insider, at): alerts on the days whose distinct insiders first reach ``k``, and late rows.
 
-    Purchases are reduced to distinct (ticker, insider, day) by a first, well-spread state;
-    only those reach the per-ticker state, which holds one trailing window. Alerts are
-    append-only: a late row inside the watermark may add an alert but never retracts one,
-    and rows beyond the watermark are dropped.
+    A day is judged once, when the watermark (``late_days`` behind the latest row) has passed its end, so the alerts
+    are those of ``operators.clusters.cluster_events`` over all rows that were not late, whatever the files' order.
+    The first state is spread by (ticker, insider) and turns purchases into cover changes; the second holds one
+    number per ticker, and a batch gives it changes of the newly settled days only, so a ticker with a third of all
+    rows has neither a large state nor all its rows in one task. Rows without ticker or insider only move the clock.
     """
-    distinct = (
-        stream.withColumn("d", F.unix_date(F.col(ts).cast("date")))
-        .withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, f"{late_days} days")
-        .dropDuplicatesWithinWatermark(["ticker", "insider", "d"])
-        .select("ticker", F.col("insider").cast("string").alias("insider"), "d", ts)
-    )
-    return distinct.groupBy("ticker").applyInPandasWithState(
-        _alerts(days, k, late_days), ALERTS, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    real = F.col("ticker").isNotNull() & F.col("insider").isNotNull() & F.col(ts).isNotNull()
+    taken = with_clock(stream.select("ticker", F.col("insider").cast("string").alias("insider"), ts), ts, f"{late_days} days", real)
+    changes = taken.select("ticker", "insider", "_at", "_clock").groupBy("ticker", "insider").transformWithState(Covers(days), CHANGES, "append", "eventtime")
+    return changes.groupBy("ticker").transformWithState(Alerts(k), ALERTS, "append", "none")

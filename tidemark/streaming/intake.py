@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from tidemark.streaming.clock import with_clock
 
-IDENTITY = ["source", "source_id", "segment", "signal_name", "observed_at", "released_at", "value_num"]
+#: What a signal is the value of; ``released_at`` and ``value_num`` say which publication of it a row is.
+IDENTITY = ["source", "source_id", "segment", "signal_name", "observed_at"]
+PUBLISHED, VALUE = "released_at", "value_num"
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = 100) -> DataFrame:
@@ -17,24 +24,133 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str |
     return reader.parquet(path)
 
 
-def drop_repeats(stream: DataFrame, delay: str = "7 days", ts: str = "ingested_at", identity: list[str] = IDENTITY) -> DataFrame:  # noqa: B006
-    """Exact repeats inside the watermark are dropped; a revision has a new value or publication and stays.
+def _order(row: Row) -> tuple:
+    """Intake order; rows of one moment by value, missing and unordered ones first, so that repeats are neighbours."""
+    value = row[VALUE]
+    return row["_at"], value is not None and value == value, value is not None, value if value is not None and value == value else 0.0
+
+
+def _same(a: float | None, b: float | None) -> bool:
+    return a == b or (a is not None and b is not None and a != a and b != b)
+
+
+class LastKept(StatefulProcessor):
+    """Per identity: rows the watermark has not passed, the value kept last, and the publications kept.
 
-    A value that returns to what it was (1, 2, 1) is published anew each time, so all three stay,
-    whatever order they arrive in. Sources without publication times leave that column out.
-    State is spread by the whole identity, so no source or segment is a hot key.
+    Rows with a publication time are told apart by (publication, value) and kept at once, whatever their order.
+    Rows without one are a series of values in intake order: one is kept if it differs from the one kept before it,
+    so 1, 2, 1 stays three rows. They wait until the watermark has passed them, because an earlier row may still
+    land. ``keep_ms`` after its last row an identity is forgotten.
     """
-    stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return stamped.withWatermark(ts, delay).dropDuplicatesWithinWatermark([c for c in identity if c in stream.columns])
+
+    def __init__(self, row_schema: str, names: list[str], keep_ms: int) -> None:
+        self.row_schema, self.names, self.keep_ms = row_schema, names, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.kept = handle.getValueState("kept", "any boolean, value double, newest long")
+        self.seen = handle.getMapState("seen", "published long, value double, missing boolean", "at long")
+
+    def _rows(self) -> list[Row]:
+        make = Row(*self.names)
+        return [make(*r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def _last(self) -> tuple[bool, float | None, int]:
+        return tuple(self.kept.get()) if self.kept.exists() else (False, None, 0)
+
+    def _timer(self, waiting: list[Row], newest: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(min([newest + self.keep_ms, *(r["_at"] for r in waiting)]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        some, value, newest = self._last()
+        waiting = self._rows()
+        before, first = len(waiting), newest
+        there = {(r["_at"], r[VALUE]) for r in waiting}
+        for row in rows:
+            # a timer must lie beyond the watermark to fire, so a row right at it is late
+            if row["_at"] <= now:
+                yield self._out("late", row)
+                continue
+            newest = max(newest, row["_at"])
+            if row["_published"] is None:
+                if (row["_at"], row[VALUE]) not in there:
+                    there.add((row["_at"], row[VALUE]))
+                    waiting.append(Row(*self.names)(*(row[n] for n in self.names)))
+                continue
+            # floats as map keys: a missing value is marked, not a number is one value
+            which = (row["_published"], 0.0 if row[VALUE] is None else row[VALUE], row[VALUE] is None)
+            if not self.seen.containsKey(which):
+                self.seen.updateValue(which, (row["_at"],))
+                yield self._out("kept", row)
+        if len(waiting) != before:
+            self.waiting.put([tuple(r) for r in waiting])
+        if newest != first:
+            self.kept.update((some, value, newest))
+        if newest:
+            self._timer(waiting, newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        some, value, newest = self._last()
+        waiting = self._rows()
+        for row in sorted((r for r in waiting if r["_at"] < now), key=_order):
+            if not some or not _same(value, row[VALUE]):
+                some, value = True, row[VALUE]
+                yield self._out("kept", row)
+        waiting = [r for r in waiting if r["_at"] >= now]
+        if not waiting and newest + self.keep_ms < now:
+            self.waiting.clear()
+            self.kept.clear()
+            self.seen.clear()
+            return
+        self.kept.update((some, value, newest))
+        if waiting:
+            self.waiting.put([tuple(r) for r in waiting])
+        else:
+            self.waiting.clear()
+        self._timer(waiting, newest)
+
+    def _out(self, kind: str, row: Row) -> Row:
+        return Row("kind", *self.names[:-2])(kind, *(row[n] for n in self.names[:-2]))
+
+    def close(self) -> None:
+        pass
+
+
+def drop_repeats(stream: DataFrame, delay: str = "1 hour", keep_days: int = 400, ts: str = "ingested_at", identity: list[str] = IDENTITY) -> DataFrame:  # noqa: B006
+    """``kind`` and the columns of ``stream``: rows "kept", and rows "late" for a reject table.
+
+    A repeat is dropped, a revision stays. A row with ``released_at`` repeats one with the same publication and value;
+    a row without it repeats the value kept before it. ``delay`` bounds how far files land out of intake order; rows
+    behind it are late. State is spread by the whole identity, so no source or segment is a hot key. Rows without any part
+    of an identity only move the clock.
+    """
+    names = stream.columns
+    published = F.unix_millis(F.col(PUBLISHED).cast("timestamp")) if PUBLISHED in names else F.lit(None).cast("long")
+    known = [c for c in identity if c in names]
+    real = F.coalesce(*(F.col(c).cast("string") for c in known)).isNotNull() & F.col(ts).isNotNull()
+    rows = with_clock(stream.withColumn("_published", published), ts, delay, real)
+    rows = rows.withColumn("_key", F.sha2(F.to_json(F.struct(*known), {"ignoreNullFields": "false"}), 256))
+    held = rows.select(*names, "_at", "_published")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    grouped = rows.select(*names, "_at", "_published", "_key", "_clock").groupBy("_key")
+    return grouped.transformWithState(LastKept(ddl, held.columns, keep_days * 86_400_000), f"kind string, {out}", "append", "eventtime")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
-    """Exactly-once append of everything that has landed; returns the started query."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Exactly-once append of everything that has landed, late rows in a folder of their own; returns the started query."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    if "kind" in stream.columns:
+        writer = writer.partitionBy("kind")
+    return writer.trigger(availableNow=True).start()
+
+
+def appended(spark: SparkSession, path: str, schema: T.StructType, kind: str | None = None) -> DataFrame:
+    """What ``append_to`` has written, all of it or one kind."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if kind is None else rows.filter(F.col("kind") == kind).drop("kind")
