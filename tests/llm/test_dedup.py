@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import rows_of, sorted_rows
@@ -217,3 +218,26 @@ def test_subtree_finds_equal_windows():
     starts = np.arange(0, 140)
     alive, node = suffix_trees.subtree(values, starts, np.zeros(len(starts), np.int64))
     assert set(alive.tolist()) == {s for s in starts.tolist() if s < 70 or s >= 70} and len(set(node.tolist())) == 70
+
+
+def thue_morse(n, letters):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal(spark):
+    """Two words of 1,024 letters, one the complement of the other, and words that differ in one far byte."""
+    from tidemark.llm import decontaminate, token_files
+    from tidemark.llm.common import Hasher, raw
+
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    column = pa.array([one, two, "x" * 5000, "x" * 4999 + "y", "x" * 70 + "ab" + "x" * 70, "x" * 70 + "ba" + "x" * 70])
+    flat, offs = raw(column)
+    assert len(set(Hasher().spans(flat, offs[:-1], offs[1:]).tolist())) == len(column)
+    rest = " ".join(f"w{i}" for i in range(25))
+    docs = spark.createDataFrame([(1, f"{rest} {one} {rest}"), (2, f"{rest} {two} {rest}")], "doc_id long, text string")
+    assert {r.n_removed for r in suffix_trees.remove_repeats(docs).collect()} == {0}
+    items = spark.createDataFrame([("i", f"{' '.join(rest.split()[:6])} {one} {' '.join(rest.split()[:6])}")], "item_id string, text string")
+    found = {r.doc_id: r.n_hit for r in decontaminate.op9_query(spark.createDataFrame([(1, items.first().text), (2, items.first().text.replace(one, two))], "doc_id long, text string"), items).collect()}
+    assert found == {1: 13, 2: 0}
+    ids = {r.doc_id: r.ids_crc32 for r in token_files.op10_query(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()}
+    assert ids[1] != ids[2]

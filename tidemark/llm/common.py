@@ -89,30 +89,47 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Hashes of spans of a sequence, by prefix sums over blocks of bounded size."""
+    """Hashes of spans of a sequence, by prefix sums over blocks of bounded size.
+
+    ``spans`` hashes words of any length: every byte is scrambled together with its place in the word, and the
+    scrambled values are added, so no rule between places lets different words meet. ``grams`` hashes short runs
+    by powers of a base; for runs far shorter than a thousand values that has no such families either.
+    """
 
     BLOCK = 1 << 20
+    #: Places whose scrambled bytes are looked up.
+    PLACES = 64
 
     def __init__(self) -> None:
         self.ups, self.downs = powers(self.BLOCK + 1)
+        self.scrambled = mix(np.arange(self.PLACES << 8, dtype=np.uint64) + np.uint64(BASE))
 
     def _grow(self, n: int) -> None:
         if n > len(self.ups):
             self.ups, self.downs = powers(n)
 
+    def _placed(self, part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scrambled (place, byte) of every byte from the first start on; the place counts from the last start."""
+        at = np.arange(starts[0], len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
+        at = (at << 8) | part[starts[0] :]
+        out = self.scrambled[np.minimum(at, len(self.scrambled) - 1)]
+        far = np.flatnonzero(at >= len(self.scrambled))
+        if len(far):
+            out[far] = mix(at[far].astype(np.uint64) + np.uint64(BASE))
+        return out
+
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of ``values[s:e]`` for ascending, disjoint spans."""
+        """Hash of the bytes ``values[s:e]`` for ascending, disjoint spans."""
         out = np.zeros(len(starts), np.uint64)
         at = 0
         while at < len(starts):
             first = int(starts[at])
             end = max(at + 1, int(np.searchsorted(ends, first + self.BLOCK, side="right")))
             part = values[first : int(ends[end - 1])]
-            self._grow(len(part) + 1)
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.ups[: len(part)], out=sums[1:])
             s, e = starts[at:end] - first, ends[at:end] - first
-            out[at:end] = (sums[e] - sums[s]) * self.downs[s]
+            np.cumsum(self._placed(part, s), out=sums[1:])
+            out[at:end] = sums[e] - sums[s]
             at = end
         return mix(out)
 
