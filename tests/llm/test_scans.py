@@ -318,3 +318,11 @@ def test_token_files_of_nothing_and_their_ids(spark, documents, empty, tmp_path)
     token_files.write_ids(documents.limit(5), f"file://{tmp_path}/ids")
     for r in token_files.read_ids(spark, f"file://{tmp_path}/ids", ids=True).collect():
         assert len(r["ids"]) == r["n_tokens"] and r["ids"][-1] == token_files.END_ID
+
+
+def test_mixing_of_documents_without_ids_comes_near_the_target(spark):
+    rows = [(None, f"{i} " + "word " * (i % 40), "nameless") for i in range(10_000)] + [(i, "other " * 30, "b") for i in range(2_000)]
+    found = mixing.op4_query(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source_size").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(found) == 2
+    for r in found:
+        assert abs(r["sum(taken)"] - r["max(target)"]) < 0.05 * r["max(target)"]

@@ -2,11 +2,11 @@
 
 Tokens are summed per source, each source's target gives its repetition rate, and a document is
 emitted floor(rate) times plus once more with the fraction as its probability, drawn from a hash of
-(seed, doc_id), so that reruns agree.
+(seed, doc_id, text), so that reruns agree and documents without doc_ids of their own draw apart.
 
 Rows: a null text has size 0; a null source is a source of its own, ordered last; a source without
-words has target 0 and its documents are not emitted; repeated doc_ids draw alike; an empty table
-gives no rows. ``documents`` columns pass through unchanged.
+words has target 0 and its documents are not emitted; rows that repeat doc_id and text draw alike; an
+empty table gives no rows. ``documents`` columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -67,18 +67,19 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 
 def _unit(seed: int) -> Column:
-    """A number in [0, 1) from a hash of the seed and doc_id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    """A number in [0, 1) from a hash of the seed, doc_id and text."""
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` of every row. Texts are read once."""
-    sized = stored(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
+    sized = stored(docs.select("doc_id", "source", size_of().alias("size"), _unit(seed).alias("unit")), "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     joined = sized.join(goal.withColumnRenamed("source", "__mix_source"), F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("copies", (F.floor(rate) + F.when(_unit(seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+    return joined.withColumn("copies", (F.floor(rate) + F.when(F.col("unit") < rate - F.floor(rate), 1).otherwise(0)).cast("int")).drop("unit")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -98,7 +99,7 @@ def op4_query(docs: DataFrame) -> DataFrame:
 
 OP4_SQL = f"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(md5(text), '') AS th, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 placed AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM sums),
 level(round, share) AS (
@@ -110,7 +111,7 @@ level(round, share) AS (
 goal AS (SELECT source, source_size, least(3 * source_size::DOUBLE, weight * (SELECT share FROM level ORDER BY round DESC LIMIT 1)) AS target FROM placed),
 drawn AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS unit
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || th), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS unit
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
 """
