@@ -22,10 +22,21 @@ def month_starts(start: dt.date, end: dt.date) -> Column:
     return F.sequence(F.lit(start.replace(day=1)), F.lit(end), F.expr("INTERVAL 1 MONTH"))
 
 
+def days_of(start: dt.date, end: dt.date) -> Column:
+    """Array column of every day in [start, end]."""
+    return F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY"))
+
+
 def as_frame(spark: SparkSession, dates: Column, name: str = "t") -> DataFrame:
     return spark.range(1).select(F.explode(dates).alias(name))
 
 
+def day_ceil(moment: Column) -> Column:
+    """First day that begins at or after ``moment`` (date or timestamp)."""
+    day = moment.cast("date")
+    return F.when(day.cast("timestamp_ntz") == moment.cast("timestamp_ntz"), day).otherwise(F.date_add(day, 1))
+
+
 def month_ceil(moment: Column) -> Column:
     """First month start at or after ``moment`` (date or timestamp)."""
     start = F.trunc(moment, "month")

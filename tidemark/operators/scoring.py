@@ -19,6 +19,7 @@ from tidemark.constants import (
 )
 from tidemark.functions.bands import band_diverges, input_confidence, map_to_band, winsor_band
 from tidemark.functions.regimes import classify, fast_resolve
+from tidemark.operators.order_stats import trailing_picks
 from tidemark.session import literal_frame
 
 
@@ -78,12 +79,25 @@ def day_number(date_col: str) -> Column:
 
 
 def rolling_band(
-    raw_history: DataFrame, by: list[str], days: int = ROLLING_DAYS, lo: float = ROLLING_LOW, hi: float = ROLLING_HIGH
+    raw_history: DataFrame, by: list[str], days: int = ROLLING_DAYS, lo: float = ROLLING_LOW, hi: float = ROLLING_HIGH, daily: bool = False
 ) -> DataFrame:
     """W3 + W9: winsorized band, count and span of the values before each row.
 
-    Histories are monthly, so a five-year frame holds at most about sixty values.
+    A frame of a monthly history holds about sixty values and is sorted where it lies. A ``daily`` history is
+    walked once per series, with the same result.
     """
+    if daily:
+        picks = lambda n: [int(n * lo), min(int(n * hi), n - 1)]
+        out = trailing_picks(raw_history, by, "raw", days, picks)
+        low, high = F.get("_picked", F.lit(0)), F.get("_picked", F.lit(1))
+        some = (F.col("_n") >= 2) & (low != high)
+        return out.select(
+            *raw_history.columns,
+            F.when(some, low).alias("lo_v"),
+            F.when(some, high).alias("hi_v"),
+            F.col("_n").alias("n"),
+            F.coalesce(F.col("_last") - F.col("_first"), F.lit(0)).alias("span_days"),
+        )
     before = Window.partitionBy(*by).orderBy(day_number("as_of")).rangeBetween(-days, -1)
     known = F.when(F.col("raw").isNotNull(), F.col("as_of"))
     out = (
@@ -142,7 +156,11 @@ def normalize(df: DataFrame, mode: str) -> DataFrame:
 
 
 def weighted_score(subscores: DataFrame, by: list[str], weights: DataFrame | None = None) -> DataFrame:
-    """A1 + A2: B, completeness and seed share per (by, horizon), one aggregation."""
+    """A1 + A2: B, completeness and seed share per (by, horizon), one aggregation.
+
+    B adds its few terms in the order of their names, so equal inputs give equal scores to the last bit on every date:
+    a momentum of exactly zero decides between regimes.
+    """
     weights = F.broadcast(weights_frame(subscores.sparkSession) if weights is None else weights)
     w = F.col("w")
     seeded = (F.col("source") == "seed") & ~F.col("imputed")
@@ -150,10 +168,12 @@ def weighted_score(subscores: DataFrame, by: list[str], weights: DataFrame | Non
         subscores.join(weights, "sub_score")
         .groupBy(*by, "horizon")
         .agg(
-            (F.sum(w * F.col("value")) * 100.0).alias("b"),
+            F.array_sort(F.collect_list(F.when((w * F.col("value")).isNotNull(), F.struct("sub_score", (w * F.col("value")).alias("term"))))).alias("_terms"),
             (1.0 - F.sum(F.when(F.col("imputed"), w).otherwise(0.0))).alias("completeness"),
             F.sum(F.when(seeded, w).otherwise(0.0)).alias("seed_share"),
         )
+        .withColumn("b", F.when(F.size("_terms") > 0, F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["term"]) * 100.0))
+        .select(*by, "horizon", "b", "completeness", "seed_share")
     )
 
 
@@ -172,8 +192,11 @@ def subscore_maps(subscores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def trailing_median(history: DataFrame, by: list[str], days: int = MOMENTUM_DAYS) -> DataFrame:
+def trailing_median(history: DataFrame, by: list[str], days: int = MOMENTUM_DAYS, daily: bool = False) -> DataFrame:
     """Median of B over [t - days, t), the row itself excluded."""
+    if daily:
+        out = trailing_picks(history, by, "b", days, lambda n: [(n - 1) // 2, n // 2])
+        return out.select(*history.columns, (F.get("_picked", F.lit(0)) * 0.5 + F.get("_picked", F.lit(1)) * 0.5).alias("base"))
     before = Window.partitionBy(*by).orderBy(day_number("as_of")).rangeBetween(-days, -1)
     return history.withColumn("base", F.percentile("b", F.lit(0.5)).over(before))
 
@@ -189,9 +212,9 @@ def momentum_of(b: Column, base: Column) -> Column:
     )
 
 
-def momentum(history: DataFrame, by: list[str] = ["segment", "horizon", "mode"]) -> DataFrame:  # noqa: B006
+def momentum(history: DataFrame, by: list[str] = ["segment", "horizon", "mode"], daily: bool = False) -> DataFrame:  # noqa: B006
     """W1 + W2."""
-    return trailing_median(history, by).withColumn("b_prime", momentum_of(F.col("b"), F.col("base")))
+    return trailing_median(history, by, daily=daily).withColumn("b_prime", momentum_of(F.col("b"), F.col("base")))
 
 
 def with_regime(history: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from tidemark.constants import (
     LOOKAHEAD_SIGNALS,
     SIGNAL_LOOKBACK_DAYS,
 )
-from tidemark.functions.grids import month_ceil
+from tidemark.functions.grids import day_ceil, month_ceil
 
 
 def available_at() -> Column:
@@ -67,12 +67,18 @@ def with_visibility(
     lookback: int = SIGNAL_LOOKBACK_DAYS,
     lookahead: tuple[str, ...] = LOOKAHEAD_SIGNALS,
     lookahead_days: int = LOOKAHEAD_DAYS,
+    grid: str = "month",
 ) -> DataFrame:
-    """First and last+1 month start at which a row can enter a score.
+    """First and last+1 date of the grid (month starts, or every day) at which a row can enter a score.
 
-    ``visible_from`` is the first month start by which the row is published and
+    ``visible_from`` is the first date by which the row is published and
     inside the window, ``visible_until`` the first at which it left the window.
     """
+    if grid == "day":
+        observed = F.col("observed_at")
+        ahead = F.col("signal_name").isin(*lookahead) if lookahead else F.lit(False)
+        enters = F.when(ahead, F.date_sub(observed, lookahead_days)).otherwise(observed)
+        return signals.withColumn("visible_from", F.greatest(day_ceil(available_at()), enters)).withColumn("visible_until", F.date_add(observed, lookback + 1))
     observed = F.col("observed_at")
     ahead = F.col("signal_name").isin(*lookahead) if lookahead else F.lit(False)
     published = month_ceil(available_at())
@@ -188,6 +194,33 @@ def explode_as_of(rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+def change_dates(rows: DataFrame, by: str, start: dt.date, end: dt.date) -> DataFrame:
+    """(by, cuts): the ascending dates in [start, end] at which what is visible of a ``by`` changes, ``start`` included.
+
+    Each row is two events, its start and its end; between two dates the visible rows stay the same. Nothing is
+    exploded to a grid: a ``by`` has at most as many cuts as there are days in [start, end].
+    """
+    inside = lambda d: (d > F.lit(start)) & (d <= F.lit(end))
+    events = rows.select(by, F.explode(F.filter(F.array("visible_from", "visible_until"), inside)).alias("_cut"))
+    firsts = rows.select(by, F.lit(start).alias("_cut"))
+    return events.unionByName(firsts).groupBy(by).agg(F.array_sort(F.collect_set("_cut")).alias("cuts"))
+
+
+def explode_changes(rows: DataFrame, cuts: DataFrame, by: str) -> DataFrame:
+    """One row per change date of its ``by`` at which a row is visible, as ``as_of``."""
+    there = F.filter("cuts", lambda d: (d >= F.col("visible_from")) & (d < F.col("visible_until")))
+    return rows.join(cuts, by).withColumn("as_of", F.explode(there)).drop("visible_from", "visible_until", "cuts")
+
+
+def fill_days(found: DataFrame, cuts: DataFrame, by: str, end: dt.date) -> DataFrame:
+    """Results of change dates repeated for every day up to the day before the next change."""
+    spans = cuts.select(F.col(by).alias("_by"), F.explode("cuts").alias("_from")).withColumn("_until", F.lead("_from").over(Window.partitionBy("_by").orderBy("_from")))
+    last = F.coalesce(F.date_sub("_until", 1), F.lit(end))
+    days = F.sequence(F.col("_from"), last, F.expr("INTERVAL 1 DAY"))
+    on = (F.col(by) == F.col("_by")) & (F.col("as_of") == F.col("_from"))
+    return found.join(spans, on).withColumn("as_of", F.explode(days)).select(*found.columns)
+
+
 def visible_asof(signals: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """F3 for a whole month grid: (as_of, signal columns)."""
     return explode_as_of(with_visibility(signals).filter(F.col("visible_from") < F.col("visible_until")), start, end)

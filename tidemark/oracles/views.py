@@ -400,3 +400,11 @@ def check_on(day: str, body: str, *names: str) -> str:
     grid = f"SELECT as_of FROM ({VIEWS['grid'][1]}) WHERE as_of < DATE '{day}' UNION ALL SELECT DATE '{day}'"
     views = ",\n".join(f"{n} AS MATERIALIZED ({grid if n == 'grid' else VIEWS[n][1]})" for n in _order(names, []))
     return f"WITH RECURSIVE {views}\n{body}"
+
+
+def check_daily(start: str, end: str, body: str, *names: str) -> str:
+    """``check`` with every day of [start, end] in place of the month starts from ``start`` on."""
+    days = f"SELECT CAST(unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS DATE) AS as_of"
+    grid = f"SELECT as_of FROM ({VIEWS['grid'][1]}) WHERE as_of < DATE '{start}' UNION ALL {days}"
+    views = ",\n".join(f"{n} AS MATERIALIZED ({grid if n == 'grid' else VIEWS[n][1]})" for n in _order(names, []))
+    return f"WITH RECURSIVE {views}\n{body}"

@@ -11,7 +11,7 @@ from tidemark.functions.bands import map_to_band
 from tidemark.operators import extractors as X
 from tidemark.operators import geo as G
 from tidemark.operators import scoring as S
-from tidemark.oracles.views import check, check_on
+from tidemark.oracles.views import check, check_daily, check_on
 from tidemark.plans import fixtures as V
 from tidemark.plans import scoring as C
 from tidemark.plans import store
@@ -81,6 +81,68 @@ def recompute_mid_month(spark, sf_dir):
     )
 
 
+QUARTER = dt.date(2001, 7, 1), dt.date(2001, 9, 30)
+
+
+def _daily_raw(spark, sf_dir):
+    parts = V.segments(spark, sf_dir), V.seed(spark, sf_dir), G.exposure_hhi(store.universe(spark, sf_dir))
+    return C.raw_subscores_daily(store.signals(spark, sf_dir), *parts, *QUARTER)
+
+
+@query(
+    "f3_daily_raw_subscores",
+    check_daily(*map(str, QUARTER), f"SELECT as_of, segment, sub_score, source_key, {rr('raw')} FROM rawsub WHERE as_of >= DATE '{QUARTER[0]}'", "rawsub"),
+)
+def daily_raw_subscores(spark, sf_dir):
+    """Sub-scores of every day of a quarter, worked out at the dates on which something changes."""
+    return _daily_raw(spark, sf_dir).select("as_of", "segment", "sub_score", "source_key", r6("raw"))
+
+
+@query(
+    "recompute_quarter_daily",
+    check_daily(
+        *map(str, QUARTER),
+        f"""SELECT segment, horizon, mode, as_of, {rr('b')}, {rr('base')}, {rr('b_prime')}, {rr('completeness')}, confidence, CASE WHEN abs(b_prime) > 1e-9 THEN regime END AS regime
+            FROM hist WHERE as_of >= DATE '{QUARTER[0]}'""",
+        "hist",
+    ),
+)
+def recompute_quarter_daily(spark, sf_dir):
+    """A backfill of every day of a quarter behind the stored monthly histories, both modes.
+
+    Where a score stays the same the momentum is zero but for the last bit of sums, whose sign decides the regime:
+    no regime is shown there.
+    """
+    raw = cut_lineage(_daily_raw(spark, sf_dir))
+    parts = [C.backfill(raw, store.raw_subscores(spark, sf_dir), store.score_history(spark, sf_dir), *QUARTER, mode) for mode in ("fixed", "rolling")]
+    return parts[0].unionByName(parts[1]).select(*_HIST, r6("b"), r6("base"), r6("b_prime"), r6("completeness"), "confidence", F.when(F.abs("b_prime") > 1e-9, F.col("regime")).alias("regime"))
+
+
+_DAILY = """h AS (SELECT p_brand AS segment, CAST(l_shipdate AS DATE) AS as_of, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS raw
+                  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+            w AS (SELECT segment, as_of, list_sort(list(raw) OVER v) AS l, min(as_of) OVER v AS first, max(as_of) OVER v AS last, median(raw) OVER v AS base
+                  FROM h WINDOW v AS (PARTITION BY segment ORDER BY as_of RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+            k AS (SELECT *, coalesce(len(l), 0) AS n, l[CAST(floor(len(l) * 0.05::DOUBLE) AS INTEGER) + 1] AS lo, l[least(CAST(floor(len(l) * 0.95::DOUBLE) AS INTEGER), len(l) - 1) + 1] AS hi FROM w)"""
+
+
+@query(
+    "w3_daily_band",
+    f"""WITH {_DAILY} SELECT segment, as_of, CASE WHEN n >= 2 AND lo <> hi THEN lo END AS lo_v, CASE WHEN n >= 2 AND lo <> hi THEN hi END AS hi_v,
+        CAST(n AS BIGINT) AS n, CAST(coalesce(date_diff('day', first, last), 0) AS BIGINT) AS span_days, {rr('base')} FROM k""",
+)
+def daily_band(spark, sf_dir):
+    """Band and median of a year before each day, on the daily units of each segment."""
+    lines, part = V.table(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "part")
+    daily = (
+        lines.join(part, lines["l_partkey"] == part["p_partkey"])
+        .groupBy(F.col("p_brand").alias("segment"), F.col("l_shipdate").cast("date").alias("as_of"))
+        .agg(F.sum(V.money("l_quantity")).cast("double").alias("raw"))
+    )
+    band = S.rolling_band(daily.withColumn("b", F.col("raw")), ["segment"], days=365, daily=True)
+    both = S.trailing_median(band, ["segment"], days=365, daily=True)
+    return both.select("segment", "as_of", "lo_v", "hi_v", big("n"), big("span_days"), r6("base"))
+
+
 @query(
     "j6_with_seed",
     check(f"SELECT as_of, segment, sub_score, source_key, {rr('raw')}, {rr('seed_value')} FROM rawsub", "rawsub"),

@@ -15,10 +15,14 @@ from tidemark.constants import (
     ROLLING_DAYS,
     SIGNAL_LOOKBACK_DAYS,
 )
-from tidemark.functions.grids import month_starts
+from tidemark.functions.grids import days_of, month_starts
 from tidemark.operators import extractors as X
 from tidemark.operators import scoring as S
 from tidemark.operators import temporal as T
+from tidemark.session import cut_lineage
+
+#: Column by which histories are stored.
+MONTH = "computed_month"
 
 # How a signal enters: its series name, what makes a point, how many newest points matter.
 SUMMED = ("trade_volume", "lead_time_mentions", "capacity_mentions", "hyperscaler_capex")
@@ -66,7 +70,13 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
     where a point matters, and only then is the grid exploded. The result is laid out by
     (segment, as_of), which serves every later aggregation without another shuffle.
     """
-    rows = T.dedupe_intervals(T.with_visibility(in_reach(signals, start, end)))
+    relevant = _relevant(signals, start, end, "month")
+    return T.explode_as_of(relevant, start, end).repartition("segment", "as_of")
+
+
+def _relevant(signals: DataFrame, start: dt.date, end: dt.date, grid: str) -> DataFrame:
+    """Merged points with the interval of grid dates at which each can be among those that count."""
+    rows = T.dedupe_intervals(T.with_visibility(in_reach(signals, start, end), grid=grid))
     # Rows that appear after the grid or left before it can neither count nor displace any.
     in_grid = (F.col("visible_from") <= F.lit(end)) & (F.col("visible_until") > F.lit(start))
     rows = rows.filter(in_grid).withColumn("series", _series())
@@ -83,8 +93,7 @@ def visible_points(signals: DataFrame, start: dt.date, end: dt.date) -> DataFram
             F.max("ingested_at").alias("ingested_at"),
         )
     )
-    relevant = T.keep_relevant(merged, ["segment", "series", "geography"], "point", max(DEPTHS.values()))
-    return T.explode_as_of(relevant.drop("depth"), start, end).repartition("segment", "as_of")
+    return T.keep_relevant(merged, ["segment", "series", "geography"], "point", max(DEPTHS.values())).drop("depth")
 
 
 def in_reach(signals: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -205,6 +214,19 @@ def raw_subscores(
     return _raw(extracted(visible_points(signals, start, end)), segments, seed, hhi, month_starts(start, end))
 
 
+def raw_subscores_daily(
+    signals: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame, start: dt.date, end: dt.date
+) -> DataFrame:
+    """``raw_subscores`` of every day of [start, end].
+
+    Extractors run only at the dates on which something a segment sees changes; the days between repeat them.
+    """
+    relevant = cut_lineage(_relevant(signals, start, end, "day"))
+    cuts = cut_lineage(T.change_dates(relevant, "segment", start, end))
+    points = T.explode_changes(relevant, cuts, "segment").repartition("segment", "as_of")
+    return _raw(T.fill_days(extracted(points), cuts, "segment", end), segments, seed, hhi, days_of(start, end))
+
+
 def raw_subscores_on(signals: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame, as_of: dt.date) -> DataFrame:
     """``raw_subscores`` of one date, on whatever day it falls."""
     return _raw(extracted(points_on(signals, as_of)), segments, seed, hhi, F.array(F.lit(as_of)))
@@ -221,11 +243,11 @@ def _raw(found: DataFrame, segments: DataFrame, seed: DataFrame, hhi: DataFrame,
     return S.with_seed(wanted, live, seed)
 
 
-def normalized(raw: DataFrame, mode: str) -> DataFrame:
-    """X2 with everything it needs; bands never mix sources."""
+def normalized(raw: DataFrame, mode: str, daily: bool = False) -> DataFrame:
+    """X2 with everything it needs; bands never mix sources. ``daily``: histories have a row a day, not a month."""
     banded = S.with_band(raw)
     if mode == "rolling":
-        banded = S.rolling_band(banded, ["segment", "sub_score", "source_key"])
+        banded = S.rolling_band(banded, ["segment", "sub_score", "source_key"], daily=daily)
     return S.normalize(banded, mode).withColumn("mode", F.lit(mode))
 
 
@@ -236,21 +258,45 @@ def score_history(subscores: DataFrame) -> DataFrame:
 
 
 def recompute(
-    raw: DataFrame, raw_history: DataFrame, score_rows: DataFrame, as_of: dt.date, mode: str
+    raw: DataFrame, raw_history: DataFrame, score_rows: DataFrame, as_of: dt.date, mode: str, snapshot: DataFrame | None = None
 ) -> DataFrame:
     """A day's scores against stored history, as a daily job needs them.
 
     ``raw`` are the day's raw sub-scores; of ``raw_history`` only the band's years are read, of
-    ``score_rows`` the momentum window and each key's first date. Rows of the day itself, from an
-    earlier run, count for nothing.
+    ``score_rows`` the momentum window. Each key's first date comes from the ``snapshot`` of an earlier day, or, without
+    one, from the whole of ``score_rows``. Rows of the day itself, from an earlier run, count for nothing.
+    """
+    return backfill(raw, raw_history, score_rows, as_of, as_of, mode, snapshot, daily=False)
+
+
+def backfill(
+    raw: DataFrame, raw_history: DataFrame, score_rows: DataFrame, start: dt.date, end: dt.date, mode: str, snapshot: DataFrame | None = None, daily: bool = True
+) -> DataFrame:
+    """Scores of every date that ``raw`` has in [start, end], as single runs one after another would give them.
+
+    Every date sees the stored histories from before ``start`` and the dates of ``raw`` before it; stored rows of
+    [start, end] count for nothing.
     """
-    day, key = F.lit(as_of), ["segment", "horizon", "mode"]
-    past = raw_history.filter((F.col("as_of") < day) & (F.col("as_of") >= F.lit(as_of - dt.timedelta(days=ROLLING_DAYS))))
+    key = ["segment", "horizon", "mode"]
+    inside = F.col("as_of").between(F.lit(start), F.lit(end))
+    past = _stored_between(raw_history, start - dt.timedelta(days=ROLLING_DAYS), start).select(*raw.columns)
     rows = past.unionByName(raw) if mode == "rolling" else raw
-    today = S.weighted_score(normalized(rows, mode).filter(F.col("as_of") == day), ["segment", "as_of", "mode"])
-    before = T.mode_filter(score_rows, mode).filter(F.col("as_of") < day)
-    recent = before.filter(F.col("as_of") >= F.lit(as_of - dt.timedelta(days=MOMENTUM_DAYS))).select(*today.columns)
-    scored = S.with_regime(S.momentum(recent.unionByName(today)).filter(F.col("as_of") == day))
-    known = before.groupBy(*key).agg(F.min("as_of").alias("known_since"))
-    aged = scored.join(known, key, "left").withColumn("first_at", F.coalesce("known_since", "as_of")).drop("known_since")
+    found = S.weighted_score(normalized(rows, mode, daily).filter(inside), ["segment", "as_of", "mode"])
+    before = T.mode_filter(score_rows, mode)
+    recent = _stored_between(before, start - dt.timedelta(days=MOMENTUM_DAYS), start).select(*found.columns)
+    scored = S.with_regime(S.momentum(recent.unionByName(found), daily=daily).filter(inside))
+    if snapshot is not None:
+        known = T.mode_filter(snapshot, mode).groupBy(*key).agg(F.min("first_at").alias("known_since"))
+    else:
+        known = before.filter(F.col("as_of") < F.lit(start)).groupBy(*key).agg(F.min("as_of").alias("known_since"))
+    first = F.coalesce("known_since", F.min("as_of").over(Window.partitionBy(*key)) if daily else F.col("as_of"))
+    aged = scored.join(known, key, "left").withColumn("first_at", first).drop("known_since")
     return aged.withColumn("confidence", S.confidence_at(F.datediff("as_of", "first_at")))
+
+
+def _stored_between(history: DataFrame, first: dt.date, end: dt.date) -> DataFrame:
+    """Rows of [first, end) of a history; of one that is stored by month only those months' folders are read."""
+    rows = history.filter((F.col("as_of") >= F.lit(first)) & (F.col("as_of") < F.lit(end)))
+    if MONTH in history.columns:
+        rows = rows.filter((F.col(MONTH) >= F.lit(first.replace(day=1))) & (F.col(MONTH) <= F.lit(end))).drop(MONTH)
+    return rows
