@@ -198,7 +198,7 @@ def test_publish_twice_leaves_no_duplicates(spark):
     days = [D(2024, m, 1) for m in range(1, 5)]
     TB.publish_scores(history(spark, days), history(spark, days), root)
     TB.publish_scores(history(spark, days[-1:]).withColumn("b", F.lit(99.0)), history(spark, days[-1:]), root)
-    rows = spark.read.parquet(f"{root}/score_history").collect()
+    rows = TB.read_history(spark, root).collect()
     assert len(rows) == 4 and {r.b for r in rows if r.as_of == days[-1]} == {99.0}
     assert [(r.as_of, r.b) for r in TB.read_scores(spark, root).collect()] == [(days[-1], 99.0)]
 
@@ -209,12 +209,68 @@ def test_daily_publishing_keeps_the_month_and_the_other_mode(spark):
         TB.publish_scores(history(spark, [D(2024, 5, d)]), history(spark, [D(2024, 5, d)]), root)
     other = history(spark, [D(2024, 5, 2)]).withColumn("mode", F.lit("rolling"))
     TB.publish_scores(other, other, root)
-    rows = spark.read.parquet(f"{root}/score_history").select("mode", "as_of").collect()
+    rows = TB.read_history(spark, root).select("mode", "as_of").collect()
     assert sorted((r.mode, r.as_of.day) for r in rows) == [("fixed", 1), ("fixed", 2), ("fixed", 3), ("rolling", 2)]
     assert sorted((r.mode, r.as_of.day) for r in TB.read_scores(spark, root).collect()) == [("fixed", 3), ("rolling", 2)]
     assert len(TB.children(spark, f"{root}/scores")) == 2
 
 
+def published(spark, root):
+    return [sorted(map(tuple, df.select("segment", "mode", "as_of", "b").collect())) for df in (TB.read_history(spark, root), TB.read_history(spark, root, "sub_score_history"), TB.read_scores(spark, root))]
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_run_that_dies_between_writes_leaves_the_former_state(spark, step, monkeypatch):
+    """Writes are: history, sub-scores, snapshot, commit file. Whichever fails, readers see the state before, and the next run all of its own."""
+    root = scratch_path(spark, "dies")
+    days = [D(2024, 4, 3), D(2024, 5, 1)]
+    TB.publish_scores(history(spark, days), history(spark, days), root)
+    before, calls = published(spark, root), []
+
+    def broken(real):
+        def write(*args):
+            calls.append(1)
+            if len(calls) > step:
+                raise OSError("lost")
+            return real(*args)
+
+        return write
+
+    more = history(spark, [D(2024, 5, 2)]).withColumn("b", F.lit(7.0))
+    with monkeypatch.context() as m:
+        m.setattr(TB, "_write", broken(TB._write))
+        m.setattr(TB, "_commit", broken(TB._commit))
+        with pytest.raises(OSError):
+            TB.publish_scores(more, more, root)
+    assert published(spark, root) == before
+    TB.publish_scores(more, more, root)
+    assert published(spark, root)[0] == sorted([*before[0], ("s", "fixed", D(2024, 5, 2), 7.0)])
+    assert published(spark, root)[2] == [("s", "fixed", D(2024, 5, 2), 7.0)]
+    assert len(TB.children(spark, f"{root}/scores")) == 2
+
+
+def test_a_first_run_that_dies_blocks_nothing(spark, monkeypatch):
+    root, one = scratch_path(spark, "first"), history(spark, [D(2024, 5, 2)])
+    with monkeypatch.context() as m:
+        m.setattr(TB, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            TB.publish_scores(one, one, root)
+    TB.publish_scores(one, one, root)
+    assert published(spark, root)[2] == [("s", "fixed", D(2024, 5, 2), 0.0)] and len(TB.children(spark, f"{root}/scores")) == 1
+
+
+def test_retention_is_part_of_the_commit(spark):
+    root = scratch_path(spark, "retained")
+    days = [D(2024, 1, 10), D(2024, 2, 5), D(2024, 2, 20), D(2024, 3, 1)]
+    TB.publish_scores(history(spark, days), history(spark, days), root)
+    today = history(spark, [D(2024, 3, 15)])
+    TB.publish_scores(today, today, root, retain_days=30, now=D(2024, 3, 15))
+    assert sorted(r.as_of for r in TB.read_history(spark, root).collect()) == [D(2024, 2, 20), D(2024, 3, 1), D(2024, 3, 15)]
+    assert sorted(TB.read_commit(spark, root)["score_history"]) == ["2024-02-01", "2024-03-01"]
+    plan = TB.read_history(spark, root).filter(F.col("computed_month") == F.lit(D(2024, 3, 1)))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(computed_month" in plan or "PartitionFilters: [computed_month" in plan
+
+
 def test_expired_months_and_days_are_deleted(spark):
     path = scratch_path(spark, "expired")
     days = [D(2024, 1, 10), D(2024, 2, 5), D(2024, 2, 20), D(2024, 3, 1)]

@@ -576,7 +576,7 @@ def publish_scores(spark, sf_dir):
     for days in (1, 2, 1):
         later = lambda df: df.filter(last).withColumn("as_of", F.date_add("as_of", days))  # noqa: B023, E731
         TB.publish_scores(later(history), later(subs), root)
-    tables = {"scores": TB.read_scores(spark, root), **{t: spark.read.parquet(f"{root}/{t}") for t in ("score_history", "sub_score_history")}}
+    tables = {"scores": TB.read_scores(spark, root), **{t: TB.read_history(spark, root, t) for t in ("score_history", "sub_score_history")}}
     parts = [df.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("as_of").alias("n_dates")).withColumn("tab", F.lit(tab)) for tab, df in tables.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("tab", "mode", "n", "n_dates")
 
