@@ -463,3 +463,45 @@ def calibration_rank(spark, sf_dir):
         F.col("grp").alias("segment"), F.col("n_dates").alias("n"), F.col("mean_ic").alias("rho")
     )
     return I.calibration_rank(per_group).select("segment", big("n"), r6("rho"), r6("score"))
+
+
+_OVERALL = f"""SELECT grp, rho, ci_low, ci_high FROM (SELECT grp, AVG(ic) AS rho FROM ics GROUP BY grp) LEFT JOIN ({_boot('SELECT grp, t, ic FROM ics')}) USING (grp)"""
+
+
+@query(
+    "s28_backtest_report",
+    check(
+        f"""SELECT 'overall' AS section, grp AS key, round(rho, 6) + 0.0 AS x, round(ci_low, 6) + 0.0 AS y FROM ({_OVERALL}) WHERE grp = 'ALL'
+            UNION ALL SELECT 'counts', 'segments', CAST(COUNT(*) FILTER (constant) AS DOUBLE), CAST(COUNT(*) FILTER (NOT constant) AS DOUBLE)
+                      FROM (SELECT grp, MIN(b) = MAX(b) AS constant FROM ranked WHERE grp <> 'ALL' GROUP BY grp)
+            UNION ALL SELECT 'points', 'fixed', CAST(COUNT(*) AS DOUBLE), CAST(COUNT(DISTINCT t) AS DOUBLE) FROM points
+            UNION ALL SELECT 'basket', strftime(t, '%Y-%m-%d') || ' ' || side, round(gross, 6) + 0.0, CAST(n_held AS DOUBLE) FROM metrics
+            UNION ALL SELECT 'segment', grp, CAST(COUNT(*) AS DOUBLE), CASE WHEN MIN(b) = MAX(b) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM ranked WHERE grp <> 'ALL' GROUP BY grp
+            UNION ALL SELECT 'compare', segment, round(AVG(abs(b_a - b_b)), 6) + 0.0, CAST(COUNT(*) FILTER (regime_a <> regime_b) AS DOUBLE) FROM ({_MODES}) GROUP BY segment
+            UNION ALL SELECT 'thin', strftime(t, '%Y-%m-%d'), round(live, 6) + 0.0, NULL FROM (SELECT t, AVG(CAST(regime <> 'NO_DATA' AS INTEGER)) AS live FROM sc GROUP BY t) WHERE live < 0.2""",
+        "points", "ranked", "ics", "metrics", "sc", "fwd", "universe", "hist", "evald",
+    ),
+)
+def backtest_report(spark, sf_dir):
+    """The two-mode report written as one JSON document, read back and laid out by section."""
+    from tidemark.session import scratch_path
+
+    history, universe, bars = store.score_history(spark, sf_dir), store.universe(spark, sf_dir), store.prices(spark, sf_dir)
+    runs = [B.run(history, universe, bars, _dates(), FWD, mode=mode) for mode in ("fixed", "rolling")]
+    rep = B.report(*runs, V.BACKTEST_START, V.BACKTEST_END, FWD)
+    path = scratch_path(spark, "backtest_report")
+    rep.select(F.to_json("report").alias("value")).write.text(path)
+    back = spark.read.text(path).select(F.from_json("value", rep.schema["report"].dataType.simpleString()).alias("r")).select("r.*")
+    line = lambda section, key, x, y: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    rows = F.concat(
+        F.array(
+            line("overall", F.lit("ALL"), F.col("overall.rho"), F.col("overall.ci_low")),
+            line("counts", F.lit("segments"), F.col("n_constant"), F.col("n_evaluated")),
+            line("points", F.lit("fixed"), F.col("n_eval_points"), F.col("n_eval_dates")),
+        ),
+        F.transform("baskets", lambda b: line("basket", F.concat_ws(" ", b["t"].cast("string"), b["side"]), b["gross"], F.size(b["holdings"]))),
+        F.transform("per_segment", lambda s: line("segment", s["segment"], s["n"], s["constant"].cast("int"))),
+        F.transform("fixed_vs_rolling.per_segment", lambda s: line("compare", s["segment"], s["mean_abs_diff"], s["flips"])),
+        F.transform("thin_dates", lambda d: line("thin", d["t"], d["live_share"], F.lit(None))),
+    )
+    return back.select(F.explode(rows).alias("l")).select("l.section", "l.key", r6("l.x", "x"), r6("l.y", "y"))
