@@ -223,3 +223,40 @@ def test_covers_and_counts_are_forgotten():
     assert clusters.settle([5, 10], None, 5, 5) == ([(5, 1, True)], [10], 5)
     assert clusters.settle([10], 5, 10, 5) == ([(10, 0, True)], [], 10)
     assert clusters.alerts_of([(3, 1, True), (1, 1, True), (3, 1, True), (6, -1, False), (6, 1, True)], 0, 3) == ([(3, 3)], 3)
+
+
+def test_claims_meet_only_near_values_and_lose_none(spark):
+    """Random values of every size and sign against comparing each claim with each known value."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.claims import tolerance_bucket
+
+    rng = random.Random(9)
+    number = lambda: round(rng.choice([1, -1]) * rng.choice([rng.uniform(0, 3), rng.uniform(0, 100), 10 ** rng.uniform(0, 7)]), 2)
+    known = [(rng.choice("ab"), number()) for _ in range(120)] + [("a", 2.5), ("b", 0.0), ("a", -0.05)]
+    near = [k + rng.choice([1, -1]) * rng.uniform(0.9, 1.1) * max(0.05, 0.02 * abs(k)) for _, k in known]
+    texts = [(i, rng.choice("abc"), f"x {v:.4f} and {number()} {number()}%") for i, v in enumerate(near + [number() for _ in range(80)])]
+    got = A.ungrounded_claims(spark.createDataFrame(texts, "i int, s string, text string"), spark.createDataFrame(known, "s string, value double"), ["i"], ["s"])
+    want = set()
+    for i, s, text in texts:
+        for at, token in enumerate(text.replace("x ", "").replace("and ", "").split()):
+            v = float(token.rstrip("%"))
+            if not any(abs(c - k) <= max(0.05, 0.02 * abs(k)) for c in [v] + [v / 100.0] * token.endswith("%") for t, k in known if t == s):
+                want.add((i, s, at, v))
+    assert {(r.i, r.s, r["at"], r.claim) for r in got.collect()} == want and want
+    pairs = spark.createDataFrame([(k, k + e * max(0.05, 0.02 * abs(k))) for _, k in known for e in (-1.0, 1.0, 0.5)], "k double, v double")
+    assert pairs.filter(F.abs(tolerance_bucket(F.col("k")) - tolerance_bucket(F.col("v"))) > 1).count() == 0
+
+
+def test_grounding_values_of_a_segment(spark):
+    day = D(2024, 3, 1)
+    scores = spark.createDataFrame([("s", "near", 50.5, 1.5), ("s", "long", 60.5, None)], "segment string, horizon string, b double, b_prime double")
+    prev = spark.createDataFrame([("s", "near", 49.0)], "segment string, horizon string, b double")
+    subs = spark.createDataFrame([("s", "demand_signal", 0.9, 0.25)], "segment string, sub_score string, value double, seed_value double")
+    seed = subs.select("segment", "sub_score", "seed_value")
+    signals = spark.createDataFrame([("s", 7.0, day), ("other", 8.0, day)], "segment string, value_num double, observed_at date")
+    got = A.grounding_values(scores, prev, subs, seed, A.divergences(subs, ["segment"]), signals).collect()
+    shared = {0.9, 0.25, 0.65, 7.0, 2024.0, 3.0}
+    assert {round(r.value, 6) for r in got if r.horizon == "near"} == shared | {50.5, 1.5, 49.0}
+    assert {round(r.value, 6) for r in got if r.horizon == "long"} == shared | {60.5}
+    assert len(got) == 16

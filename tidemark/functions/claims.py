@@ -33,3 +33,25 @@ def ungrounded_numbers(text: Column, known: Column) -> Column:
 
     backed = lambda tok: near(value_of(tok)) | (tok.endswith("%") & near(value_of(tok) / 100.0))
     return F.transform(F.filter(claimed_numbers(text), lambda tok: ~backed(tok)), value_of)
+
+
+def claimed_values(text: Column) -> Column:
+    """Claimed numbers of a text, in order: struct of the number and the values that may back it (a percent also as a fraction)."""
+
+    def entry(token: Column) -> Column:
+        value = F.rtrim(token, F.lit("%")).cast("double")
+        return F.struct(value.alias("claim"), F.when(token.endswith("%"), F.array(value, value / 100.0)).otherwise(F.array(value)).alias("values"))
+
+    return F.transform(claimed_numbers(text), entry)
+
+
+#: A bucket is a little wider than the tolerance is anywhere on the bucket scale (1 in its linear, 1.0102 in its logarithmic part).
+BUCKET = 1.03
+
+
+def tolerance_bucket(value: Column) -> Column:
+    """Number on a scale, linear near zero and logarithmic beyond, on which values within tolerance are in the same or neighbouring buckets."""
+    size = F.abs(value)
+    edge = CLAIM_ABS_TOL / CLAIM_REL_TOL
+    place = F.when(size <= edge, size / CLAIM_ABS_TOL).otherwise(1.0 / CLAIM_REL_TOL + F.ln(size / edge) / CLAIM_REL_TOL)
+    return F.floor(F.signum(value) * place / BUCKET).cast("long")

@@ -305,3 +305,44 @@ def run_counts(spark, sf_dir):
     how = F.when(F.abs("b_prime") > 50, "rejected").when(F.abs("b_prime") > 5, "llm").when(F.col("b") < 10, "error").otherwise("machine")
     snapshots = store.score_history(spark, sf_dir).filter("mode = 'fixed'").select(how.alias("generated_by"))
     return A.run_counts(snapshots)
+
+
+_CLAIMS = r"""t AS (SELECT doc_id, 'Brand#' || (doc_id % 25 + 1) AS segment, regexp_replace(text, '(^|[^\p{L}\p{N}_])[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?', '\1 ', 'g') AS x FROM documents),
+    r AS (SELECT doc_id, segment, pos, rtrim(tok, '%') AS body, tok LIKE '%\%' ESCAPE '\' AS pct FROM (
+            SELECT doc_id, segment, unnest(regexp_extract_all(x, '((?:(?:^|[^\p{L}\p{M}\p{N}_.])-)?[\p{L}\p{M}\p{N}_.]+%?)', 1)) AS tok,
+                   generate_subscripts(regexp_extract_all(x, '((?:(?:^|[^\p{L}\p{M}\p{N}_.])-)?[\p{L}\p{M}\p{N}_.]+%?)', 1), 1) AS pos FROM t)),
+    n AS (SELECT doc_id, segment, pct, CAST(regexp_extract(regexp_replace(body, '^[^-0-9]+', ''), '^(-?[0-9]+(\.[0-9]+)?)', 1) AS DOUBLE) AS v
+          FROM r WHERE regexp_full_match(body, '(?s)(.?-)?[0-9]+(\.[0-9]+)?(\.(\..*)?)?'))"""
+_SHOWN = "SELECT * FROM signals WHERE observed_at <= DATE '2001-12-01' QUALIFY row_number() OVER (PARTITION BY segment ORDER BY observed_at DESC, signal_name, source_id, ingested_at DESC) <= 50"
+_KNOWN = f"""known AS (
+    SELECT segment, b AS k FROM hist WHERE {_NOW} AND horizon = 'near' UNION SELECT segment, b_prime FROM hist WHERE {_NOW} AND horizon = 'near'
+    UNION SELECT segment, arg_max(b, as_of) FROM hist WHERE mode = 'fixed' AND horizon = 'near' AND as_of < DATE '2001-12-01' GROUP BY segment
+    UNION SELECT segment, value FROM subs WHERE {_NOW} UNION SELECT segment, seed_value FROM seed
+    UNION SELECT segment, unnest([seed_value, value, value - seed_value]) FROM ({_DIV}) WHERE as_of = DATE '2001-12-01'
+    UNION SELECT segment, unnest([value_num, CAST(year(observed_at) AS DOUBLE), CAST(month(observed_at) AS DOUBLE)]) FROM ({_SHOWN})),
+    lists AS (SELECT segment, list(k) AS ks FROM known WHERE k IS NOT NULL GROUP BY segment)"""
+
+
+@query(
+    "x16_grounding_set",
+    check(
+        f"""SELECT * FROM (WITH {_CLAIMS}, {_KNOWN}, g AS (SELECT n.*, [v] || CASE WHEN pct THEN [v / 100] ELSE [] END AS c, coalesce(ks, []) AS ks FROM n LEFT JOIN lists USING (segment))
+            SELECT doc_id, segment, min(v) AS low, max(v) AS high, CAST(COUNT(*) AS BIGINT) AS n FROM g
+            WHERE NOT coalesce(list_bool_or(flatten(list_transform(c, lambda a: list_transform(ks, lambda b: abs(a - b) <= greatest(0.05, 0.02 * abs(b)))))), false)
+            GROUP BY doc_id, segment)""",
+        "hist", "subs", "seed", "signals",
+    ),
+)
+def grounding_set(spark, sf_dir):
+    """Numbers of each document that nothing known of its segment backs; the set is built from the stored tables."""
+    history = store.score_history(spark, sf_dir).filter("mode = 'fixed' AND horizon = 'near'")
+    now = F.col("as_of") == F.lit(V.GRID_END)
+    subs = store.subscores(spark, sf_dir).filter(now)
+    shown = Q.latest_signals(store.signals(spark, sf_dir).filter(F.col("observed_at") <= F.lit(V.GRID_END)), 50)
+    known = A.grounding_values(
+        history.filter(now), T.previous_score(history, V.GRID_END), subs, V.seed(spark, sf_dir), A.divergences(subs, ["segment"]), shown
+    )
+    segment = F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", segment.alias("segment"), "text")
+    loose = A.ungrounded_claims(docs, known.filter("horizon = 'near'").drop("horizon"), ["doc_id"], ["segment"])
+    return loose.groupBy("doc_id", "segment").agg(F.min("claim").alias("low"), F.max("claim").alias("high"), big(F.count(F.lit(1)), "n"))
