@@ -260,3 +260,10 @@ def test_grounding_values_of_a_segment(spark):
     assert {round(r.value, 6) for r in got if r.horizon == "near"} == shared | {50.5, 1.5, 49.0}
     assert {round(r.value, 6) for r in got if r.horizon == "long"} == shared | {60.5}
     assert len(got) == 16
+
+
+def test_companies_are_merged_once_per_set_of_segments(spark):
+    members = spark.createDataFrame([("A", "x"), ("A", "y"), ("A", "x"), ("B", "y"), ("B", "x"), ("C", "z"), ("D", None), ("E", "y")], "ticker string, segment string")
+    nodes = spark.createDataFrame([("x", ["n2", "n1"]), ("x", ["n3"]), ("y", ["n1"]), ("z", [])], "segment string, companies array<string>")
+    got = {r.ticker: r.companies for r in Q.distinct_companies(members, nodes).collect()}
+    assert got == {"A": ["n1", "n2", "n3"], "B": ["n1", "n2", "n3"], "E": ["n1"]}

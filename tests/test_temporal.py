@@ -151,3 +151,11 @@ def test_due_sources(spark):
         "source string, last_ingested_at timestamp_ntz, status string",
     )
     assert {r.source for r in T.due_sources(sources, ledger, now).collect()} == {"b", "c", "d"}
+
+
+def test_asof_rows_of_one_time_are_told_apart_by_the_tie_columns(spark):
+    series = spark.createDataFrame([("k", D(2024, 1, 1), v, n) for v, n in ((1.0, 3), (2.0, 1), (1.5, 2))], "k string, d date, v double, n int")
+    probes = spark.createDataFrame([("k", D(2024, 1, 1)), ("k", D(2024, 1, 9))], "k string, t date")
+    for slice_days in (None, 2):
+        assert {r.v for r in T.asof_join(probes, series, ["k"], "t", "d", ["v"], slice_days=slice_days).collect()} == {2.0}
+        assert {r.v for r in T.asof_join(probes, series, ["k"], "t", "d", ["v"], slice_days=slice_days, tie=["n"]).collect()} == {1.0}

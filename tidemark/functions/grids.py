@@ -17,9 +17,10 @@ def eval_dates(start: dt.date, end: dt.date, step: int = STEP_DAYS) -> Column:
     return F.sequence(F.lit(start), F.lit(end), F.expr(f"INTERVAL {step} DAYS"))
 
 
-def month_starts(start: dt.date, end: dt.date) -> Column:
-    """Array column of the first of each month in [start, end]."""
-    return F.sequence(F.lit(start.replace(day=1)), F.lit(end), F.expr("INTERVAL 1 MONTH"))
+def month_starts(start: dt.date | Column, end: dt.date | Column) -> Column:
+    """Array column of the first of each month in [start, end], of fixed dates or of columns."""
+    first = F.trunc(start, "month") if isinstance(start, Column) else F.lit(start.replace(day=1))
+    return F.sequence(first, end if isinstance(end, Column) else F.lit(end), F.expr("INTERVAL 1 MONTH"))
 
 
 def days_of(start: dt.date, end: dt.date) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import BOOTSTRAP_SEED, BOOTSTRAPS, FDR_ALPHA
@@ -50,13 +50,14 @@ def block_bootstrap(
     step: int,
     reps: int = BOOTSTRAPS,
     seed: int = BOOTSTRAP_SEED,
+    parts: int = 20,
 ) -> DataFrame:
     """Circular block bootstrap of the mean date IC.
 
     Only the calendar-bounded list of date ICs of a group is gathered. Block sums are
-    taken once per start; replicates are spread over tasks by (group, replicate). Block
-    starts come from md5 of (seed, group, replicate, draw), so a rerun after a lost
-    executor, or another engine, draws the same blocks.
+    taken once per start; replicates go to the tasks in ``parts`` per group, and each draws its
+    blocks inside one array expression, so no row per draw is ever made. Block starts come from md5 of (seed,
+    group, replicate, draw), so a rerun after a lost executor, or another engine, draws the same blocks.
     """
     size = block_size(forward, step)
     series = (
@@ -70,17 +71,20 @@ def block_bootstrap(
         F.sequence(F.lit(0), F.col("_n") - 1),
         lambda start: sum(F.element_at("_s", (start + o) % F.col("_n") + 1)["ic"] for o in range(size)),
     )
-    draws = (
+    spread = (
         series.select(group, "_n", blocks.alias("_blocks"))
-        .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        .repartition(group, "_rep")
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    )
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group), F.col("_rep"), F.col("_draw")))
-    start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("_n")
-    means = draws.groupBy(group, "_rep").agg(
-        (F.sum(F.element_at("_blocks", (start + 1).cast("int"))) / (F.count(F.lit(1)) * size)).alias("_m")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        .repartition(group, "_part")
+        .withColumn("_rep", F.explode(F.filter(F.sequence(F.lit(1), F.lit(reps)), lambda r: r % parts == F.col("_part"))))
     )
+
+    def drawn(total: Column, draw: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group), F.col("_rep"), draw))
+        start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("_n")
+        return total + F.element_at("_blocks", (start + 1).cast("int"))
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.col("_n")), F.lit(0.0), drawn)
+    means = spread.select(group, (whole / (F.col("_n") * size)).alias("_m"))
     edges = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
     below = F.avg((F.col("_m") <= 0).cast("double"))
     above = F.avg((F.col("_m") >= 0).cast("double"))

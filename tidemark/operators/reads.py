@@ -159,13 +159,32 @@ def in_universe(df: DataFrame, universe: DataFrame) -> DataFrame:
     return df.join(universe.select("ticker").distinct(), "ticker", "left_semi")
 
 
+def distinct_companies(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ticker, companies): the sorted distinct companies over all segments of a ticker; tickers with none are left out.
+
+    Tickers share few sets of segments. Each distinct set gets an id and its companies are merged once; a ticker carries
+    only the id, so rows shuffled grow with tickers plus sets, not with tickers times companies.
+    """
+    sets = members.groupBy("ticker").agg(F.array_sort(F.collect_set("segment")).alias("segments"))
+    known = sets.withColumn("set_id", F.sha2(F.to_json(F.struct("segments")), 256))
+    distinct = known.groupBy("set_id").agg(F.first("segments").alias("segments"))
+    listed = nodes.groupBy("segment").agg(F.array_distinct(F.flatten(F.collect_list("companies"))).alias("companies"))
+    merged = (
+        distinct.select("set_id", F.explode("segments").alias("segment"))
+        .join(listed, "segment")
+        .groupBy("set_id")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("companies")))).alias("companies"))
+        .filter(F.size("companies") > 0)
+    )
+    return known.select("ticker", "set_id").join(merged, "set_id").select("ticker", "companies")
+
+
 def ticker_detail(
     universe: DataFrame, scores: DataFrame, notes: DataFrame, nodes: DataFrame, eta: DataFrame
 ) -> DataFrame:
     """One row per ticker with its segments, companies, note count and resolution band.
 
-    Per-ticker lists are as long as its segments; companies are deduplicated before they
-    are gathered.
+    Per-ticker lists are as long as its segments; companies are merged once per set of segments.
     """
     from tidemark.operators.selection import primary_eta
 
@@ -185,14 +204,7 @@ def ticker_detail(
             F.min_by("exchange", "row_no").alias("exchange"),
         )
     )
-    companies = (
-        first_rows.select("ticker", "segment")
-        .join(nodes.select("segment", F.explode("companies").alias("company")), "segment")
-        .select("ticker", "company")
-        .distinct()
-        .groupBy("ticker")
-        .agg(F.array_sort(F.collect_list("company")).alias("companies"))
-    )
+    companies = distinct_companies(first_rows, nodes)
     return (
         segments.join(companies, "ticker", "left")
         .join(note_counts(notes, "ticker").withColumnRenamed("n", "n_notes"), "ticker", "left")

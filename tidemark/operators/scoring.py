@@ -59,8 +59,10 @@ def with_seed(grid: DataFrame, picked: DataFrame, seed: DataFrame, hhi_gap: floa
 
 def with_band(df: DataFrame, bands: DataFrame | None = None) -> DataFrame:
     """Band of (sub_score, source_key), else the sub-score's seed band, else (0, 1)."""
-    bands = F.broadcast(bands_frame(df.sparkSession) if bands is None else bands)
-    fallback = F.broadcast(
+    # the published table is a few rows; a caller's own is left to Spark's check of its size
+    hint = F.broadcast if bands is None else (lambda table: table)
+    bands = hint(bands_frame(df.sparkSession) if bands is None else bands)
+    fallback = hint(
         bands.filter(F.col("source_key") == "seed").select(
             "sub_score", F.col("band_min").alias("_seed_min"), F.col("band_max").alias("_seed_max")
         )
@@ -161,7 +163,7 @@ def weighted_score(subscores: DataFrame, by: list[str], weights: DataFrame | Non
     B adds its few terms in the order of their names, so equal inputs give equal scores to the last bit on every date:
     a momentum of exactly zero decides between regimes.
     """
-    weights = F.broadcast(weights_frame(subscores.sparkSession) if weights is None else weights)
+    weights = F.broadcast(weights_frame(subscores.sparkSession)) if weights is None else weights
     w = F.col("w")
     seeded = (F.col("source") == "seed") & ~F.col("imputed")
     return (

@@ -249,9 +249,11 @@ def asof_join(
     cols: list[str],
     strict: bool = False,
     slice_days: int | None = None,
+    tie: list[str] | None = None,
 ) -> DataFrame:
     """Per probe, the last series row with ts <= probe ts (``<`` if strict).
 
+    Of rows with one time the greatest by ``tie`` counts, without one the greatest by ``cols``.
     Events and probes are unioned and read by one ordered window. Leave
     ``slice_days`` unset where a key's rows are bounded by the calendar (daily bars,
     monthly scores). For raw event series set it: the window then runs inside
@@ -264,6 +266,7 @@ def asof_join(
         F.col(series_ts).alias("_ts"),
         F.lit(1 if strict else 0).alias("_ord"),
         F.struct(*cols).alias("_hit"),
+        F.struct(*(tie or cols)).alias("_tie"),
         F.lit(False).alias("_is_probe"),
         *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probe_cols],
     )
@@ -272,20 +275,21 @@ def asof_join(
         F.col(probe_ts).alias("_ts"),
         F.lit(0 if strict else 1).alias("_ord"),
         F.lit(None).cast(events.schema["_hit"].dataType).alias("_hit"),
+        F.lit(None).cast(events.schema["_tie"].dataType).alias("_tie"),
         F.lit(True).alias("_is_probe"),
         *probe_cols,
     )
     both = events.unionByName(asks)
     if slice_days is None:
-        past = Window.partitionBy(*by).orderBy("_ts", "_ord").rowsBetween(Window.unboundedPreceding, 0)
+        past = Window.partitionBy(*by).orderBy("_ts", "_ord", "_tie").rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(past)).filter("_is_probe")
     else:
         both = both.withColumn(
             "_slice", F.floor(F.datediff(F.col("_ts"), F.lit(dt.date(1970, 1, 1))) / F.lit(slice_days))
         )
-        past = Window.partitionBy(*by, "_slice").orderBy("_ts", "_ord").rowsBetween(Window.unboundedPreceding, 0)
+        past = Window.partitionBy(*by, "_slice").orderBy("_ts", "_ord", "_tie").rowsBetween(Window.unboundedPreceding, 0)
         inside = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(past)).filter("_is_probe")
-        tails = both.groupBy(*by, "_slice").agg(F.max_by("_hit", F.when(~F.col("_is_probe"), F.col("_ts"))).alias("_tail"))
+        tails = both.groupBy(*by, "_slice").agg(F.max_by("_hit", F.when(~F.col("_is_probe"), F.struct("_ts", "_tie"))).alias("_tail"))
         earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier)).drop("_tail")
         found = inside.join(carried, [*by, "_slice"], "left").withColumn("_hit", F.coalesce("_hit", "_carry"))

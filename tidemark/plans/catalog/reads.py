@@ -157,9 +157,8 @@ def ticker_detail(spark, sf_dir):
     ),
 )
 def distinct_companies(spark, sf_dir):
-    members = store.universe(spark, sf_dir).select("ticker", "segment").distinct()
-    pairs = members.join(_node_companies(spark, sf_dir), "segment").select("ticker", F.explode("companies").alias("company")).distinct()
-    return pairs.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_list("company")), ",").alias("companies"))
+    found = Q.distinct_companies(store.universe(spark, sf_dir), _node_companies(spark, sf_dir))
+    return found.select("ticker", F.array_join("companies", ",").alias("companies"))
 
 
 @query(

@@ -295,8 +295,7 @@ def month_grid(spark, sf_dir):
     span = V.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
         F.min("o_orderdate").cast("date").alias("lo"), F.max("o_orderdate").cast("date").alias("hi")
     )
-    months = F.sequence(F.trunc("lo", "month"), F.col("hi"), F.expr("INTERVAL 1 MONTH"))
-    return span.select(F.explode(months).alias("as_of"), F.col("o_orderpriority").alias("priority"))
+    return span.select(F.explode(grids.month_starts(F.col("lo"), F.col("hi"))).alias("as_of"), F.col("o_orderpriority").alias("priority"))
 
 
 @query(
