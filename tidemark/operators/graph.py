@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import row_numbers
 from tidemark.session import cut_lineage
 
 
@@ -15,63 +16,75 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
+WIDTH = 64
+
+
+def _numbered(names: DataFrame, name: str) -> DataFrame:
+    """(name, word, bit): distinct names, each a bit of a word of 64."""
+    numbered = cut_lineage(row_numbers(names.select(name).filter(F.col(name).isNotNull()).distinct(), [], [F.col(name).asc()], "no"))
+    place = F.col("no") - 1
+    return numbered.select(name, F.floor(place / WIDTH).alias("word"), (place % WIDTH).cast("int").alias("at")).withColumn("bit", F.expr("shiftleft(1L, at)"))
+
+
+def _advance(frontier: DataFrame, hops: DataFrame, visited: DataFrame | None) -> DataFrame:
+    """(node, word, bits): who reaches a node one hop on for the first time. Bits of a node are merged before and after the shuffle."""
+    moved = frontier.join(hops, "node").groupBy(F.col("next").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+    if visited is not None:
+        known = visited.groupBy("node", "word").agg(F.bit_or("bits").alias("known"))
+        moved = moved.join(known, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))).drop("known")
+    return cut_lineage(moved.filter(F.col("bits") != 0))
+
+
 def reach(edges: DataFrame, start: DataFrame, direction: str, max_depth: int) -> DataFrame:
     """G1: (start, node, depth) for nodes within ``max_depth`` hops, least depth, cycle safe.
 
-    ``start`` is (start); all starts advance together. Each round joins the frontier to
-    the edges and drops what was visited. The frontier is written to shared storage every
-    round, so a round reads what the last one wrote and plans do not grow with depth.
+    ``start`` is (start); all starts advance together, 64 of them as the bits of one number per node: a round joins the
+    frontier to the edges, ors the bits per node and takes off those that have been there. Pairs of a start and a node
+    are written out once, at the end. The frontier is stored every round, so plans do not grow with depth.
     """
     src, dst = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    hops = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    hops = cut_lineage(hops) if max_depth > 1 else hops
-    frontier = start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    visited = frontier
+    hops = cut_lineage(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct())
+    numbers = _numbered(start, "start")
+    frontier = numbers.select(F.col("start").alias("node"), "word", F.col("bit").alias("bits"))
+    visited, levels = frontier, []
     for depth in range(1, max_depth + 1):
-        fresh = (
-            frontier.join(hops, "node")
-            .select("start", F.col("next").alias("node"))
-            .distinct()
-            .join(visited.select("start", "node"), ["start", "node"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        if depth < max_depth:
-            fresh = cut_lineage(fresh)
-            if fresh.isEmpty():
-                break
-        visited = visited.unionByName(fresh)
-        frontier = fresh
-    return visited.filter(F.col("depth") > 0)
+        frontier = _advance(frontier, hops, visited)
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+    if not levels:
+        return numbers.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).filter(F.lit(False))
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.getbit("bits", i) == 1)
+    pairs = found.select("node", "depth", "word", F.explode(bits).alias("at"))
+    return pairs.join(numbers.select("start", "word", "at"), ["word", "at"]).select("start", "node", "depth")
 
 
 def reach_counts(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Per node, how many other target nodes it supplies directly or through others.
 
-    Walks backwards from the targets only (semi-naive), so the working set is the pairs
-    that reach a target, never all pairs of nodes. Rounds end when no pair is new, however
-    long the chains are.
+    Walks backwards from the targets only, 64 of them as the bits of one number per node, and counts bits: no pair of a
+    node and a target is ever a row. Rounds end when no bit is new, however long the chains are.
     """
-    back = edges.select(F.col("dst").alias("mid"), F.col("src").alias("node")).distinct()
-    pairs = cut_lineage(
-        targets.select(F.col("node").alias("mid"), F.col("node").alias("target"))
-        .join(back, "mid")
-        .select("node", "target")
-        .distinct()
-    )
-    frontier = pairs
+    back = cut_lineage(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
+    numbers = _numbered(targets, "node")
+    frontier = numbers.select("node", "word", F.col("bit").alias("bits"))
+    visited = None
     while True:
-        fresh = cut_lineage(
-            frontier.select(F.col("node").alias("mid"), "target")
-            .join(back, "mid")
-            .select("node", "target")
-            .distinct()
-            .join(pairs, ["node", "target"], "left_anti")
-        )
-        if fresh.isEmpty():
+        frontier = _advance(frontier, back, visited)
+        if frontier.isEmpty():
             break
-        pairs = pairs.unionByName(fresh)
-        frontier = fresh
-    return pairs.filter(F.col("node") != F.col("target")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        visited = frontier if visited is None else visited.unionByName(frontier)
+    if visited is None:
+        return numbers.select("node", F.lit(0).cast("long").alias("n")).filter(F.lit(False))
+    # a node on a cycle reaches itself, which does not count
+    own = numbers.select("node", "word", F.col("bit").alias("own"))
+    counted = visited.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).join(own, ["node", "word"], "left")
+    others = F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0)))))
+    return counted.groupBy("node").agg(F.sum(others).alias("n")).filter(F.col("n") > 0)
 
 
 def typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
