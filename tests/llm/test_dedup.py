@@ -105,23 +105,30 @@ def test_minhash_rows(which, request):
     keyed = [(r["id"], r["th"], r["doc_id"], r["text"] or "") for r in minhash.keyed(docs).collect()]
     keyed.sort(key=lambda r: r[:2])
     want = Counter()
-    close = []
-    prints = {}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    close, beside, text_of = {}, {}, {}
     for k, (_, _, i, t) in enumerate(keyed):
         after = keyed[(k + 1) % len(keyed)][3]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
-        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
-        a, e = words5(t), words5(edited)
-        close.append(((i, hashlib.sha256(edited.encode()).hexdigest()), len(a & e) / len(a | e) if a | e else 1.0))
+        row = (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
+        want[row] += 1
+        text_of[row] = t
+        close.setdefault(row, []).append(jaccard(words5(t), words5(edited)))
+        beside.setdefault(row, []).append(jaccard(words5(t), words5(after)))
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    likeness = {(r["doc_id"], r["edited_sha256"]): r["near_edited"] for r in got}
-    assert max(abs(likeness[k] - j) for k, j in close) < 0.2
-    texts = {}
+    prints = {}
     for r in got:
-        prints.setdefault((r["doc_id"], r["n_chars"]), set()).add(r["fingerprint"])
+        row = (r["doc_id"], r["n_chars"], r["edited_sha256"])
+        prints.setdefault(text_of[row], set()).add(r["fingerprint"])
+        assert min(abs(r["near_edited"] - j) for j in close[row]) < 0.2 and min(abs(r["near_next"] - j) for j in beside[row]) < 0.2
         assert 0 <= r["near_next"] <= 1 and len(r["fingerprint"]) == 4 * minhash.SLOTS
-    assert not texts and all(len(v) >= 1 for v in prints.values())
+    # equal texts have one fingerprint, and texts with different shingles another one
+    assert all(len(v) == 1 for v in prints.values())
+    sets = {}
+    for t, v in prints.items():
+        sets.setdefault(frozenset(words5(t)), set()).update(v)
+    assert len(set().union(*sets.values())) == len(sets)
 
 
 def test_minhash_pairs_are_all_similar_pairs(documents, empty):

@@ -239,6 +239,27 @@ def test_quality_gradients_and_held_out_accuracy(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.98
 
 
+def test_quality_scores_equal_a_walk_over_passages(spark, documents, labels):
+    """Gated attention written out for one document at a time."""
+    model = quality.fit(documents, labels)
+    w, checked = model.weights, 0
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(documents, model).collect()}
+    for i, text in rows_of(documents)[:60]:
+        flat, offs = raw(pa.array([text or ""]))
+        x, count = quality.encode(flat, offs, quality.Hasher())
+        assert list(count) == [max(1, -(-len((text or "").encode().split()) // quality.PASSAGE))]
+        hidden, weight = [], []
+        for row in (x - model.mean) / model.scale:
+            h = np.tanh([sum(row[f] * w["W"][f, k] for f in range(len(row))) + w["b"][k] for k in range(len(w["b"]))])
+            gate = 1 / (1 + np.exp(-(h @ w["U"])))
+            hidden.append(h)
+            weight.append(np.exp(sum(np.tanh(h @ w["V"]) * gate * w["a"])))
+        pooled = sum(a * h for a, h in zip(weight, hidden, strict=True)) / sum(weight)
+        assert abs(scores[i] - 1 / (1 + np.exp(-(pooled @ w["c"] + w["d"][0])))) < 1e-4
+        checked += 1
+    assert checked == 60
+
+
 def test_quality_of_awkward_rows(awkward, empty, labels):
     rows = quality.op6_query(awkward, labels).collect()
     assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
@@ -326,3 +347,20 @@ def test_mixing_of_documents_without_ids_comes_near_the_target(spark):
     assert len(found) == 2
     for r in found:
         assert abs(r["sum(taken)"] - r["max(target)"]) < 0.05 * r["max(target)"]
+
+
+def test_private_data_of_a_text_with_very_many_matches(spark):
+    """A megabyte of addresses: 125,000 base spans and as many places for looser ones, in seconds and each at its place."""
+    import time
+
+    n = 125_000
+    docs = spark.createDataFrame([(1, "1.1.1.1 " * n), (2, "x 9.9.9.9 +49 30 1234567 " * 700)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in private_data.find_private(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1]["n_ip"] == n and got[1]["base_sha256"] == hashlib.sha256(",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(n)).encode()).hexdigest()
+    want = private("x 9.9.9.9 +49 30 1234567 " * 700)
+    assert got[2]["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % x for x in want).encode()).hexdigest()
+    spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[2]["spans"].split(","))]
+    extra = [x for x in spans if x not in set(want)]
+    assert set(want) <= set(spans) and not any(s < f and b < e for _, s, e in extra for _, b, f in want)

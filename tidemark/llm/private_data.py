@@ -19,6 +19,8 @@ not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +118,42 @@ def _candidate(form: int, kind: int):
     return one
 
 
+#: Matches whose running positions are gathered in one array; one number is carried from one such run to the next.
+RUN = 256
+
+
+def _starts(z: Column) -> Column:
+    """Start of every match of ``z`` (text before it, match). Appending copies an array, so arrays stay short: work grows with matches."""
+    step = lambda x: F.length(x["p"]) + F.length(x["m"])
+    none = F.array().cast("array<int>")
+
+    def walked(part: Column, begin: Column) -> Column:
+        walk = lambda acc, x: F.struct((acc["end"] + step(x)).alias("end"), F.array_append(acc["at"], acc["end"] + F.length(x["p"])).alias("at"))
+        return F.aggregate(part, F.struct(begin.alias("end"), none.alias("at")), walk, lambda acc: acc["at"])
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int"))
+    part = lambda j: F.slice(z, j * RUN + 1, F.lit(RUN))
+    sizes = F.transform(runs, lambda j: F.aggregate(part(j), F.lit(0), lambda total, x: total + step(x)))
+    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    long = F.flatten(F.transform(F.arrays_zip(runs.alias("j"), F.slice(begins, F.lit(1), F.size(runs)).alias("b")), lambda r: walked(part(r["j"]), r["b"])))
+    return F.when(F.size(z) <= RUN, walked(z, F.lit(0))).otherwise(long)
+
+
+def _overlaps(x: Column, spans: Column) -> Column:
+    """Whether ``x`` overlaps one of ``spans``, disjoint and in order: the last one that starts before its end decides."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_ = acc["lo"] < acc["hi"]
+        before = open_ & (F.get(spans, mid)["s"] < x["e"])
+        return F.struct(F.when(before, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~before, mid).otherwise(acc["hi"]).alias("hi"))
+
+    begin = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(32)), begin, halve, lambda acc: acc["lo"] - 1)
+    few = F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return F.when(F.size(spans) <= 16, few).otherwise(F.coalesce(F.when(last >= 0, F.get(spans, last)["e"] > x["s"]), F.lit(False)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``found``: every candidate's kind, place, votes and whether it is a base span."""
     text = F.coalesce("text", F.lit(""))
@@ -133,10 +171,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     zipped = cut.select("doc_id", *(c.alias(n) for n, c in zipped.items()))
     found = []
     for i, (kind, _, _) in enumerate(FORMS):
-        # a running position: (end of the last match, starts so far)
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-        walk = lambda acc, x: F.struct((acc["end"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), F.array_append(acc["at"], acc["end"] + F.length(x["p"])).alias("at"))
-        at = F.aggregate(f"z{i}", start, walk, lambda acc: acc["at"])
+        at = _starts(F.col(f"z{i}"))
 
         found.append(F.when(F.size(f"z{i}") > 0, F.zip_with(f"z{i}", at, _candidate(i, kind))).otherwise(F.array().cast("array<struct<kind:int,s:int,e:int,base:boolean,loose:boolean,votes:array<int>>>")))
     return zipped.select("doc_id", F.concat(*found).alias("found"))
@@ -210,6 +245,10 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
 
+def _of_kind(kind: int):
+    return lambda x: x["kind"] == kind
+
+
 def find_private(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row."""
     found = stored(candidates(docs), "candidates")
@@ -218,7 +257,10 @@ def find_private(docs: DataFrame) -> DataFrame:
     weights = train(patterns, estimate(patterns)[1])
     base = F.array_sort(F.transform(F.filter("found", lambda x: x["base"]), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
     marked = found.select("doc_id", base.alias("base"), F.filter("found", lambda x: x["loose"] & (_probability(x, weights) >= SURE)).alias("more"))
-    free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    # base spans of one kind are disjoint
+    marked = marked.select("*", *(F.filter("base", _of_kind(k)).alias(f"base_{k}") for k in range(len(KINDS))))
+    taken = lambda x: reduce(or_, (_overlaps(x, F.col(f"base_{k}")) for k in range(len(KINDS))))
+    free = F.filter("more", lambda x: ~taken(x))
     added = marked.select("doc_id", "base", F.when(F.size("more") > 0, F.transform(free, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))).otherwise(F.slice("base", 1, 0)).alias("more"))
     counts = [_count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return added.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "more"))).alias("spans"))
