@@ -18,13 +18,12 @@ from tidemark.operators.geo import exposure_hhi
 from tidemark.plans import fixtures as V
 from tidemark.plans import scoring as C
 from tidemark.session import scratch_path
+from tidemark.sources.tables import latest_scores
 
 _PATHS: dict[tuple[str, str, str], str] = {}
 
 
-def stored(
-    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], partition_by: str | None = None
-) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The named table, built and written on first use."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key in _PATHS:
@@ -33,10 +32,7 @@ def stored(
         except AnalysisException:  # the shared folder was cleared: build again
             del _PATHS[key]
     path = scratch_path(spark, name)
-    writer = build().write.mode("overwrite")
-    if partition_by is not None:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    build().write.mode("overwrite").parquet(path)
     _PATHS[key] = path
     return spark.read.parquet(path)
 
@@ -85,6 +81,11 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "score_history", build)
 
 
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published snapshot: the newest row of each (segment, horizon, mode), with its first date."""
+    return stored(spark, sf_dir, "snapshot", lambda: latest_scores(score_history(spark, sf_dir)))
+
+
 def scores_on(spark: SparkSession, sf_dir: str, mode: str = "fixed") -> DataFrame:
     """The snapshot of the newest as-of date."""
     history = score_history(spark, sf_dir).filter(F.col("mode") == mode)
