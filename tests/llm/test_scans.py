@@ -160,7 +160,10 @@ def test_decontamination_in_blocks_and_awkward_rows(spark, awkward, empty, bench
 def test_longest_match_is_reported(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(f"b{i}" for i in range(25)) + " y")], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(40)))], "item_id long, text string")
-    assert decontaminate.judge(docs, items).first()["longest"] == 25
+    found = decontaminate.op9_query(docs, items).first()
+    assert (found["longest"], found["longest_at"], found["longest_item"], found["longest_item_at"]) == (25, 1, "1", 0)
+    other = decontaminate.op9_query(spark.createDataFrame([(1, "nothing of it"), (2, None)], docs.schema), items).collect()
+    assert {(r["longest"], r["longest_at"], r["longest_item"], r["longest_item_at"]) for r in other} == {(0, None, None, None)}
 
 
 def located(texts, items):
@@ -173,9 +176,9 @@ def test_decontamination_of_small_alphabets():
     rng = np.random.default_rng(3)
     texts = ["", *(" ".join(rng.choice(["a", "b"], rng.integers(0, 90), p=[0.9, 0.1])) for _ in range(150))]
     items = [(f"i{k % 17}", " ".join(rng.choice(["a", "b"], rng.integers(0, 45), p=[0.9, 0.1]))) for k in range(20)] + [("i1", "a a b"), ("same", texts[7]), ("", "b b")]
-    for (n, spans, named, longest), text in zip(located(texts, items), texts, strict=True):
-        w, hit, want, most = text.split(), set(), set(), 0
-        for name, t in items:
+    for (n, spans, named, longest), text in zip(located(texts, sorted(items)), texts, strict=True):
+        w, hit, want, most = text.split(), set(), set(), []
+        for name, t in sorted(items):
             v = t.split()
             for i in range(len(w)):
                 for j in range(max(len(v) - min(len(v), 13) + 1, 0) if v else 0):
@@ -185,8 +188,9 @@ def test_decontamination_of_small_alphabets():
                     if k >= min(len(v), 13):
                         hit.update(range(i, i + k))
                         want.add(name)
-                        most = max(most, k)
-        assert (n, {x for s, e in spans for x in range(s, e)}, set(named), longest) == (len(w), hit, want, most)
+                        most.append((-k, i, name, t, j))
+        size, place, name, _, at = min(most, default=(0, None, None, None, None))
+        assert (n, {x for s, e in spans for x in range(s, e)}, set(named), longest) == (len(w), hit, want, (-size, place, name, at))
 
 
 def test_decontamination_of_repeats_forms_no_pairs():
@@ -194,7 +198,7 @@ def test_decontamination_of_repeats_forms_no_pairs():
     (n, spans, named, longest), = located(["a " * 200_000], [("x", "a " * 50), ("y", "a " * 40)])
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert (n, spans, named, longest) == (200_000, [(0, 200_000)], ["x", "y"], 50)
+    assert (n, spans, named, longest) == (200_000, [(0, 200_000)], ["x", "y"], (50, 0, "x", 0))
     assert peak < 100 << 20
 
 

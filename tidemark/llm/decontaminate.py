@@ -32,6 +32,11 @@ BLOCK_BYTES = 8 << 20
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
+#: The longest verbatim match of a row: words, first word in the row, item, first word in the item.
+LONGEST = ("longest", "longest_at", "longest_item", "longest_item_at")
+NO_MATCH = (0, None, None, None)
+
+
 def lower_table() -> np.ndarray:
     out = np.arange(256, dtype=np.uint8)
     out[65:91] += 32
@@ -98,7 +103,7 @@ def test_suffixes(items: list[tuple[str, str]], window: int = WINDOW) -> dict[st
     owner, held = np.divmod(held, max(len(items), 1))
     edges, lists = np.searchsorted(owner, np.arange(windows + 1)).tolist(), {}
     listed = np.array([lists.setdefault(held[a:b].tobytes(), len(lists)) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
-    return {"h": h, "at": at, "begin": begin, "end": end, "which": which, "rep": rep, "need": size, "low": low, "high": high, "listed": listed, "lists": [np.frombuffer(x, np.int64) for x in lists]}
+    return {"h": h, "at": at, "begin": begin, "end": end, "item": item, "which": which, "rep": rep, "need": size, "low": low, "high": high, "listed": listed, "lists": [np.frombuffer(x, np.int64) for x in lists]}
 
 
 def matches(h: np.ndarray, first: np.ndarray, tests: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +144,26 @@ def matches(h: np.ndarray, first: np.ndarray, tests: dict[str, np.ndarray]) -> t
     return np.concatenate(places), np.concatenate(found)
 
 
-def longest_matches(h: np.ndarray, first: np.ndarray, tests: dict[str, np.ndarray], p: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Per row, the length of its longest match with an item; ``p`` and ``window`` are its occurrences."""
-    out = np.zeros(len(first) - 1, np.int64)
+def longest_matches(h: np.ndarray, first: np.ndarray, tests: dict[str, np.ndarray], p: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row, the length of its longest match with an item, the word it starts at and the test suffix it starts.
+
+    ``p`` and ``window`` are the row's occurrences. Of equally long matches the first in the row is told, of
+    suffixes that hold it the first by item name; rows without an occurrence have length 0.
+    """
+    size, place, suffix = np.zeros(len(first) - 1, np.int64), np.zeros(len(first) - 1, np.int64), np.zeros(len(first) - 1, np.int64)
     row = np.searchsorted(first, p, side="right") - 1
-    np.maximum.at(out, row, tests["need"][window])
+    need = tests["need"][window]
+    order = np.lexsort((p, -need, row))
+    p, row, window, need = p[order], row[order], window[order], need[order]
+    windows, head = np.unique(tests["which"], return_index=True)
+
+    def tell(k: int | np.ndarray, p: np.ndarray, row: np.ndarray, q: np.ndarray) -> None:
+        rows, at = np.unique(row, return_index=True)
+        size[rows], place[rows], suffix[rows] = k if np.isscalar(k) else k[at], p[at], q[at]
+
+    tell(need, p, row, head[np.searchsorted(windows, window)])
     k = int(tests["need"].max(initial=0))
-    deep = tests["need"][window] == k
+    deep = need == k
     p, row, cp = p[deep], row[deep], window[deep]
     used = np.zeros(len(tests["need"]), bool)
     used[cp] = True
@@ -164,11 +182,13 @@ def longest_matches(h: np.ndarray, first: np.ndarray, tests: dict[str, np.ndarra
         ct, cp = narrowed(ct, tests["h"][tests["at"][q] + k], cp, h[p + k])
         p, row, cp = p[cp >= 0], row[cp >= 0], cp[cp >= 0]
         k += 1
-        out[row] = k
+        if len(p):
+            classes, head = np.unique(ct, return_index=True)
+            tell(k, p, row, q[head[np.searchsorted(classes, cp)]])
         live = np.zeros(len(q), bool)
         live[cp] = True
         q, ct = q[live[ct]], ct[live[ct]]
-    return out
+    return size, place, suffix
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -184,20 +204,20 @@ def _collected(block: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
     return [i for i, _ in items], test_suffixes(items)
 
 
-def _verdict(n: int, spans: list[tuple[int, int]], items: list[str], longest: int) -> tuple[int, int, str, bool, int]:
+def _verdict(n: int, spans: list[tuple[int, int]], items: list[str], longest: tuple) -> tuple:
     edge = np.zeros(n + 1, np.int64)
     for s, e in spans:
         edge[s] += 1
         edge[e] -= 1
     hit = int((np.cumsum(edge)[:n] > 0).sum())
     digest = hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()
-    return hit, len(set(items)), digest, hit > 0 and SHARE * hit >= n, longest
+    return hit, len(set(items)), digest, hit > 0 and SHARE * hit >= n, *longest
 
 
-def _located(batch: pa.RecordBatch, names: list[str], tests: dict[str, np.ndarray], hasher: Hasher, longest: bool) -> list[tuple[int, list[tuple[int, int]], list[str], int]]:
-    """Per row: number of words, covered runs of words, items and, if asked for, the longest match."""
+def _located(batch: pa.RecordBatch, names: list[str], tests: dict[str, np.ndarray], hasher: Hasher, longest: bool) -> list[tuple[int, list[tuple[int, int]], list[str], tuple]]:
+    """Per row: number of words, covered runs of words, items and, if asked for, the longest match as in ``LONGEST``."""
     h, first = hashed_words(batch.column("text"), hasher)
-    out = [[int(n), [], [], 0] for n in np.diff(first)]
+    out = [[int(n), [], [], NO_MATCH] for n in np.diff(first)]
     p, window = matches(h, first, tests)
     if not len(p):
         return out
@@ -216,22 +236,30 @@ def _located(batch: pa.RecordBatch, names: list[str], tests: dict[str, np.ndarra
     for r, held in told.items():
         out[r][2] = sorted({names[i] for i in held})
     if longest:
-        for r, size in enumerate(longest_matches(h, first, tests, p, window).tolist()):
-            out[r][3] = size
+        size, place, suffix = longest_matches(h, first, tests, p, window)
+        for r in np.flatnonzero(size).tolist():
+            q = suffix[r]
+            out[r][3] = int(size[r]), int(place[r] - first[r]), names[tests["item"][q]], int(tests["at"][q] - tests["begin"][q])
     return out
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFrame:
-    """``doc_id, id, th, n_words, n_hit, n_items, items_sha256, contaminated, longest`` of every row; ``longest`` is 0 if not asked for."""
+    """``doc_id, id, th, n_words, n_hit, n_items, items_sha256, contaminated`` and the columns of ``LONGEST`` of every row.
+
+    The longest match is 0 words, its places null, where nothing occurs or it is not asked for. Of equally long
+    matches the first in the row is told, of items that hold it the first by name.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
-    schema = f"doc_id {kind}, id long, th long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
+    told = "longest long, longest_at long, longest_item string, longest_item_at long"
+    schema = f"doc_id {kind}, id long, th long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, {told}"
     blocks = _blocks(benchmark)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64())
 
-    def verdicts(batch: pa.RecordBatch, found: list[tuple[int, list, list, int]]) -> pa.RecordBatch:
-        told = [(n, *_verdict(n, spans, items, most)) for n, spans, items, most in found]
-        columns = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("th"), *columns], ["doc_id", "id", "th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"])
+    def verdicts(batch: pa.RecordBatch, found: list[tuple[int, list, list, tuple]]) -> pa.RecordBatch:
+        judged = [(n, *_verdict(n, spans, items, most)) for n, spans, items, most in found]
+        columns = [pa.array(c, t) for c, t in zip(zip(*judged, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("th"), *columns], ["doc_id", "id", "th", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *LONGEST])
 
     if len(blocks) == 1:
         names, tests = _collected(blocks[0])
@@ -250,25 +278,28 @@ def judge(docs: DataFrame, benchmark: DataFrame, longest: bool = True) -> DataFr
                 found = [(i, *f) for i, f in enumerate(_located(batch, names, tests, hasher, longest)) if f[1]]
                 if found:
                     at = pa.array([f[0] for f in found])
+                    most = [pa.array(c, t) for c, t in zip(zip(*(f[4] for f in found), strict=True), types[5:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(at), batch.column("th").take(at), pa.array([[list(s) for s in f[2]] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[3] for f in found], pa.list_(pa.string())), pa.array([f[4] for f in found], pa.int64())],
-                        ["id", "th", "spans", "items", "longest"],
+                        [batch.column("id").take(at), batch.column("th").take(at), pa.array([[list(s) for s in f[2]] for f in found], pa.list_(pa.list_(pa.int64()))), pa.array([f[3] for f in found], pa.list_(pa.string())), *most],
+                        ["id", "th", "spans", "items", *LONGEST],
                     )
 
-        return rows.mapInArrow(scan, "id long, th long, spans array<array<long>>, items array<string>, longest long")
+        return rows.mapInArrow(scan, f"id long, th long, spans array<array<long>>, items array<string>, {told}")
 
     def merge(batches):
         for batch in slices(batches):
             _, first = hashed_words(batch.column("text"), Hasher())
-            spans, items, most = (batch.column(c).to_pylist() for c in ("spans", "items", "longest"))
-            yield verdicts(batch, [(int(n), s or [], i or [], m or 0) for n, s, i, m in zip(np.diff(first), spans, items, most, strict=True)])
+            spans, items, *most = (batch.column(c).to_pylist() for c in ("spans", "items", *LONGEST))
+            yield verdicts(batch, [(int(n), s or [], i or [], (m[0] or 0, *m[1:])) for n, s, i, m in zip(np.diff(first), spans, items, zip(*most, strict=True), strict=True)])
 
     # one block at a time is on the driver: its matches are stored before the next is collected
     parts = [stored(locate(*_collected(b)), "benchmark-matches") for b in blocks]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    merged = union.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+    best = F.min(F.struct((-F.col("longest")).alias("longest"), *LONGEST[1:]))
+    merged = union.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("best"))
+    merged = merged.select("id", "th", "spans", "items", (-F.col("best.longest")).alias("longest"), *(F.col(f"best.{c}") for c in LONGEST[1:]))
     return rows.join(merged, ["id", "th"], "left").mapInArrow(merge, schema)
 
 
@@ -291,21 +322,30 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return judge(docs, benchmark, longest=False).drop("id", "th", "longest")
+    """The verdicts with the longest verbatim match of each document and where it lies."""
+    return judge(docs, benchmark).drop("id", "th")
 
 
 OP9_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-tests AS (
-  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS k
-  FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+items AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+heads AS (
+  SELECT item, text, n, j, array_to_string(w[j:j + n - 1], ' ') AS k
+  FROM (SELECT item, text, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS j FROM items WHERE len(w) > 0)),
+tests AS (SELECT DISTINCT item, n, k FROM heads),
 sizes AS (SELECT DISTINCT n FROM tests),
 places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n),
-hits AS (SELECT DISTINCT doc_id, i, p.n, item FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM places) p JOIN tests t ON p.n = t.n AND p.k = t.k),
+keys AS (SELECT doc_id, n, i, k FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM places) SEMI JOIN tests USING (n, k)),
+hits AS (SELECT DISTINCT doc_id, i, p.n, item FROM keys p JOIN tests t ON p.n = t.n AND p.k = t.k),
+lines AS (
+  SELECT doc_id, item, text, n, i, j, i - row_number() OVER (PARTITION BY doc_id, item, text, i - j ORDER BY i) AS run
+  FROM keys JOIN heads USING (n, k)),
+runs AS (SELECT doc_id, item, text, count(*) + max(n) - 1 AS size, min(i) - 1 AS doc_at, min(j) - 1 AS item_at FROM lines GROUP BY doc_id, item, text, i - j, run),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, doc_at, item, text, item_at) = 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(size, 0)::BIGINT AS longest, doc_at::BIGINT AS longest_at, best.item AS longest_item, item_at::BIGINT AS longest_item_at
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN best USING (doc_id)
 """
