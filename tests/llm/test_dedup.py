@@ -168,20 +168,46 @@ def removed_words(rows, window):
 
 def removed_bytes(rows, window):
     texts = [(t or "").encode() for _, t in rows]
-    seen = Counter(t[s : s + window] for t in texts for s in range(len(t) - window + 1))
+    ids = [(1 << 63) - 1 if i is None else i for i, _ in rows]
+    seen, first = Counter(), {}
+    for i, t in zip(ids, texts, strict=True):
+        for s in range(len(t) - window + 1):
+            k = t[s : s + window]
+            seen[k] += 1
+            first[k] = min(first.get(k, i), i)
     out = []
-    for (doc, _), t in zip(rows, texts, strict=True):
-        gone = np.zeros(len(t) + 1, np.int64)
+    for (doc, _), i, t in zip(rows, ids, texts, strict=True):
+        gone, later = np.zeros(len(t) + 1, np.int64), np.zeros(len(t) + 1, np.int64)
         for s in range(len(t) - window + 1):
-            if seen[t[s : s + window]] > 1:
-                gone[s] += 1
-                gone[s + window] -= 1
+            for edge, told in ((gone, seen[t[s : s + window]] > 1), (later, first[t[s : s + window]] < i)):
+                if told:
+                    edge[s] += 1
+                    edge[s + window] -= 1
         mask = np.cumsum(gone)[: len(t)] > 0
         spans = int((np.diff(np.concatenate([[0], mask.astype(int)])) == 1).sum())
-        out.append((doc, len(t), int(mask.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest()))
+        kept = hashlib.sha256(np.frombuffer(t, np.uint8)[~mask].tobytes()).hexdigest()
+        out.append((doc, len(t), int(mask.sum()), spans, int((np.cumsum(later)[: len(t)] > 0).sum()), kept))
     return sorted(out, key=repr)
 
 
+def test_planted_passages_are_removed_and_clean_documents_left_alone(spark):
+    """Passages of 400 bytes and more in many documents: all their bytes go, the first holder is known, nothing else goes."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(n))
+    passages = [draw(70)[:n].strip().ljust(n, "x") for n in (400, 401, 430, 455)]
+    rows, planted = [], {}
+    for i in range(120):
+        p = passages[i % 5] if i % 5 < 4 else None
+        rows.append((i, f"{draw(40)}<{p}>{draw(40)}" if p else draw(150)))
+        planted[i] = len(p) + 2 if p else 0
+    want = removed_bytes(rows, 400)
+    # some neighbours of a passage are equal by chance, never many
+    assert all(planted[i] <= n_removed <= planted[i] + 8 * (planted[i] > 0) for i, _, n_removed, *_ in want)
+    assert {(n_later > 0) for i, *_, n_later, _ in want if planted[i] and i >= 5} == {True} and all(r[4] == 0 for r in want if r[0] < 5)
+    for common in (repeats.COMMON, 2):
+        assert sorted_rows(suffix_arrays.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), common=common)) == want
+
+
 @pytest.mark.parametrize("common", [repeats.COMMON, 2])
 def test_repeats_in_awkward_rows(awkward, common):
     """Also with nearly every repeated anchor set back as too common."""

@@ -282,11 +282,19 @@ def buckets(kind: Kind, index: Callable) -> Callable:
     return scan
 
 
+def _covered(spans: list[dict], n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, [s["s"] for s in spans], 1)
+    np.add.at(edge, [s["e"] for s in spans], -1)
+    return np.cumsum(edge)[:n] > 0
+
+
 def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, finish: Callable, schema: str, common: int = COMMON) -> DataFrame:
     """``schema`` for every document, null where nothing repeats, beside ``n`` and ``digest`` of the whole text.
 
-    ``summary(units)`` gives lengths and digests of a slice; ``finish(units, row, covered)`` makes a
-    row of ``schema`` from a text and the mask of its units that lie in a repeated window.
+    ``summary(units)`` gives lengths and digests of a slice; ``finish(units, row, covered, later)`` makes
+    a row of ``schema`` from a text, the mask of its units that lie in a repeated window, and the mask of
+    those in a window that a smaller document holds too.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -306,7 +314,8 @@ def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, fi
     lie = cut.filter("th IS NOT NULL").select("h", "f", "id", "th", "start")
     hit = lie.join(verdicts, ["h", "f"])
     runs = F.filter("runs", lambda r: r["least"] < F.col("id")) if kind.documents else F.col("runs")
-    spans = hit.select("id", "th", F.transform(runs, lambda r: F.struct((F.col("start") + r["lo"]).alias("s"), (F.col("start") + r["hi"] + kind.window - 1).alias("e"))).alias("spans")).filter(F.size("spans") > 0)
+    placed = F.transform(runs, lambda r: F.struct((F.col("start") + r["lo"]).alias("s"), (F.col("start") + r["hi"] + kind.window - 1).alias("e"), (r["least"] < F.col("id")).alias("later")))
+    spans = hit.select("id", "th", placed.alias("spans")).filter(F.size("spans") > 0)
     marked = spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +325,7 @@ def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, fi
             out = []
             for r, spans in enumerate(batch.column("spans").to_pylist()):
                 n = int(units.first[r + 1] - units.first[r])
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, [s["s"] for s in spans], 1)
-                np.add.at(edge, [s["e"] for s in spans], -1)
-                out.append(finish(units, r, np.cumsum(edge)[:n] > 0))
+                out.append(finish(units, r, _covered(spans, n), _covered([s for s in spans if s["later"]], n)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("th"), *(pa.array(c) for c in zip(*out, strict=True))], names)
 
     names = ["doc_id", "id", "th", *(part.strip().split(" ")[0] for part in schema.split(","))]

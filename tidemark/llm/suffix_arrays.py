@@ -124,10 +124,8 @@ def sorted_suffixes(text: np.ndarray, suffixes: np.ndarray, window: int) -> np.n
     return order
 
 
-def repeats_in(text: np.ndarray, suffixes: np.ndarray, window: int) -> np.ndarray:
-    """Which suffixes share their first ``window`` bytes with another one. All have that many."""
-    if len(suffixes) < 2:
-        return np.zeros(len(suffixes), bool)
+def equal_neighbours(text: np.ndarray, suffixes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' order, and the places in it whose suffix shares its first ``window`` bytes with the next one."""
     order = sorted_suffixes(text, suffixes, window)
     p, q = suffixes[order[:-1]], suffixes[order[1:]]
     words_at = np.lib.stride_tricks.as_strided(np.concatenate([text, np.zeros(8, np.uint8)]), (len(text) + 1, 8), (1, 1))
@@ -138,19 +136,39 @@ def repeats_in(text: np.ndarray, suffixes: np.ndarray, window: int) -> np.ndarra
             equal = equal[words_at[p[equal] + at] == words_at[q[equal] + at]]
         else:
             equal = equal[[(text[a : a + window] == text[b : b + window]).all() for a, b in zip(p[equal], q[equal], strict=True)]] if len(equal) else equal
-    out = np.zeros(len(suffixes), bool)
+    return order, equal
+
+
+def repeats_in(text: np.ndarray, suffixes: np.ndarray, window: int) -> np.ndarray:
+    """Which suffixes share their first ``window`` bytes with another one. All have that many."""
+    return first_holders(text, suffixes, window, np.zeros(len(suffixes), np.int64))[0]
+
+
+def first_holders(text: np.ndarray, suffixes: np.ndarray, window: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes share their first ``window`` bytes with another one, and the smallest of ``ids`` among those that do."""
+    out, least = np.zeros(len(suffixes), bool), ids.copy()
+    if len(suffixes) < 2:
+        return out, least
+    order, equal = equal_neighbours(text, suffixes, window)
     out[order[equal]] = out[order[equal + 1]] = True
-    return out
+    new = np.ones(len(order), bool)
+    new[equal + 1] = False
+    head = np.flatnonzero(new)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], head), np.diff(np.append(head, len(order))))
+    return out, least
 
 
 def index(window: int = WINDOW):
-    """Verdicts for fragments: the windows that occur again. Fragments sent twice repeat as a whole."""
+    """Verdicts for fragments: the windows that occur again, and the smallest document each starts in.
+
+    Fragments sent twice repeat as a whole.
+    """
 
     def work(contents: list[bytes], anchor: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
         alone = np.unique(anchor, return_inverse=True, return_counts=True)
         settled = (counts > 1) & (alone[2][alone[1]] == 1)
         open_ = np.flatnonzero(~settled)
-        again: dict[int, np.ndarray] = {}
+        again: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if len(open_):
             text = np.frombuffer(b"".join(contents[i] for i in open_), np.uint8)
             lengths = np.array([len(contents[i]) for i in open_])
@@ -158,15 +176,17 @@ def index(window: int = WINDOW):
             base = np.concatenate([[0], np.cumsum(n)])
             owner = np.repeat(np.arange(len(n)), n)
             suffixes = np.repeat(np.cumsum(lengths) - lengths, n) + np.arange(base[-1]) - base[owner]
-            found = repeats_in(text, suffixes, window) | (counts[open_][owner] > 1)
-            again = {int(i): found[base[k] : base[k + 1]] for k, i in enumerate(open_)}
+            found, least = first_holders(text, suffixes, window, ids[open_][owner])
+            found |= counts[open_][owner] > 1
+            again = {int(i): (found[base[k] : base[k + 1]], least[base[k] : base[k + 1]]) for k, i in enumerate(open_)}
         for i, content in enumerate(contents):
-            mask = again.get(i)
-            if mask is None:
-                yield i, [{"lo": 0, "hi": len(content) - window + 1, "least": 0}]
-            elif mask.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                yield i, [{"lo": int(a), "hi": int(b), "least": 0} for a, b in edge.reshape(-1, 2)]
+            if i not in again:
+                yield i, [{"lo": 0, "hi": len(content) - window + 1, "least": int(ids[i])}]
+                continue
+            mask, least = again[i]
+            if mask.any():
+                cut = np.concatenate([[0], np.flatnonzero((mask[1:] != mask[:-1]) | (mask[1:] & (least[1:] != least[:-1]))) + 1, [len(mask)]])
+                yield i, [{"lo": int(a), "hi": int(b), "least": int(least[a])} for a, b in zip(cut[:-1], cut[1:], strict=True) if mask[a]]
 
     return work
 
@@ -176,15 +196,19 @@ def _summary(units: Units) -> tuple[list[int], list[str]]:
     return np.diff(units.offs).tolist(), [hashlib.sha256(t).hexdigest() for t in texts]
 
 
-def _finish(units: Units, row: int, covered: np.ndarray) -> tuple[int, int, str]:
+def _finish(units: Units, row: int, covered: np.ndarray, later: np.ndarray) -> tuple[int, int, int, str]:
     text = units.flat[units.offs[row] : units.offs[row + 1]]
     spans = int(np.count_nonzero(np.diff(np.concatenate([[0], covered.view(np.int8)])) == 1))
-    return int(covered.sum()), spans, hashlib.sha256(text[~covered].tobytes()).hexdigest()
+    return int(covered.sum()), spans, int(later.sum()), hashlib.sha256(text[~covered].tobytes()).hexdigest()
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, common: int = COMMON) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, n_later, kept_sha256`` of every row.
+
+    ``n_later`` of the removed bytes lie in a string that also starts in a document with a smaller doc_id
+    (a null one is the largest): what a corpus that keeps each string's first holder would lose.
+    """
     kind = Kind("byte", window, min(gram, window), False)
-    found = repeated(docs, kind, index(window), _summary, _finish, "n_removed long, n_spans long, kept_sha256 string", common)
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    found = repeated(docs, kind, index(window), _summary, _finish, "n_removed long, n_spans long, n_later long, kept_sha256 string", common)
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans", "n_later")]
     return found.select("doc_id", F.col("n").alias("n_bytes"), *zero, F.coalesce("kept_sha256", "digest").alias("kept_sha256"))

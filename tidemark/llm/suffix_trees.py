@@ -100,7 +100,7 @@ def _summary(units: Units) -> tuple[list[int], list[str]]:
     return np.diff(units.first).tolist(), [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
 
 
-def _finish(units: Units, row: int, covered: np.ndarray) -> tuple[int, str]:
+def _finish(units: Units, row: int, covered: np.ndarray, later: np.ndarray) -> tuple[int, str]:
     found = units.flat[units.offs[row] : units.offs[row + 1]].tobytes().split()
     kept = b" ".join(w for w, gone in zip(found, covered.tolist(), strict=True) if not gone)
     return int(covered.sum()), hashlib.sha256(kept).hexdigest()
