@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import audit as A
 from tidemark.operators import clusters as K
@@ -267,3 +269,16 @@ def test_companies_are_merged_once_per_set_of_segments(spark):
     nodes = spark.createDataFrame([("x", ["n2", "n1"]), ("x", ["n3"]), ("y", ["n1"]), ("z", [])], "segment string, companies array<string>")
     got = {r.ticker: r.companies for r in Q.distinct_companies(members, nodes).collect()}
     assert got == {"A": ["n1", "n2", "n3"], "B": ["n1", "n2", "n3"], "E": ["n1"]}
+
+
+def test_tickers_of_one_set_are_written_by_many_tasks(spark):
+    """Before, all tickers of the commonest set met in one task, and their lists were joined per ticker."""
+    members = spark.range(2000).select(F.concat(F.lit("T"), "id").alias("ticker"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("segment"))
+    nodes = spark.createDataFrame([("x", ["n2", "n1"]), ("y", ["n3", "n1"])], "segment string, companies array<string>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Q.distinct_companies(members, nodes, joined=",").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = Counter(r.task for r in got)
+    assert len(got) == 2000 and {r.companies for r in got} == {"n1,n2,n3"} and len(sizes) > 2 and max(sizes.values()) < 1200
