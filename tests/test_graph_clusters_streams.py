@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit as A
@@ -282,3 +283,65 @@ def test_tickers_of_one_set_are_written_by_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = Counter(r.task for r in got)
     assert len(got) == 2000 and {r.companies for r in got} == {"n1,n2,n3"} and len(sizes) > 2 and max(sizes.values()) < 1200
+
+
+class CountedHandle:
+    """A state store of one key that counts the calls it gets."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.kept is not None
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+    def clear(self):
+        self.calls += 1
+        self.kept = None
+
+    def listTimers(self):
+        self.calls += 1
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class Mark:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_state_calls_do_not_grow_with_keys():
+    """Before, every identity and every (ticker, insider) read and wrote its own state from Python."""
+    names = ["source_id", "value_num", "_at", "_published"]
+    row = Row(*names, "_key")
+    keeper, store = intake.LastKept(names, 1000), CountedHandle()
+    keeper.init(store)
+    assert not list(keeper.handleInputRows((1,), [row(str(i % 500), float(i // 1000), 10 + i // 500, None, str(i % 500)) for i in range(1500)], Mark(0)))
+    out = list(keeper.handleExpiredTimer((1,), Mark(100), None))
+    assert len(out) == 1000 and Counter(r.value_num for r in out) == {0.0: 500, 1.0: 500} and store.calls < 20
+    assert not list(keeper.handleExpiredTimer((1,), Mark(5000), None)) and store.kept is None and not store.timers
+    covers, store = clusters.Covers(5), CountedHandle()
+    covers.init(store)
+    buy = Row("ticker", "insider", "_at")
+    day = clusters.DAY_MS
+    assert not list(covers.handleInputRows((1,), [buy("t", str(i), 3 * day + i) for i in range(500)], Mark(0)))
+    assert sorted(covers.handleExpiredTimer((1,), Mark(20 * day), None)) == [("t", None, None, 3, 500, True), ("t", None, None, 8, -500, False)]
+    assert store.calls < 20 and store.kept is None

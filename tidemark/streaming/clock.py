@@ -12,6 +12,8 @@ moves it on when nothing else lands.
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +33,31 @@ def with_clock(stream: DataFrame, ts: str, delay: str, real: Column) -> DataFram
     moment = F.col(ts).cast("timestamp")
     twice = F.when(real, F.array(moment, F.lit(None).cast("timestamp"))).otherwise(F.array(moment))
     return stamped.withColumn(CLOCK, F.explode(twice)).withWatermark(CLOCK, delay).filter(F.col(CLOCK).isNull())
+
+
+#: Keys are dealt over so many buckets. A bucket is one key of a stateful operator and holds its keys in one value.
+BUCKETS = 1024
+
+
+class Held:
+    """The keys of one bucket: a dictionary in one state value, and one timer at the earliest moment any of them is due.
+
+    Every call from Python to the state store costs as much as some hundred rows, so a bucket is read and written
+    once per batch, however many of its keys the batch touches.
+    """
+
+    def __init__(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", "b binary")
+
+    def read(self) -> dict:
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+
+    def write(self, held: dict, due: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.state.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+            self.handle.registerTimer(due)
+        else:
+            self.state.clear()

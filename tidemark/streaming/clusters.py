@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tidemark.constants import CLUSTER_DAYS, CLUSTER_THRESHOLD
-from tidemark.streaming.clock import DAY_MS, with_clock
+from tidemark.streaming.clock import BUCKETS, DAY_MS, Held, with_clock
 
 CHANGES = "ticker string, insider string, at long, day int, delta int, filed boolean"
 ALERTS = "kind string, ticker string, day date, n bigint, insider string, at timestamp"
@@ -46,49 +46,53 @@ class Covers(StatefulProcessor):
 
     Nothing is judged when a row arrives. An event-time timer at the end of the earliest pending day, or of
     the cover, settles whatever the watermark has passed, in day order. With no cover and nothing pending the
-    state is gone.
+    state is gone. A group is a bucket of such pairs; changes of a ticker on a day are added up before they leave it.
     """
 
     def __init__(self, days: int) -> None:
         self.days = days
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("cover", "pending array<int>, last int")
-
-    def _keep(self, pending: list[int], last: int | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not pending and last is None:
-            self.state.clear()
-            return
-        self.state.update((pending, last))
-        first = min([*pending[:1], *([] if last is None else [last + self.days])])
-        self.handle.registerTimer((first + 1) * DAY_MS)
+        self.held = Held(handle)
+
+    def _due(self, pending: list[int], last: int | None) -> int:
+        return (min([*pending[:1], *([] if last is None else [last + self.days])]) + 1) * DAY_MS
 
-    def _held(self) -> tuple[list[int], int | None]:
-        return (list(self.state.get()[0]), self.state.get()[1]) if self.state.exists() else ([], None)
+    def _keep(self, held: dict) -> None:
+        self.held.write(held, min((self._due(*one) for one in held.values()), default=None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # a timer must lie beyond the watermark to fire, so a day that ends right at it takes no more rows
         upto = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1
-        pending, last = self._held()
-        days, late = set(pending), []
+        held, days = self.held.read(), {}
         for row in rows:
-            day = row["_at"] // DAY_MS
+            pair, day = (row["ticker"], row["insider"]), row["_at"] // DAY_MS
             if day <= upto:
-                late.append(CHANGE(key[0], key[1], row["_at"], None, None, None))
+                yield CHANGE(*pair, row["_at"], None, None, None)
             else:
-                days.add(day)
-        self._keep(sorted(days), last)
-        yield from late
+                if pair not in days:
+                    days[pair] = set(held[pair][0]) if pair in held else set()
+                days[pair].add(day)
+        for pair, found in days.items():
+            held[pair] = (sorted(found), held[pair][1] if pair in held else None)
+        if days:
+            self._keep(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        pending, last = self._held()
-        out, pending, last = settle(pending, last, settled_day(timerValues.getCurrentWatermarkInMs()), self.days)
-        self._keep(pending, last)
-        for day, delta, filed in out:
-            yield CHANGE(key[0], key[1], None, day, delta, filed)
+        upto, held, changes = settled_day(timerValues.getCurrentWatermarkInMs()), self.held.read(), {}
+        for pair, one in list(held.items()):
+            out, pending, last = settle(*one, upto, self.days)
+            for day, delta, filed in out:
+                had = changes.setdefault((pair[0], day), [0, False])
+                had[0], had[1] = had[0] + delta, had[1] or filed
+            if pending or last is not None:
+                held[pair] = (pending, last)
+            else:
+                del held[pair]
+        self._keep(held)
+        for (ticker, day), (delta, filed) in changes.items():
+            if delta or filed:
+                yield CHANGE(ticker, None, None, day, delta, filed)
 
     def close(self) -> None:
         pass
@@ -147,11 +151,14 @@ def stream_clusters(
 
     A day is judged once, when the watermark (``late_days`` behind the latest row) has passed its end, so the alerts
     are those of ``operators.clusters.cluster_events`` over all rows that were not late, whatever the files' order.
-    The first state is spread by (ticker, insider) and turns purchases into cover changes; the second holds one
-    number per ticker, and a batch gives it changes of the newly settled days only, so a ticker with a third of all
-    rows has neither a large state nor all its rows in one task. Rows without ticker or insider only move the clock.
+    The first state is spread by buckets of (ticker, insider), a ticker over 32 of them, and turns purchases into cover
+    changes per day; the second holds one number per ticker, and a batch gives it at most 32 changes per newly settled
+    day, so a ticker with a third of all rows has neither a large state nor all its rows in one task. Rows without ticker or insider only move the clock.
     """
     real = F.col("ticker").isNotNull() & F.col("insider").isNotNull() & F.col(ts).isNotNull()
     taken = with_clock(stream.select("ticker", F.col("insider").cast("string").alias("insider"), ts), ts, f"{late_days} days", real)
-    changes = taken.select("ticker", "insider", "_at", "_clock").groupBy("ticker", "insider").transformWithState(Covers(days), CHANGES, "append", "eventtime")
+    side = int(BUCKETS**0.5)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = taken.select("ticker", "insider", "_at", "_clock", (part("ticker") * side + part("insider")).cast("int").alias("_bucket"))
+    changes = dealt.groupBy("_bucket").transformWithState(Covers(days), CHANGES, "append", "eventtime")
     return changes.groupBy("ticker").transformWithState(Alerts(k), ALERTS, "append", "none")

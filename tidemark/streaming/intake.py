@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from tidemark.streaming.clock import with_clock
+from tidemark.streaming.clock import BUCKETS, Held, with_clock
 
 #: What a signal is the value of; ``released_at`` and ``value_num`` say which publication of it a row is.
 IDENTITY = ["source", "source_id", "segment", "signal_name", "observed_at"]
@@ -24,10 +24,9 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, glob: str |
     return reader.parquet(path)
 
 
-def _order(row: Row) -> tuple:
+def _order(at: int, value: float | None) -> tuple:
     """Intake order; rows of one moment by value, missing and unordered ones first, so that repeats are neighbours."""
-    value = row[VALUE]
-    return row["_at"], value is not None and value == value, value is not None, value if value is not None and value == value else 0.0
+    return at, value is not None and value == value, value is not None, value if value is not None and value == value else 0.0
 
 
 def _same(a: float | None, b: float | None) -> bool:
@@ -41,81 +40,68 @@ class LastKept(StatefulProcessor):
     Rows without one are a series of values in intake order: one is kept if it differs from the one kept before it,
     so 1, 2, 1 stays three rows. They wait until the watermark has passed them, because an earlier row may still
     land. ``keep_ms`` after its last row an identity is forgotten.
+
+    A group is a bucket of identities. Each is held as [some kept, value kept last, newest, waiting rows, publications].
     """
 
-    def __init__(self, row_schema: str, names: list[str], keep_ms: int) -> None:
-        self.row_schema, self.names, self.keep_ms = row_schema, names, keep_ms
+    def __init__(self, names: list[str], keep_ms: int) -> None:
+        self.names, self.keep_ms = names, keep_ms
+        self.at, self.value = names.index("_at"), names.index(VALUE)
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.kept = handle.getValueState("kept", "any boolean, value double, newest long")
-        self.seen = handle.getMapState("seen", "published long, value double, missing boolean", "at long")
-
-    def _rows(self) -> list[Row]:
-        make = Row(*self.names)
-        return [make(*r) for r in self.waiting.get()] if self.waiting.exists() else []
+        self.held = Held(handle)
 
-    def _last(self) -> tuple[bool, float | None, int]:
-        return tuple(self.kept.get()) if self.kept.exists() else (False, None, 0)
+    def _due(self, one: list) -> int:
+        return min([one[2] + self.keep_ms, *(r[self.at] for r in one[3])])
 
-    def _timer(self, waiting: list[Row], newest: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(min([newest + self.keep_ms, *(r["_at"] for r in waiting)]))
+    def _keep(self, held: dict) -> None:
+        self.held.write(held, min((self._due(one) for one in held.values()), default=None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        some, value, newest = self._last()
-        waiting = self._rows()
-        before, first = len(waiting), newest
-        there = {(r["_at"], r[VALUE]) for r in waiting}
+        held, there, changed = self.held.read(), {}, False
         for row in rows:
+            at, value, published = row["_at"], row[VALUE], row["_published"]
             # a timer must lie beyond the watermark to fire, so a row right at it is late
-            if row["_at"] <= now:
-                yield self._out("late", row)
+            if at <= now:
+                yield self._out("late", tuple(row[n] for n in self.names))
                 continue
-            newest = max(newest, row["_at"])
-            if row["_published"] is None:
-                if (row["_at"], row[VALUE]) not in there:
-                    there.add((row["_at"], row[VALUE]))
-                    waiting.append(Row(*self.names)(*(row[n] for n in self.names)))
+            changed = True
+            name = row["_key"]
+            one = held.get(name)
+            if one is None:
+                one = held[name] = [False, None, 0, [], set()]
+            one[2] = max(one[2], at)
+            if published is None:
+                if name not in there:
+                    there[name] = {(r[self.at], r[self.value]) for r in one[3]}
+                if (at, value) not in there[name]:
+                    there[name].add((at, value))
+                    one[3].append(tuple(row[n] for n in self.names))
                 continue
-            # floats as map keys: a missing value is marked, not a number is one value
-            which = (row["_published"], 0.0 if row[VALUE] is None else row[VALUE], row[VALUE] is None)
-            if not self.seen.containsKey(which):
-                self.seen.updateValue(which, (row["_at"],))
-                yield self._out("kept", row)
-        if len(waiting) != before:
-            self.waiting.put([tuple(r) for r in waiting])
-        if newest != first:
-            self.kept.update((some, value, newest))
-        if newest:
-            self._timer(waiting, newest)
+            # not a number is one value
+            which = (published, None if value is None else value if value == value else "nan")
+            if which not in one[4]:
+                one[4].add(which)
+                yield self._out("kept", tuple(row[n] for n in self.names))
+        if changed:
+            self._keep(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        some, value, newest = self._last()
-        waiting = self._rows()
-        for row in sorted((r for r in waiting if r["_at"] < now), key=_order):
-            if not some or not _same(value, row[VALUE]):
-                some, value = True, row[VALUE]
-                yield self._out("kept", row)
-        waiting = [r for r in waiting if r["_at"] >= now]
-        if not waiting and newest + self.keep_ms < now:
-            self.waiting.clear()
-            self.kept.clear()
-            self.seen.clear()
-            return
-        self.kept.update((some, value, newest))
-        if waiting:
-            self.waiting.put([tuple(r) for r in waiting])
-        else:
-            self.waiting.clear()
-        self._timer(waiting, newest)
-
-    def _out(self, kind: str, row: Row) -> Row:
-        return Row("kind", *self.names[:-2])(kind, *(row[n] for n in self.names[:-2]))
+        held = self.held.read()
+        for name, one in list(held.items()):
+            for row in sorted((r for r in one[3] if r[self.at] < now), key=lambda r: _order(r[self.at], r[self.value])):
+                if not one[0] or not _same(one[1], row[self.value]):
+                    one[0], one[1] = True, row[self.value]
+                    yield self._out("kept", row)
+            one[3] = [r for r in one[3] if r[self.at] >= now]
+            if not one[3] and one[2] + self.keep_ms < now:
+                del held[name]
+        self._keep(held)
+
+    def _out(self, kind: str, row: tuple) -> Row:
+        return Row("kind", *self.names[:-2])(kind, *row[:-2])
 
     def close(self) -> None:
         pass
@@ -126,7 +112,7 @@ def drop_repeats(stream: DataFrame, delay: str = "1 hour", keep_days: int = 400,
 
     A repeat is dropped, a revision stays. A row with ``released_at`` repeats one with the same publication and value;
     a row without it repeats the value kept before it. ``delay`` bounds how far files land out of intake order; rows
-    behind it are late. State is spread by the whole identity, so no source or segment is a hot key. Rows without any part
+    behind it are late. State is spread by the whole identity, in buckets, so no source or segment is a hot key. Rows without any part
     of an identity only move the clock.
     """
     names = stream.columns
@@ -135,11 +121,11 @@ def drop_repeats(stream: DataFrame, delay: str = "1 hour", keep_days: int = 400,
     real = F.coalesce(*(F.col(c).cast("string") for c in known)).isNotNull() & F.col(ts).isNotNull()
     rows = with_clock(stream.withColumn("_published", published), ts, delay, real)
     rows = rows.withColumn("_key", F.sha2(F.to_json(F.struct(*known), {"ignoreNullFields": "false"}), 256))
-    held = rows.select(*names, "_at", "_published")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).cast("int"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    grouped = rows.select(*names, "_at", "_published", "_key", "_clock").groupBy("_key")
-    return grouped.transformWithState(LastKept(ddl, held.columns, keep_days * 86_400_000), f"kind string, {out}", "append", "eventtime")
+    grouped = rows.select(*names, "_at", "_published", "_key", "_bucket", "_clock").groupBy("_bucket")
+    keeper = LastKept([*names, "_at", "_published"], keep_days * 86_400_000)
+    return grouped.transformWithState(keeper, f"kind string, {out}", "append", "eventtime")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
