@@ -209,3 +209,12 @@ def test_eval_grid_is_inclusive(spark):
     got = [r.t for r in grids.as_frame(spark, grids.eval_dates(D(2024, 1, 1), D(2024, 3, 1))).orderBy("t").collect()]
     assert got == [D(2024, 1, 1), D(2024, 1, 31), D(2024, 3, 1)]
     assert grids.as_frame(spark, grids.eval_dates(D(2024, 2, 1), D(2024, 1, 1))).count() == 0
+
+
+def test_only_distinct_values_are_laid_out_for_ranks(spark, monkeypatch):
+    """Before, every different pair was laid out twice: 200 rows here for 10 and 20 values."""
+    df = spark.range(200).select((F.col("id") % 10).cast("double").alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"))
+    seen, plain = [], K._counts
+    monkeypatch.setattr(K, "_counts", lambda rows, *rest: seen.append(rows.count()) or plain(rows, *rest))
+    got = {(r.x, r.y): (r.rx, r.ry) for r in K.average_ranks(df, [], x="rx", y="ry").collect()}
+    assert seen == [10, 20] and got[(0.0, 0.0)] == (10.5, 5.5) and got[(9.0, 19.0)] == (190.5, 195.5)

@@ -122,11 +122,18 @@ def average_ranks(df: DataFrame, by: list[str], cells: int | None = None, **name
     ``n`` says how often a row occurs; ties share the mean rank. Values must not be null.
     """
     values = list(names)
-    out = df.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("n"))
+    out = cut_lineage(df.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("n")))
+    ranked = out
     for x, name in names.items():
-        counted = _counts(out, by, x, "n", [v for v in values if v != x], cells)
-        out = counted.withColumn(name, ((F.col("_least") + 1 + F.col("_upto")) / 2.0).cast("double")).drop("_least", "_upto")
-    return out
+        # only the distinct values are laid out; a value has one rank, which its rows fetch by an equal key
+        sizes = out.groupBy(*by, x).agg(F.sum("n").alias("n")) if len(values) > 1 else out
+        counted = _counts(sizes, by, x, "n", [], cells)
+        rank = counted.select(*(F.col(c).alias(f"_o_{c}") for c in (*by, x)), ((F.col("_least") + 1 + F.col("_upto")) / 2.0).cast("double").alias(name))
+        on = F.lit(True)
+        for c in (*by, x):
+            on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+        ranked = ranked.join(rank, on).drop(*(f"_o_{c}" for c in (*by, x)))
+    return ranked
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", cells: int | None = None) -> DataFrame:
