@@ -218,3 +218,10 @@ def test_only_distinct_values_are_laid_out_for_ranks(spark, monkeypatch):
     monkeypatch.setattr(K, "_counts", lambda rows, *rest: seen.append(rows.count()) or plain(rows, *rest))
     got = {(r.x, r.y): (r.rx, r.ry) for r in K.average_ranks(df, [], x="rx", y="ry").collect()}
     assert seen == [10, 20] and got[(0.0, 0.0)] == (10.5, 5.5) and got[(9.0, 19.0)] == (190.5, 195.5)
+
+
+def test_returns_of_holdings_read_only_their_bars(spark):
+    bars = spark.createDataFrame([(k, dt.date(2024, 1, 1) + dt.timedelta(days=d), float(d + 1)) for k in "abc" for d in range(3)], "ticker string, date date, close double")
+    held = spark.createDataFrame([("a", dt.date(2024, 1, 1)), ("a", dt.date(2024, 1, 2))], "ticker string, t date")
+    few = R.bars_of(held, bars)
+    assert few.count() == 3 and R.forward_return(held, few, 1).exceptAll(R.forward_return(held, bars, 1)).isEmpty()

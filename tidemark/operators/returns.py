@@ -15,6 +15,11 @@ def close_asof(probes: DataFrame, prices: DataFrame, ts: str = "t") -> DataFrame
     return asof_join(probes, bars, ["ticker"], ts, "bar_date", ["bar_date", "close"])
 
 
+def bars_of(holdings: DataFrame, prices: DataFrame) -> DataFrame:
+    """The bars of held tickers: baskets hold few of all, and a window over the others' bars is for nothing."""
+    return prices.join(holdings.select("ticker").distinct(), "ticker", "left_semi")
+
+
 def forward_return(probes: DataFrame, prices: DataFrame, days: int, require_complete: bool = False) -> DataFrame:
     """Return from the bar at t to the bar at t + days.
 

@@ -44,13 +44,14 @@ def run(
     scores = cut_lineage(T.mode_filter(history, mode).filter(history["horizon"] == horizon))
     points = cut_lineage(R.eval_points(universe, dates, scores, bars, forward))
     entries = cut_lineage(basket_entries(scores, universe, bars, dates))
-    returns = cut_lineage(R.forward_return(entries.select("ticker", "t"), bars, forward))
+    held = cut_lineage(R.bars_of(entries, bars))
+    returns = cut_lineage(R.forward_return(entries.select("ticker", "t"), held, forward))
     return {
         "points": points,
         "ic": I.ic_report(points, forward, step),
         "entries": entries,
         "metrics": R.basket_metrics(entries, returns, forward),
-        "drawdown": R.max_drawdown(entries, returns, bars, forward),
+        "drawdown": R.max_drawdown(entries, returns, held, forward),
         "thin": Q.low_live_dates(R.scores_asof(scores, universe, dates)),
     }
 
