@@ -345,3 +345,12 @@ def test_state_calls_do_not_grow_with_keys():
     assert not list(covers.handleInputRows((1,), [buy("t", str(i), 3 * day + i) for i in range(500)], Mark(0)))
     assert sorted(covers.handleExpiredTimer((1,), Mark(20 * day), None)) == [("t", None, None, 3, 500, True), ("t", None, None, 8, -500, False)]
     assert store.calls < 20 and store.kept is None
+
+
+def test_edges_are_made_distinct_by_brand_and_type(spark):
+    """Before, nearly all lines were held in a distinct over (supplier, part)."""
+    from tidemark.plans import fixtures as V
+
+    plan = V.graph_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    held = [line for line in plan.splitlines() if "Aggregate" in line and "l_suppkey" in line]
+    assert held and all("p_brand" in line and "l_partkey" not in line for line in held)
