@@ -225,3 +225,46 @@ def test_returns_of_holdings_read_only_their_bars(spark):
     held = spark.createDataFrame([("a", dt.date(2024, 1, 1)), ("a", dt.date(2024, 1, 2))], "ticker string, t date")
     few = R.bars_of(held, bars)
     assert few.count() == 3 and R.forward_return(held, few, 1).exceptAll(R.forward_return(held, bars, 1)).isEmpty()
+
+
+def two_modes(spark):
+    days = [D(2023, 1, 1) + dt.timedelta(days=i) for i in range(0, 700, 7)]
+    bars = prices(spark, [(f"T{i}", d, 100.0 + (i * 37 + n * n * 11) % 29) for i in range(6) for n, d in enumerate(days) if i or n > 60])
+    universe = spark.createDataFrame([(f"T{i}", s) for i in range(6) for s in "abc" if (i + ord(s)) % 3] * 2, "ticker string, segment string")
+    ddl = "segment string, as_of date, b double, b_prime double, regime string"
+    one = spark.createDataFrame([(s, d, 40.0 + ord(s) % 7 + d.month, 0.0, "STABLE") for s in "ab" for d in days[::4]], ddl)
+    other = spark.createDataFrame([(s, d, 50.0 + d.day % 5, 0.0, "PEAKED" if d.month % 2 else "STABLE") for s in "bc" for d in days[30::5]] + [("a", days[60], 9.0, 0.0, "STABLE")], ddl)
+    return universe, bars, one, other, grids.eval_dates(D(2023, 3, 1), D(2024, 6, 1))
+
+
+def test_paired_points_equal_paired_modes_and_find_returns_once(spark, monkeypatch):
+    universe, bars, one, other, dates = two_modes(spark)
+    want = I.pair_modes(*(R.eval_points(universe, dates, h, bars, 90) for h in (one, other)))
+    calls, plain = [], R.forward_return
+    monkeypatch.setattr(R, "forward_return", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = R.paired_points(universe, dates, one, other, bars, 90)
+    assert len(calls) == 1 and got.columns == want.columns and got.count() == want.count() > 20
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["j14_pair_modes", "a18_compare_modes"])
+def test_mode_queries_build_no_points(spark, monkeypatch, name):
+    """Before, the points of both modes were stored and then matched by key."""
+    from tidemark.plans import catalog, registry
+
+    catalog.load()
+
+    def refuse(*a, **k):
+        raise AssertionError("points built")
+
+    monkeypatch.setattr(R, "eval_points", refuse)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001") is not None
+
+
+def test_points_are_not_shuffled_to_meet_their_scores(spark):
+    """The small table's size is known, although it comes from a large one; before, its plan's guess decided."""
+    universe, bars, one, _, dates = two_modes(spark)
+    wide = spark.range(1 << 21).filter("id < 0").select(F.lit("T0").alias("ticker"), F.lit("a").alias("segment")).unionByName(universe)
+    points = R.eval_points(wide, dates, one, bars, 90)
+    joins = [line for line in points._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join [segment" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)

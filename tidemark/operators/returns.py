@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.constants import COST_PER_NAME, TRADING_DAYS
 from tidemark.operators.temporal import asof_join
+from tidemark.session import written
 
 
 def close_asof(probes: DataFrame, prices: DataFrame, ts: str = "t") -> DataFrame:
@@ -66,16 +67,32 @@ def scores_asof(history: DataFrame, segments: DataFrame, dates: Column) -> DataF
     return hit.filter(F.col("b").isNotNull())
 
 
+def universe_returns(
+    universe: DataFrame, dates: Column, prices: DataFrame, days: int, require_complete: bool = False
+) -> DataFrame:
+    """(ticker, t, ret) where the return exists; scores have no part in it, so the modes of a backtest share it."""
+    return forward_return(universe_grid(universe, dates), prices, days, require_complete).filter("ret IS NOT NULL")
+
+
 def eval_points(
-    universe: DataFrame, dates: Column, history: DataFrame, prices: DataFrame, days: int, require_complete: bool = False
+    universe: DataFrame,
+    dates: Column,
+    history: DataFrame,
+    prices: DataFrame,
+    days: int,
+    require_complete: bool = False,
+    returns: DataFrame | None = None,
 ) -> DataFrame:
     """(ticker, segment, t, b, ret, regime) where both the score and the return exist.
 
-    Returns are computed once per ticker and joined to its segments afterwards.
+    Returns are computed once per ticker and joined to its segments afterwards; ``returns`` gives them if another
+    mode's points have them already. Scores are one row per (segment, t): they are written first, so that
+    Spark sees their size and the points need not be shuffled to meet them.
     """
     listing = universe.select("ticker", "segment").distinct()
-    returns = forward_return(universe_grid(listing, dates), prices, days, require_complete).filter("ret IS NOT NULL")
-    scores = scores_asof(history, listing, dates)
+    if returns is None:
+        returns = universe_returns(listing, dates, prices, days, require_complete)
+    scores = written(scores_asof(history, listing, dates), "scores")
     return (
         returns.join(listing, "ticker")
         .join(scores, ["segment", "t"])
@@ -83,6 +100,41 @@ def eval_points(
     )
 
 
+def paired_scores(history_a: DataFrame, history_b: DataFrame, segments: DataFrame, dates: Column) -> DataFrame:
+    """(segment, t, b_a, regime_a, b_b, regime_b) where both histories have a score."""
+
+    def side(history: DataFrame, tag: str) -> DataFrame:
+        return scores_asof(history, segments, dates).select(
+            "segment", "t", F.col("b").alias(f"b_{tag}"), F.col("regime").alias(f"regime_{tag}")
+        )
+
+    return side(history_a, "a").join(side(history_b, "b"), ["segment", "t"])
+
+
+def paired_points(
+    universe: DataFrame,
+    dates: Column,
+    history_a: DataFrame,
+    history_b: DataFrame,
+    prices: DataFrame,
+    days: int,
+    require_complete: bool = False,
+) -> DataFrame:
+    """J14 from two histories: (segment, t, ticker, b_a, regime_a, b_b, regime_b), as ``pair_modes`` of their points.
+
+    Two points of one key differ in their scores only. So the scores are paired, a row per (segment, t), and
+    the returns are found once: no points are stored, made distinct or matched with those of the other mode.
+    """
+    listing = universe.select("ticker", "segment").distinct()
+    scores = written(paired_scores(history_a, history_b, listing, dates), "paired_scores")
+    returns = universe_returns(listing, dates, prices, days, require_complete).select("ticker", "t")
+    return (
+        returns.join(listing, "ticker")
+        .join(scores, ["segment", "t"])
+        .select("segment", "t", "ticker", "b_a", "regime_a", "b_b", "regime_b")
+    )
+
+
 def basket_metrics(entries: DataFrame, returns: DataFrame, days: int, cost: float = COST_PER_NAME) -> DataFrame:
     """One aggregation per (t, side); cost counts every held name, returns only priced ones."""
     held = entries.join(returns, ["ticker", "t"], "left")

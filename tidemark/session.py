@@ -56,6 +56,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``cut_lineage`` as Parquet: compressed, read by column, and of a size that Spark knows when it plans a join.
+
+    A checkpoint keeps the size guessed for its plan, so a table of a few hundred rows that comes from
+    large ones is never broadcast, and the large side of its join is shuffled for nothing.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table planned as a local relation: no job, no Python worker."""
     fields = [part.strip().split(" ", 1) for part in schema.split(",")]
