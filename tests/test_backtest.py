@@ -268,3 +268,18 @@ def test_points_are_not_shuffled_to_meet_their_scores(spark):
     points = R.eval_points(wide, dates, one, bars, 90)
     joins = [line for line in points._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join [segment" in line]
     assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_correlation_lays_out_distinct_values_of_groups_that_have_one(spark, monkeypatch):
+    """Before, every pair was stored and joined to two ranks, also those of groups without variance."""
+    rows = [("live", float(i % 10), float(i // 10)) for i in range(200)] + [("flat", 7.0, float(i)) for i in range(300)] + [("few", float(i), float(i)) for i in range(3)]
+    rows += [(None, float(i % 5), float((i * 7) % 11)) for i in range(60)] + [("live", None, 1.0), ("live", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    seen, plain = [], K._counts
+    monkeypatch.setattr(K, "_counts", lambda part, *rest: seen.append(part.count()) or plain(part, *rest))
+    got = {r.g: (r.n, r.ic) for r in I.spearman_by(df, ["g"], "x", "y").collect()}
+    assert seen == [10 + 5, 20 + 11]
+    assert {g: n for g, (n, _) in got.items()} == {"live": 200, "flat": 300, "few": 3, None: 60} and got["flat"][1] is None and got["few"][1] is None
+    for g in ("live", None):
+        xs, ys = zip(*[(x, y) for k, x, y in rows if k == g and None not in (x, y)])
+        assert got[g][1] == pytest.approx(np.corrcoef(average_rank(list(xs)), average_rank(list(ys)))[0, 1], abs=1e-12)

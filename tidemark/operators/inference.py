@@ -8,26 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.constants import BOOTSTRAP_SEED, BOOTSTRAPS, FDR_ALPHA
-from tidemark.operators.ranks import average_ranks, cumulative_counts
-from tidemark.session import cut_lineage
+from tidemark.operators.ranks import cumulative_counts, with_rank
+from tidemark.session import cut_lineage, written
+
+
+def _same(keys: list[str]) -> Column:
+    """Equal keys of a table and of one whose keys are renamed, nulls equal."""
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return on
+
+
+def _renamed(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"_o_{c}") for c in keys), *more)
 
 
 def spearman_by(points: DataFrame, group: list[str], x: str, y: str, min_n: int = 4) -> DataFrame:
     """Rank correlation per group; null below ``min_n`` points or without variance.
 
-    Equal pairs are merged, and each variable is laid out once over tasks of equal size, so a
-    date that holds the whole universe, or a value that a third of it shares, is ranked by many
-    tasks; the correlation itself is a mergeable aggregate.
+    Groups that can have none are told by their sizes and edges and never ranked. In the others the values of ``x``
+    are ranked, pairs fetch that rank, and only the distinct values of ``y`` are laid out, each with the sum of
+    the ranks it meets: sums over pairs are sums over these. So no row per pair is stored, and if ``x`` has
+    few values (pass that variable as ``x``) the pairs are not shuffled before they are summed.
     """
     pairs = points.select(*group, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(pairs, group, **{x: "_rx", y: "_ry"})
-    n, rx, ry = F.sum("n"), F.col("_rx"), F.col("_ry")
-    sx, sy = F.sum(F.col("n") * rx), F.sum(F.col("n") * ry)
-    cov = n.cast("double") * F.sum(F.col("n") * rx * ry) - sx * sy
-    vx = n.cast("double") * F.sum(F.col("n") * rx * rx) - sx * sx
-    vy = n.cast("double") * F.sum(F.col("n") * ry * ry) - sy * sy
-    usable = (n >= min_n) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
-    return ranked.groupBy(*group).agg(F.when(usable, cov / F.sqrt(vx) / F.sqrt(vy)).alias("ic"), n.alias("n")).select(*group, "ic", "n")
+    usable = (F.count(F.lit(1)) >= min_n) & (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
+    shape = written(pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), usable.alias("_usable")), "shape")
+    live = pairs.join(_renamed(shape.filter("_usable"), group), _same(group), "left_semi")
+    sizes = live.groupBy(*group, x).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = written(with_rank(sizes, group, x, "_rx", "_n"), "ranks")
+    met = live.join(_renamed(ranked, [*group, x], "_rx"), _same([*group, x])).groupBy(*group, y)
+    sums = with_rank(met.agg(F.count(F.lit(1)).alias("_n"), F.sum("_rx").alias("_sx")), group, y, "_ry", "_n")
+    n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
+    squares = ranked.groupBy(*group).agg(F.sum(n).alias("_m"), F.sum(n * rx).alias("_tx"), F.sum(n * rx * rx).alias("_xx"))
+    products = sums.groupBy(*group).agg(F.sum(n * ry).alias("_ty"), F.sum(n * ry * ry).alias("_yy"), F.sum(F.col("_sx") * ry).alias("_xy"))
+    m, tx, ty = F.col("_m").cast("double"), F.col("_tx"), F.col("_ty")
+    ic = (m * F.col("_xy") - tx * ty) / F.sqrt(m * F.col("_xx") - tx * tx) / F.sqrt(m * F.col("_yy") - ty * ty)
+    both = squares.join(_renamed(products, group, "_ty", "_yy", "_xy"), _same(group)).select(*group, ic.alias("ic"))
+    return shape.join(_renamed(both, group, "ic"), _same(group), "left").select(*group, "ic", "n")
 
 
 def mean_ic(date_ics: DataFrame, group: list[str], min_dates: int = 2) -> DataFrame:

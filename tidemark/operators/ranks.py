@@ -127,8 +127,7 @@ def average_ranks(df: DataFrame, by: list[str], cells: int | None = None, **name
     for x, name in names.items():
         # only the distinct values are laid out; a value has one rank, which its rows fetch by an equal key
         sizes = out.groupBy(*by, x).agg(F.sum("n").alias("n")) if len(values) > 1 else out
-        counted = _counts(sizes, by, x, "n", [], cells)
-        rank = counted.select(*(F.col(c).alias(f"_o_{c}") for c in (*by, x)), ((F.col("_least") + 1 + F.col("_upto")) / 2.0).cast("double").alias(name))
+        rank = with_rank(sizes, by, x, name, "n", cells).select(*(F.col(c).alias(f"_o_{c}") for c in (*by, x)), name)
         on = F.lit(True)
         for c in (*by, x):
             on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
@@ -136,6 +135,12 @@ def average_ranks(df: DataFrame, by: list[str], cells: int | None = None, **name
     return ranked
 
 
+def with_rank(df: DataFrame, by: list[str], x: str, name: str, weight: str, cells: int | None = None) -> DataFrame:
+    """``df``, a row per (by, x) that stands for ``weight`` rows, with the mean rank of ``x`` among those of its group."""
+    counted = _counts(df, by, x, weight, [], cells)
+    return counted.select(*df.columns, ((F.col("_least") + 1 + F.col("_upto")) / 2.0).cast("double").alias(name))
+
+
 def row_numbers(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", cells: int | None = None) -> DataFrame:
     """``df`` with the number of each row of a group in ``order``, as a window over the whole group gives it.
 
