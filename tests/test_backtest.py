@@ -283,3 +283,22 @@ def test_correlation_lays_out_distinct_values_of_groups_that_have_one(spark, mon
     for g in ("live", None):
         xs, ys = zip(*[(x, y) for k, x, y in rows if k == g and None not in (x, y)])
         assert got[g][1] == pytest.approx(np.corrcoef(average_rank(list(xs)), average_rank(list(ys)))[0, 1], abs=1e-12)
+
+
+def test_report_compares_scores_and_runs_share_returns(spark, monkeypatch):
+    """Before, each mode found all returns, and the points of both were matched by key."""
+    from tidemark.plans import backtest as B
+
+    universe, bars, one, other, dates = two_modes(spark)
+    points = [R.eval_points(universe, dates, h, bars, 90) for h in (one, other)]
+    want = {r.segment: (r.mean_abs_diff, r.flips, r.n) for r in I.compare_modes(I.pair_modes(*points)).collect()}
+    named = universe.select("*", F.col("ticker").alias("name"), F.lit(0.9).alias("exposure"), F.lit(3e9).alias("mcap")).distinct()
+    both = one.withColumn("mode", F.lit("fixed")).unionByName(other.withColumn("mode", F.lit("rolling"))).withColumn("horizon", F.lit("near"))
+    priced = R.universe_returns(universe, dates, bars, 90)
+    monkeypatch.setattr(R, "universe_returns", None)
+    monkeypatch.setattr(I, "pair_modes", None)
+    runs = [B.run(both, named, bars, dates, 90, mode=mode, priced=priced) for mode in ("fixed", "rolling")]
+    row = B.report(*runs, D(2023, 3, 1), D(2024, 6, 1), 90).collect()[0].report
+    got = {r.segment: (r.mean_abs_diff, r.flips, r.n) for r in row.fixed_vs_rolling.per_segment}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert row.n_eval_points == points[0].count() and row.fixed_vs_rolling.rolling_points == points[1].count()

@@ -188,6 +188,20 @@ def compare_modes(paired: DataFrame) -> DataFrame:
     )
 
 
+def compare_scores(sizes: DataFrame, scores_a: DataFrame, scores_b: DataFrame) -> DataFrame:
+    """A18 where the points of one (segment, t) share their score: ``compare_modes`` weighted by ``sizes``.
+
+    ``sizes`` is (segment, t, n), the points of the first mode; the second has the same ones wherever it has a score.
+    """
+    other = scores_b.select("segment", "t", F.col("b").alias("_b"), F.col("regime").alias("_regime"))
+    n = F.col("n")
+    return sizes.join(scores_a.select("segment", "t", "b", "regime"), ["segment", "t"]).join(other, ["segment", "t"]).groupBy("segment").agg(
+        (F.sum(n * F.abs(F.col("b") - F.col("_b"))) / F.sum(n)).alias("mean_abs_diff"),
+        F.coalesce(F.sum(F.when(F.col("regime") != F.col("_regime"), n)), F.lit(0)).alias("flips"),
+        F.sum(n).alias("n"),
+    )
+
+
 def calibration_rank(ic: DataFrame) -> DataFrame:
     """Worst calibrated first; small samples weigh in lightly."""
     score = -F.col("rho") + F.greatest(F.lit(0), 20 - F.col("n")) / 100.0

@@ -13,7 +13,7 @@ from tidemark.operators import reads as Q
 from tidemark.operators import returns as R
 from tidemark.operators import selection as P
 from tidemark.operators import temporal as T
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, written
 
 
 def basket_entries(
@@ -34,25 +34,27 @@ def run(
     horizon: str = "near",
     mode: str = "fixed",
     step: int = STEP_DAYS,
+    priced: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Evaluation points, IC report, baskets with metrics and drawdown, thin-data dates.
+    """Evaluation points, scores, IC report, baskets with metrics and drawdown, thin-data dates.
 
-    The bars and the chosen score history feed several branches, so they are written to
-    shared storage once.
+    What feeds several branches is written to shared storage once. ``prices`` is read more than once and best a stored table.
+    ``priced`` gives ``R.universe_returns`` of the same universe, dates and prices, if another mode's run needs them too.
     """
-    bars = cut_lineage(prices)
-    scores = cut_lineage(T.mode_filter(history, mode).filter(history["horizon"] == horizon))
-    points = cut_lineage(R.eval_points(universe, dates, scores, bars, forward))
-    entries = cut_lineage(basket_entries(scores, universe, bars, dates))
-    held = cut_lineage(R.bars_of(entries, bars))
-    returns = cut_lineage(R.forward_return(entries.select("ticker", "t"), held, forward))
+    chosen = written(T.mode_filter(history, mode).filter(history["horizon"] == horizon), "history")
+    points = written(R.eval_points(universe, dates, chosen, prices, forward, returns=priced), "points")
+    entries = written(basket_entries(chosen, universe, prices, dates), "entries")
+    held = written(R.bars_of(entries, prices), "held")
+    returns = written(R.forward_return(entries.select("ticker", "t"), held, forward), "returns")
+    scores = written(R.scores_asof(chosen, universe, dates), "scores")
     return {
         "points": points,
+        "scores": scores,
         "ic": I.ic_report(points, forward, step),
         "entries": entries,
         "metrics": R.basket_metrics(entries, returns, forward),
         "drawdown": R.max_drawdown(entries, returns, held, forward),
-        "thin": Q.low_live_dates(R.scores_asof(scores, universe, dates)),
+        "thin": Q.low_live_dates(scores),
     }
 
 
@@ -84,7 +86,7 @@ def report(
     )
     baskets = held.join(main["metrics"].select("t", "side", "gross", "net", "vol", "hit_rate", "coverage"), ["t", "side"], "left")
     baskets = baskets.join(main["drawdown"].select("t", "side", "max_drawdown"), ["t", "side"], "left")
-    per_pair = I.compare_modes(I.pair_modes(fixed["points"], rolling["points"]))
+    per_pair = I.compare_scores(fixed["points"].groupBy("segment", "t").agg(F.count(F.lit(1)).alias("n")), fixed["scores"], rolling["scores"])
     sizes = [d["points"].agg(F.count(F.lit(1)).alias(f"{name}_points"), F.countDistinct("t").alias(f"{name}_dates")) for name, d in (("fixed", fixed), ("rolling", rolling))]
     overall_ics = [pooled(ic if d is main else d["ic"]).agg(F.max("rho").alias(f"{name}_ic")) for name, d in (("fixed", fixed), ("rolling", rolling))]
     out = overall
