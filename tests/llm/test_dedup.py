@@ -1,6 +1,7 @@
 """SimHash, MinHash, suffix trees and suffix arrays against brute force."""
 
 import hashlib
+import tempfile
 from collections import Counter
 
 import duckdb
@@ -222,6 +223,51 @@ def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
     assert {r.doc_id: r.n_removed > 0 for r in suffix_trees.remove_repeats(spark.createDataFrame([(i, f"{t[0]} {t[1:-1]} {t[-1]}") for i, t in rows], docs.schema)).collect()} == {0: False, 1: True, 4: False, 5: True}
 
 
+def later_bytes(rows, window):
+    """Per row, the bytes in a string of ``window`` bytes that a smaller document holds too."""
+    return sorted([(doc, n, later) for doc, n, _, _, later, _ in removed_bytes(rows, window)], key=repr)
+
+
+def with_passages(docs, passage=suffix_arrays.PASSAGE, **how):
+    found = suffix_arrays.remove_repeats(docs, passage=passage, **how).collect()
+    return sorted([tuple(r)[:-1] for r in found], key=repr), sorted([(r.doc_id, r.n_bytes, r.n_passage) for r in found], key=repr)
+
+
+def test_passages_of_over_50_words_under_400_bytes_are_shown_and_stay(spark):
+    """The registered query: passages of 51 to 66 words in many documents are in ``n_passage``, only 400 bytes are removed."""
+    from tidemark.llm import queries
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(4, 8))) for _ in range(n))
+    passages = [draw(n) for n in (51, 52, 54, 66)]
+    assert [len(p.encode()) < 400 for p in passages] == [True, True, True, False]
+    rows = [(i, f"{draw(60)} {passages[i % 5]} {draw(60)}" if i % 5 < 4 else draw(170)) for i in range(60)]
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    found = queries.QUERIES["op8_suffix_array_dedup"](spark, path)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "n_passage"]
+    found = found.collect()
+    assert {(r.doc_id % 5 < 4 and r.doc_id >= 5) == (r.n_passage > 0) for r in found} == {True}
+    assert all(r.n_passage >= len(passages[r.doc_id % 5]) for r in found if r.n_passage)
+    assert {r.doc_id % 5 for r in found if r.n_removed} == {3}
+    assert sorted([(r.doc_id, r.n_bytes, r.n_passage) for r in found], key=repr) == later_bytes(rows, suffix_arrays.PASSAGE)
+
+
+@pytest.mark.parametrize("passage", [60, 240, 399, 400])
+@pytest.mark.parametrize("common", [repeats.COMMON, 2])
+def test_passages_leave_removal_as_it_is(documents, awkward, passage, common):
+    """Removal by fragments that reach beyond their windows equals the brute force, and so do the shorter strings."""
+    for docs in (documents, awkward.filter("doc_id IS NULL OR doc_id NOT IN (9, 10)")):
+        rows = rows_of(docs)
+        assert with_passages(docs, passage, common=common) == (removed_bytes(rows, 400), later_bytes(rows, passage))
+
+
+def test_passages_in_rows_cut_in_pieces(awkward, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    rows = rows_of(awkward)
+    assert with_passages(awkward) == (removed_bytes(rows, 400), later_bytes(rows, suffix_arrays.PASSAGE))
+
+
 @pytest.mark.parametrize("common", [repeats.COMMON, 2])
 def test_repeats_in_awkward_rows(awkward, common):
     """Also with nearly every repeated anchor set back as too common."""

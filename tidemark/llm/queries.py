@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {
     "op5_private_data": _documents(private_data.find_private),
     "op6_quality_classifier": lambda spark, sf_dir: quality.op6_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_secret_scan": _documents(secrets.scan_secrets),
-    "op8_suffix_array_dedup": _documents(suffix_arrays.op8_query),
+    "op8_suffix_array_dedup": _documents(lambda docs: suffix_arrays.op8_query(docs, suffix_arrays.PASSAGE)),
     "op9_benchmark_decontamination": lambda spark, sf_dir: decontaminate.op9_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_token_files": _documents(token_files.op10_query),
     "op11_fill_middle": _documents(fill_middle.op11_query),

@@ -6,7 +6,9 @@
 2. Anchors that occur again are found by a map-side combined count, and go back to their documents.
 3. A second scan, of those documents only, cuts fragments: runs of consecutive windows with one
    repeated anchor, with all their units. Equal fragments of a task are sent once, with the smallest
-   document and a count; where each lies is written beside, without content.
+   document and a count; where each lies is written beside, without content. Where longer strings are
+   asked for beside the windows, a fragment goes on to the end of its last one: equal strings start
+   with equal windows, so they meet by the same anchor.
 4. Fragments meet by anchor. The method's own index (suffix tree, suffix array) is built over a
    bounded bucket of them at a time and says which windows repeat.
 5. The verdicts go back to where the fragments lie, are gathered per document and applied.
@@ -39,12 +41,16 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class Kind:
-    """What a window is made of. ``units``: "byte" or "word"; ``documents``: occurrences count by document."""
+    """What a window is made of. ``units``: "byte" or "word"; ``documents``: occurrences count by document.
+
+    ``reach``: length of the strings whose repeats are marked, ``window`` or more.
+    """
 
     units: str
     window: int
     gram: int
     documents: bool
+    reach: int
 
 
 class Units:
@@ -173,15 +179,15 @@ def seeds(kind: Kind, summary: Callable) -> Callable:
     return scan
 
 
-def _content_hash(content: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+def _content_hash(content: bytes, windows: int) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8, salt=windows.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
 def fragments(kind: Kind, common: np.ndarray) -> Callable:
     """Second scan, over documents with their repeated anchors ``hs``.
 
-    Rows with ``fragment``: its anchor, hash, smallest ``id`` and count in this task; rows without:
-    where (``id``, ``th``, ``start``) a fragment of ``n`` windows lies.
+    Rows with ``fragment``: its anchor, hash, smallest ``id``, count in this task ``n`` and windows
+    ``start``; rows without: where (``id``, ``th``, ``start``) a fragment of ``n`` windows lies.
     """
     names = ["h", "f", "id", "th", "start", "n", "fragment"]
 
@@ -195,7 +201,7 @@ def fragments(kind: Kind, common: np.ndarray) -> Callable:
             for at in range(0, len(some), 4000):
                 part = some[at : at + 4000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([v[0] for _, v in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.binary())],
+                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.int64()), pa.array([v[0] for _, v in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([v[3] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.binary())],
                     names,
                 )
             sent.clear()
@@ -226,11 +232,11 @@ def fragments(kind: Kind, common: np.ndarray) -> Callable:
                     row = rows[np.searchsorted(first, starts, side="right") - 1]
                     known = np.ones(len(starts), bool)
                 for s, e, r in zip(starts[known].tolist(), ends[known].tolist(), row[known].tolist(), strict=True):
-                    content = units.content(lo + s, lo + e + kind.window - 1)
-                    key = (int(least[s].astype(np.int64)), _content_hash(content))
+                    content = units.content(lo + s, min(lo + e + kind.reach - 1, int(units.first[r + 1])))
+                    key = (int(least[s].astype(np.int64)), _content_hash(content, e - s))
                     where.append((*key, int(ids[r]), int(ths[r]), lo + s - int(units.first[r]), e - s))
                     if (had := sent.get(key)) is None:
-                        sent[key] = [int(ids[r]), 1, content]
+                        sent[key] = [int(ids[r]), 1, content, e - s]
                         size += len(content)
                     else:
                         had[0], had[1] = min(had[0], int(ids[r])), had[1] + 1
@@ -245,9 +251,9 @@ def fragments(kind: Kind, common: np.ndarray) -> Callable:
 
 
 def buckets(kind: Kind, index: Callable) -> Callable:
-    """Fragments sorted by anchor to verdicts: ``h, f`` and runs of windows ``lo, hi, least`` that repeat.
+    """Fragments sorted by anchor to verdicts: ``h, f`` and runs ``lo, hi, least`` of strings of ``width`` units that repeat.
 
-    ``index(contents, anchors, ids, counts)`` works on all fragments of some anchors at once and
+    ``index(contents, anchors, ids, counts, windows)`` works on all fragments of some anchors at once and
     yields, per fragment that has any, its number and its runs.
     """
 
@@ -258,21 +264,22 @@ def buckets(kind: Kind, index: Callable) -> Callable:
         def work():
             keys = list(held)
             rows = []
-            for i, runs in index([held[k][2] for k in keys], np.array([k[0] for k in keys]), np.array([held[k][0] for k in keys]), np.array([held[k][1] for k in keys])):
+            of = [np.array([held[k][c] for k in keys]) for c in (0, 1, 3)]
+            for i, runs in index([held[k][2] for k in keys], np.array([k[0] for k in keys]), *of):
                 rows.append((*keys[i], runs))
             held.clear()
             if rows:
-                runs = pa.array([r[2] for r in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("least", pa.int64())])))
+                runs = pa.array([r[2] for r in rows], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("least", pa.int64()), ("width", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), runs], ["h", "f", "runs"])
 
         for batch in batches:
-            for h, f, i, n, content in zip(*(batch.column(c).to_pylist() for c in ("h", "f", "id", "n", "fragment")), strict=True):
+            for h, f, i, n, content, windows in zip(*(batch.column(c).to_pylist() for c in ("h", "f", "id", "n", "fragment", "start")), strict=True):
                 if h != now and size >= BUCKET_BYTES:
                     yield from work()
                     size = 0
                 now = h
                 if (had := held.get((h, f))) is None:
-                    held[h, f] = [i, n, content]
+                    held[h, f] = [i, n, content, windows]
                     size += len(content)
                 else:
                     had[0], had[1] = min(had[0], i), had[1] + n
@@ -292,9 +299,10 @@ def _covered(spans: list[dict], n: int) -> np.ndarray:
 def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, finish: Callable, schema: str, common: int = COMMON) -> DataFrame:
     """``schema`` for every document, null where nothing repeats, beside ``n`` and ``digest`` of the whole text.
 
-    ``summary(units)`` gives lengths and digests of a slice; ``finish(units, row, covered, later)`` makes
-    a row of ``schema`` from a text, the mask of its units that lie in a repeated window, and the mask of
-    those in a window that a smaller document holds too.
+    ``summary(units)`` gives lengths and digests of a slice; ``finish(units, row, covered, later, short)``
+    makes a row of ``schema`` from a text, the mask of its units that lie in a repeated string of
+    ``kind.reach`` units, the mask of those in one that a smaller document holds too, and the mask of
+    those in a window, however short, that a smaller document holds too.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
@@ -309,12 +317,12 @@ def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, fi
     mine = found.join(counted, "h").groupBy("id", "th").agg(F.collect_set("h").alias("hs"))
     candidates = stored(rows.join(mine, ["id", "th"]), "candidates")
     cut = stored(candidates.select("id", "th", "text", "hs").mapInArrow(fragments(kind, _as_grams(often)), "h long, f long, id long, th long, start long, n long, fragment binary"), "fragments")
-    content = cut.filter("fragment IS NOT NULL").select("h", "f", "id", "n", "fragment").repartition(lanes(spark), "h").sortWithinPartitions("h")
-    verdicts = content.mapInArrow(buckets(kind, index), "h long, f long, runs array<struct<lo:long,hi:long,least:long>>")
+    content = cut.filter("fragment IS NOT NULL").select("h", "f", "id", "n", "start", "fragment").repartition(lanes(spark), "h").sortWithinPartitions("h")
+    verdicts = content.mapInArrow(buckets(kind, index), "h long, f long, runs array<struct<lo:long,hi:long,least:long,width:long>>")
     lie = cut.filter("th IS NOT NULL").select("h", "f", "id", "th", "start")
     hit = lie.join(verdicts, ["h", "f"])
-    runs = F.filter("runs", lambda r: r["least"] < F.col("id")) if kind.documents else F.col("runs")
-    placed = F.transform(runs, lambda r: F.struct((F.col("start") + r["lo"]).alias("s"), (F.col("start") + r["hi"] + kind.window - 1).alias("e"), (r["least"] < F.col("id")).alias("later")))
+    runs = F.filter("runs", lambda r: (r["least"] < F.col("id")) | F.lit(not kind.documents) & (r["width"] == kind.reach))
+    placed = F.transform(runs, lambda r: F.struct((F.col("start") + r["lo"]).alias("s"), (F.col("start") + r["hi"] + r["width"] - 1).alias("e"), (r["least"] < F.col("id")).alias("later"), (r["width"] == kind.reach).alias("whole")))
     spans = hit.select("id", "th", placed.alias("spans")).filter(F.size("spans") > 0)
     marked = spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -325,7 +333,8 @@ def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, fi
             out = []
             for r, spans in enumerate(batch.column("spans").to_pylist()):
                 n = int(units.first[r + 1] - units.first[r])
-                out.append(finish(units, r, _covered(spans, n), _covered([s for s in spans if s["later"]], n)))
+                whole, later = ([s for s in spans if s[told]] for told in ("whole", "later"))
+                out.append(finish(units, r, _covered(whole, n), _covered([s for s in whole if s["later"]], n), _covered(later, n)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("th"), *(pa.array(c) for c in zip(*out, strict=True))], names)
 
     names = ["doc_id", "id", "th", *(part.strip().split(" ")[0] for part in schema.split(","))]

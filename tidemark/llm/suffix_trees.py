@@ -69,14 +69,14 @@ def subtree(values: np.ndarray, suffixes: np.ndarray, group: np.ndarray, window:
 def index(window: int = WINDOW):
     """Verdicts for fragments: per window, the smallest document it starts in."""
 
-    def work(contents: list[bytes], anchor: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
+    def work(contents: list[bytes], anchor: np.ndarray, ids: np.ndarray, counts: np.ndarray, windows: np.ndarray) -> Iterator[tuple[int, list[dict]]]:
         flat = np.frombuffer(b" ".join(contents), np.uint8)
         lengths = np.array([len(c) for c in contents])
         offs = np.concatenate([[0], np.cumsum(lengths + 1)])
         offs[-1] -= 1
         starts, ends, first = words(flat, offs, word_table())
         values = Hasher().spans(flat, starts, ends)
-        n = np.diff(first) - window + 1
+        n = windows
         base = np.concatenate([[0], np.cumsum(n)])
         owner = np.repeat(np.arange(len(n)), n)
         suffixes = np.repeat(first[:-1], n) + np.arange(base[-1]) - base[owner]
@@ -90,7 +90,7 @@ def index(window: int = WINDOW):
         for i in told.tolist():
             part = least[base[i] : base[i + 1]]
             cut = np.append(0, np.flatnonzero(np.diff(part)) + 1).tolist()
-            yield i, [{"lo": a, "hi": b, "least": int(part[a])} for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
+            yield i, [{"lo": a, "hi": b, "least": int(part[a]), "width": window} for a, b in zip(cut, [*cut[1:], len(part)], strict=True)]
 
     return work
 
@@ -100,7 +100,7 @@ def _summary(units: Units) -> tuple[list[int], list[str]]:
     return np.diff(units.first).tolist(), [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
 
 
-def _finish(units: Units, row: int, covered: np.ndarray, later: np.ndarray) -> tuple[int, str]:
+def _finish(units: Units, row: int, covered: np.ndarray, later: np.ndarray, short: np.ndarray) -> tuple[int, str]:
     found = units.flat[units.offs[row] : units.offs[row + 1]].tobytes().split()
     kept = b" ".join(w for w, gone in zip(found, covered.tolist(), strict=True) if not gone)
     return int(covered.sum()), hashlib.sha256(kept).hexdigest()
@@ -108,7 +108,7 @@ def _finish(units: Units, row: int, covered: np.ndarray, later: np.ndarray) -> t
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, common: int = COMMON) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
-    kind = Kind("word", window, min(gram, window), True)
+    kind = Kind("word", window, min(gram, window), True, window)
     found = repeated(docs, kind, index(window), _summary, _finish, "n_removed long, kept_sha256 string", common)
     return found.select("doc_id", F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
 
