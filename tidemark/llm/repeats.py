@@ -19,6 +19,7 @@ where they can, and windows made of common grams only are equal fragments that m
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -316,6 +317,9 @@ def repeated(docs: DataFrame, kind: Kind, index: Callable, summary: Callable, fi
     often = np.array(sorted(int(r[0]) for r in counted.filter(F.col("times") > most).select("h").collect()), np.uint64)
     mine = found.join(counted, "h").groupBy("id", "th").agg(F.collect_set("h").alias("hs"))
     candidates = stored(rows.join(mine, ["id", "th"]), "candidates")
+    # shuffles of finished steps are dropped once Python and then the JVM let their plans go; else they lie beside the fragments
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     cut = stored(candidates.select("id", "th", "text", "hs").mapInArrow(fragments(kind, _as_grams(often)), "h long, f long, id long, th long, start long, n long, fragment binary"), "fragments")
     content = cut.filter("fragment IS NOT NULL").select("h", "f", "id", "n", "start", "fragment").repartition(lanes(spark), "h").sortWithinPartitions("h")
     verdicts = content.mapInArrow(buckets(kind, index), "h long, f long, runs array<struct<lo:long,hi:long,least:long,width:long>>")
