@@ -28,6 +28,13 @@ nodes = spark.range(16000).select((F.col("id") % 40).alias("part"), name.alias("
 COMPANIES = """
 found = Q.distinct_companies(members, nodes, joined=",")
 """
+DETAIL = """
+universe = members.selectExpr("ticker", "segment", "'sub' AS subsegment", "0.5D AS exposure", "ticker AS name", "'NYSE' AS exchange", "1L AS row_no")
+scores = spark.createDataFrame([("x", "near", "STABLE", 50.0, 1.0)], "segment string, horizon string, regime string, b double, b_prime double")
+notes = spark.createDataFrame([("T7",), ("T7",), ("T8",)], "ticker string")
+eta = spark.createDataFrame([("x", "<12mo", "high")], "segment string, eta string, confidence string")
+found = Q.ticker_detail(universe, scores, notes, nodes, eta, joined=",")
+"""
 COUNTED = """
 n, least, most = found.agg(F.count("companies"), F.min(F.octet_length("companies")), F.max(F.octet_length("companies"))).first()
 assert n == 2000 and least == most == 16000 * 93 - 1, (n, least, most)
@@ -47,6 +54,20 @@ def test_lists_of_the_commonest_set_are_not_held_at_once(tmp_path):
     run_with_small_heap(tmp_path, COMPANIES)
 
 
+def test_detail_of_the_commonest_set_is_not_held_at_once(tmp_path):
+    run_with_small_heap(tmp_path, DETAIL)
+
+
+def test_detail_keeps_tickers_without_companies(spark):
+    members = [("a", "x", 1), ("a", "y", 2), ("b", "z", 3), ("c", None, 4)]
+    universe = spark.createDataFrame([(t, s, "sub", 0.5, t.upper(), "NYSE", n) for t, s, n in members], "ticker string, segment string, subsegment string, exposure double, name string, exchange string, row_no long")
+    scores = spark.createDataFrame([("x", "near", "STABLE", 50.0, 1.0)], "segment string, horizon string, regime string, b double, b_prime double")
+    nodes = spark.createDataFrame([("x", ["n2", "n1"]), ("y", ["n1", "n3"]), ("z", [])], "segment string, companies array<string>")
+    eta = spark.createDataFrame([("x", "<12mo", "high")], "segment string, eta string, confidence string")
+    found = Q.ticker_detail(universe, scores, spark.createDataFrame([("a",)], "ticker string"), nodes, eta, joined=",").collect()
+    assert {r.ticker: (r.companies, r.n_notes) for r in found} == {"a": ("n1,n2,n3", 1), "b": (None, 0), "c": (None, 0)}
+
+
 @pytest.mark.parametrize("joined", [None, ","])
 def test_lists_equal_a_plain_union(spark, monkeypatch, joined):
     """Many blocks, lanes and slices; segments without companies, tickers without segments, names in several segments."""
